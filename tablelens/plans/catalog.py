@@ -96,3 +96,4 @@ def _profiled(cols):
 
 
 from tablelens.plans import queries_profile  # noqa: E402,F401  (registers keys)
+from tablelens.plans import queries_prep  # noqa: E402,F401
