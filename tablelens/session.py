@@ -41,9 +41,11 @@ def scratch_dir(spark: SparkSession) -> str:
     fresh temporary folder is created and registered.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if conf:
+        if not jdir.isDefined():
+            spark.sparkContext.setCheckpointDir(conf)
         return conf
-    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         path = jdir.get()
         spark.conf.set("spark.checkpoint.dir", path)
