@@ -99,3 +99,4 @@ from tablelens.plans import queries_profile  # noqa: E402,F401  (registers keys)
 from tablelens.plans import queries_prep  # noqa: E402,F401
 from tablelens.plans import queries_charts  # noqa: E402,F401
 from tablelens.plans import queries_ml  # noqa: E402,F401
+from tablelens.plans import queries_sources  # noqa: E402,F401
