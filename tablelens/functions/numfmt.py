@@ -14,6 +14,12 @@ SIG_DIGITS = 8
 
 
 def sig(c: Column | str, digits: int = SIG_DIGITS) -> Column:
+    if isinstance(c, str) and "." not in c and "`" not in c:
+        # one parsed SQL expression instead of a dozen client-side column operations
+        x = f"CAST(`{c}` AS DOUBLE)"
+        p = f"power(10, floor(log10(abs({x}))))"
+        return F.expr(f"CASE WHEN {x} IS NULL OR {x} = 0 OR isnan({x}) THEN {x} "
+                      f"ELSE round({x} / {p}, {digits - 1}) * {p} END")
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
     p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
     return F.when(x.isNull() | (x == 0) | F.isnan(x), x).otherwise(F.round(x / p, digits - 1) * p)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import numeric_long
+from tablelens.functions.columns import clean_value, numeric_long
 
 DEFAULT_PROBS = (0.25, 0.5, 0.75)
 MAX_LOCAL_DOMAIN = 1_000_000
@@ -68,53 +68,97 @@ def select_ranks(freq: DataFrame, targets: DataFrame, buckets: int = SELECT_BUCK
         "column", "tid", "value")
 
 
-def quantiles_from_freq(freq: DataFrame, probs=DEFAULT_PROBS, max_local_domain: int = MAX_LOCAL_DOMAIN) -> DataFrame:
-    """(column, prob, value) with linear interpolation (pandas / quantile_cont semantics)."""
-    probs = [float(p) for p in probs]
-    dom = freq.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("N"))
-    small = dom.where(F.col("d") <= max_local_domain)
-    large = dom.where(F.col("d") > max_local_domain)
-
-    local = (
-        freq.join(F.broadcast(small.select("column")), "column", "left_semi")
-        .groupBy("column")
-        .agg(F.percentile("value", probs, F.col("n")).alias("qs"))
-        .select("column", F.posexplode("qs").alias("pi", "value"))
-    )
+def _local_from_long(long: DataFrame, probs: list[float]) -> DataFrame:
+    """Built-in exact ``percentile`` per column: its buffer is a value->count map bounded by the domain."""
+    prob_tab = F.array(*[F.lit(p) for p in probs])
+    return (long.groupBy("column").agg(F.percentile("value", probs).alias("qs"))
+            .select("column", F.posexplode("qs").alias("pi", "value"))
+            .select("column", F.element_at(prob_tab, F.col("pi") + 1).alias("prob"), "value"))
+
+
+def _local_from_freq(freq: DataFrame, probs: list[float]) -> DataFrame:
     prob_tab = F.array(*[F.lit(p) for p in probs])
-    local = local.select("column", F.element_at(prob_tab, F.col("pi") + 1).alias("prob"), "value")
+    return (freq.groupBy("column").agg(F.percentile("value", probs, F.col("n")).alias("qs"))
+            .select("column", F.posexplode("qs").alias("pi", "value"))
+            .select("column", F.element_at(prob_tab, F.col("pi") + 1).alias("prob"), "value"))
 
-    # distributed selection for large domains: two ranks (floor, ceil) per probability
-    tg = large.select("column", "N", F.posexplode(prob_tab).alias("pi", "prob")).withColumn(
+
+def _distributed(freq: DataFrame, dom: DataFrame, probs: list[float]) -> DataFrame:
+    """Exact quantiles of large domains by rank selection; ``dom`` holds (column, N)."""
+    prob_tab = F.array(*[F.lit(p) for p in probs])
+    tg = dom.select("column", "N", F.posexplode(prob_tab).alias("pi", "prob")).withColumn(
         "h", (F.col("N") - 1) * F.col("prob"))
     targets = tg.select("column", F.explode(F.array(
         F.struct((F.col("pi") * 2).alias("tid"), F.floor("h").cast("long").alias("r")),
         F.struct((F.col("pi") * 2 + 1).alias("tid"), F.ceil("h").cast("long").alias("r")))).alias("t")
     ).select("column", "t.tid", "t.r")
-    picked = select_ranks(freq.join(F.broadcast(large.select("column")), "column", "left_semi"), targets)
+    picked = select_ranks(freq, targets)
     vals = picked.groupBy("column", (F.col("tid") / 2).cast("int").alias("pi")).agg(
         F.max(F.when(F.col("tid") % 2 == 0, F.col("value"))).alias("v_lo"),
         F.max(F.when(F.col("tid") % 2 == 1, F.col("value"))).alias("v_hi"))
-    dist = tg.join(vals, ["column", "pi"]).select(
+    return tg.join(vals, ["column", "pi"]).select(
         "column", "prob",
         (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
-    return local.unionByName(dist)
+
+
+def quantiles_from_freq(freq: DataFrame, probs=DEFAULT_PROBS, max_local_domain: int = MAX_LOCAL_DOMAIN) -> DataFrame:
+    """(column, prob, value) with linear interpolation (pandas / quantile_cont semantics).
+
+    The per-column domain sizes (one row per column) are fetched first and decide
+    the path of each column, so only the needed plan runs.
+    """
+    probs = [float(p) for p in probs]
+    dom = freq.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("N"))
+    rows = dom.collect()
+    small = [r["column"] for r in rows if r["d"] <= max_local_domain]
+    large = [r["column"] for r in rows if r["d"] > max_local_domain]
+    spark = freq.sparkSession
+    parts = []
+    if small:
+        parts.append(_local_from_freq(freq.where(F.col("column").isin(small)), probs))
+    if large:
+        ld = spark.createDataFrame([(r["column"], r["N"]) for r in rows if r["column"] in large], "column string, N long")
+        parts.append(_distributed(freq.where(F.col("column").isin(large)), ld, probs))
+    if not parts:
+        return spark.createDataFrame([], "column string, prob double, value double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def quantiles(df: DataFrame, cols: list[str], probs=DEFAULT_PROBS, approx: bool = False,
               accuracy: int = 10000, max_local_domain: int = MAX_LOCAL_DOMAIN) -> DataFrame:
-    """(column, prob, value) for each numeric column and probability; NULL/NaN skipped."""
-    long = numeric_long(df, cols)
+    """(column, prob, value) for each numeric column and probability; NULL/NaN skipped.
+
+    Exact by default. Columns whose (HLL-estimated) distinct count is clearly
+    below ``max_local_domain`` use the built-in ``percentile`` directly on the
+    long table (one shuffle, bounded buffers); larger ones go through the
+    frequency table and the distributed rank selection. ``approx=True`` uses
+    ``percentile_approx`` (bounded sketch) for every column.
+    """
+    probs = [float(p) for p in probs]
     if approx:
-        probs = [float(p) for p in probs]
         prob_tab = F.array(*[F.lit(p) for p in probs])
         return (
-            long.groupBy("column")
+            numeric_long(df, cols).groupBy("column")
             .agg(F.percentile_approx("value", probs, accuracy).alias("qs"))
             .select("column", F.posexplode("qs").alias("pi", "value"))
             .select("column", F.element_at(prob_tab, F.col("pi") + 1).alias("prob"), "value")
         )
-    return quantiles_from_freq(frequency(long), probs, max_local_domain)
+    est = df.agg(*[F.approx_count_distinct(clean_value(df, c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    # HLL++ has ~5% relative error at the default precision: keep a margin
+    small = [c for i, c in enumerate(cols) if est[f"d{i}"] <= max_local_domain * 0.8]
+    large = [c for c in cols if c not in small]
+    parts = []
+    if small:
+        parts.append(_local_from_long(numeric_long(df, small), probs))
+    if large:
+        parts.append(quantiles_from_freq(frequency(numeric_long(df, large)), probs, max_local_domain))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def quantiles_wide(df: DataFrame, cols: list[str], probs=DEFAULT_PROBS, names=None, **kw) -> DataFrame:

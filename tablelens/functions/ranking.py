@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_OFFSETS_MAX = 2_000_000
+WINDOW_MAX_ROWS = 1_000_000
 
 
 def _same_key(a: tuple | None, b: tuple) -> bool:
@@ -62,11 +63,29 @@ def _local_cumsum(group_cols: list[str], value_cols: list[str]):
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
     """Add ``cum_<v>`` = inclusive running sum of each value column within each group, in order.
 
     ``order_cols`` must make the order total within a group for a deterministic result.
+    When the largest group is known (one small aggregate) to hold at most
+    ``window_max_rows`` rows, a plain window is used -- each group then fits a
+    task by construction. Larger groups take the range-partitioned path.
     """
+    if window_max_rows > 0:
+        if group_cols:
+            biggest = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
+        else:
+            biggest = df.count()
+        if (biggest or 0) <= window_max_rows:
+            w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy(*order_cols) \
+                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            return df.select(*df.columns, *[F.sum(v).over(w).cast(df.schema[v].dataType).alias(f"cum_{v}")
+                                            for v in value_cols])
+    return _running_sum_ranged(df, group_cols, order_cols, value_cols, num_partitions)
+
+
+def _running_sum_ranged(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
+                        num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
@@ -99,8 +118,8 @@ def _offsets_small(group_cols: list[str], n: int) -> bool:
 
 
 def row_number(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "rn",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
     """1-based row number within each group by ``order_cols`` (which must be a total order)."""
     with_one = df.withColumn("_one", F.lit(1).cast("long"))
-    r = running_sum(with_one, group_cols, order_cols, ["_one"], num_partitions)
+    r = running_sum(with_one, group_cols, order_cols, ["_one"], num_partitions, window_max_rows)
     return r.withColumnRenamed("cum__one", out).drop("_one")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import clean_value, numeric_columns, numeric_long
 from tablelens.functions.numfmt import sig
 from tablelens.functions.quantiles import quantiles_wide
-from tablelens.operators.stats import numeric_summary
+from tablelens.functions.wide import wide_agg
 
 
 def iqr_bounds(df: DataFrame, cols: list[str] | None = None, **kw) -> DataFrame:
@@ -38,7 +38,9 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, **kw) -> DataFram
 def zscore_outliers(df: DataFrame, cols: list[str] | None = None, threshold: float = 3.0) -> DataFrame:
     """|x - mean| / std_pop > threshold; a constant column has none."""
     cols = cols or numeric_columns(df)
-    s = numeric_summary(df, cols).select("column", "mean", "std_pop")
+    s = wide_agg(df, cols, {"mean": lambda c: F.avg(clean_value(df, c).cast("double")),
+                            "std_pop": lambda c: F.stddev_pop(clean_value(df, c).cast("double"))}).select(
+        "column", "mean", "std_pop")
     long = numeric_long(df, cols).join(F.broadcast(s), "column")
     z = F.abs(F.try_divide(F.col("value") - F.col("mean"), F.col("std_pop")))
     cnt = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(z > threshold, 1)).alias("z_score_outliers_count"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,6 +205,8 @@ def preprocess(df: DataFrame, target: str | None = None, strategy: str = "auto")
     """P2 -> P3..P6 -> P9/P10 -> P8; returns (clean table, step report)."""
     if df.isEmpty():
         raise ValueError("Cannot preprocess empty dataset")
+    # every step fits statistics with its own pass over the input: read it once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     rep = PrepReport()
     out = drop_constant(df, rep)
     out = handle_missing(out, rep)

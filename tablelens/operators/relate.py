@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import clean_value, numeric_columns
+from tablelens.functions.columns import clean_value, is_floating, numeric_columns
 from tablelens.functions.distributions import f_pvalue
 from tablelens.functions.numfmt import sig
 
@@ -20,32 +20,63 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(col1, col2, i, j, r) for every ordered pair incl. the diagonal.
 
     Pairwise-complete: each pair uses the rows where both values are present.
-    Constant columns give NULL (never a divide-by-zero error).
+    Two passes: a cheap one for per-column centre, range and completeness,
+    then one aggregate of plain sums of centred values (sum of products per
+    pair; the per-pair counts and sums only for pairs touching a column with
+    missing values). Centring keeps the sum formula accurate; a column that is
+    constant on the rows used gives NULL, never a divide-by-zero error.
     """
     cols = cols or numeric_columns(df)
-    v = {c: clean_value(df, c).cast("double") for c in cols}
+    v = {c: _val_sql(df, c) for c in cols}
+    first = df.agg(F.count(F.lit(1)).alias("n"),
+                   *[F.expr(f"avg({v[c]})").alias(f"m{i}") for i, c in enumerate(cols)],
+                   *[F.expr(f"count({v[c]})").alias(f"k{i}") for i, c in enumerate(cols)],
+                   *[F.expr(f"min({v[c]}) = max({v[c]})").alias(f"z{i}") for i, c in enumerate(cols)]).first()
+    n = first["n"]
+    centre = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
+    complete = [first[f"k{i}"] == n for i in range(len(cols))]
+    const = [bool(first[f"z{i}"]) or first[f"k{i}"] < 2 for i in range(len(cols))]
+    u = [f"({v[c]} - CAST({centre[i]!r} AS DOUBLE))" for i, c in enumerate(cols)]
     exprs = []
-    pairs = []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            both = v[a].isNotNull() & v[b].isNotNull()
-            xa = F.when(both, v[a])
-            xb = F.when(both, v[b])
-            r = F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
-            if i == j:
-                r = F.when(F.stddev_samp(xa) > 0, F.lit(1.0))
-            exprs.append(r.alias(f"_r{i}_{j}"))
-            pairs.append((i, j))
-    row = df.agg(*exprs)
+    for i in range(len(cols)):
+        exprs += [f"count({u[i]}) AS n{i}", f"sum({u[i]}) AS s{i}", f"sum({u[i]} * {u[i]}) AS q{i}"]
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            if complete[i] and complete[j]:
+                exprs.append(f"sum({u[i]} * {u[j]}) AS p{i}_{j}")
+            else:
+                both = f"{u[i]} IS NOT NULL AND {u[j]} IS NOT NULL"
+                a, b = f"CASE WHEN {both} THEN {u[i]} END", f"CASE WHEN {both} THEN {u[j]} END"
+                exprs += [f"count({a}) AS n{i}_{j}", f"sum({a}) AS a{i}_{j}", f"sum({b}) AS b{i}_{j}",
+                          f"sum({a} * {a}) AS aa{i}_{j}", f"sum({b} * {b}) AS bb{i}_{j}", f"sum({a} * {b}) AS p{i}_{j}",
+                          f"min({a}) = max({a}) AS za{i}_{j}", f"min({b}) = max({b}) AS zb{i}_{j}"]
+    row = df.agg(*[F.expr(e) for e in exprs])
+
+    def r_sql(nn, sa, sb, saa, sbb, sab):
+        num = f"({nn} * {sab} - {sa} * {sb})"
+        den = f"(({nn} * {saa} - {sa} * {sa}) * ({nn} * {sbb} - {sb} * {sb}))"
+        return f"CASE WHEN {nn} >= 2 AND {den} > 0 THEN {num} / sqrt({den}) END"
+
     structs = []
-    for i, j in pairs:
-        structs.append(F.struct(F.lit(cols[i]).alias("col1"), F.lit(cols[j]).alias("col2"), F.lit(i).alias("i"),
-                                F.lit(j).alias("j"), F.col(f"_r{i}_{j}").alias("r")))
-        if i != j:
-            structs.append(F.struct(F.lit(cols[j]).alias("col1"), F.lit(cols[i]).alias("col2"), F.lit(j).alias("i"),
-                                    F.lit(i).alias("j"), F.col(f"_r{i}_{j}").alias("r")))
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    for i in range(len(cols)):
+        diag = "CAST(NULL AS DOUBLE)" if const[i] else "1.0D"
+        structs.append(f"named_struct('col1', '{cols[i]}', 'col2', '{cols[i]}', 'i', {i}, 'j', {i}, 'r', {diag})")
+        for j in range(i + 1, len(cols)):
+            if complete[i] and complete[j]:
+                r = "CAST(NULL AS DOUBLE)" if (const[i] or const[j]) else r_sql(
+                    f"CAST(n{i} AS DOUBLE)", f"s{i}", f"s{j}", f"q{i}", f"q{j}", f"p{i}_{j}")
+            else:
+                r = (f"CASE WHEN NOT za{i}_{j} AND NOT zb{i}_{j} THEN "
+                     f"{r_sql(f'CAST(n{i}_{j} AS DOUBLE)', f'a{i}_{j}', f'b{i}_{j}', f'aa{i}_{j}', f'bb{i}_{j}', f'p{i}_{j}')} END")
+            for (x, y) in ((i, j), (j, i)):
+                structs.append(f"named_struct('col1', '{cols[x]}', 'col2', '{cols[y]}', 'i', {x}, 'j', {y}, 'r', {r})")
+    return row.selectExpr(f"inline(array({', '.join(structs)}))")
+
+
+def _val_sql(df: DataFrame, c: str) -> str:
+    """SQL text of a column as double with NaN read as NULL."""
+    x = f"CAST(`{c}` AS DOUBLE)"
+    return f"nanvl({x}, CAST(NULL AS DOUBLE))" if is_floating(df, c) else x
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, digits: int = 3) -> DataFrame:

@@ -25,7 +25,8 @@ def register(key: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+    from tablelens.sources.readers import widen
+    return widen(spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet"))
 
 
 def R(expr: str, digits: int = 6) -> str:

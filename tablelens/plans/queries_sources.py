@@ -111,3 +111,18 @@ def _sink_report(s, d):
 
 
 register("sink_report_json")(_sink_report)
+
+
+# ---------------------------------------------------------------- composite entry points
+def _profile_facade(s, d):
+    from tablelens.plans import facade
+    return facade.profile_table(orders_nulls(s, d), ["o_orderkey"])["quality_report"]
+
+
+def _eda_report(s, d):
+    from tablelens.plans import facade
+    return facade.report(orders_nulls(s, d), "o_orderstatus")
+
+
+register("profile_facade")(_profile_facade)
+register("eda_report")(_eda_report)

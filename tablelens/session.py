@@ -26,6 +26,7 @@ def get_spark(master: str | None = None, app: str = "tablelens", shuffle_partiti
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
