@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 CHUNK = 60
 
 
-def wide_agg(df: DataFrame, cols: list[str], metrics: dict[str, Callable[[str], Column]]) -> DataFrame:
+def _lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def wide_agg(df: DataFrame, cols: list[str], metrics: dict[str, Callable[[str], Column | str]]) -> DataFrame:
     """(column, ordinal, <metric...>) with one row per input column.
 
     ``metrics`` maps an output name to a function of the column name returning
-    an aggregate expression. Columns are chunked so generated code stays small;
-    each chunk is its own scan, which Spark prunes to the chunk's columns.
+    an aggregate expression, as a Column or as SQL text (cheaper to build).
+    Columns are chunked so generated code stays small; each chunk is its own
+    scan, which Spark prunes to the chunk's columns. Every metric of one name
+    must have one type across columns (the rows are exploded from one array).
     """
     parts = []
     for start in range(0, len(cols), CHUNK):
@@ -28,15 +34,29 @@ def wide_agg(df: DataFrame, cols: list[str], metrics: dict[str, Callable[[str],
         exprs = []
         for i, c in enumerate(chunk):
             for m, fn in metrics.items():
-                exprs.append(fn(c).alias(f"_{i}__{m}"))
+                e = fn(c)
+                exprs.append(F.expr(f"{e} AS `_{i}__{m}`") if isinstance(e, str) else e.alias(f"_{i}__{m}"))
         row = df.agg(*exprs)
-        structs = [
-            F.struct(F.lit(c).alias("column"), F.lit(start + i).alias("ordinal"),
-                     *[F.col(f"_{i}__{m}").alias(m) for m in metrics])
-            for i, c in enumerate(chunk)
-        ]
-        parts.append(row.select(F.explode(F.array(*structs)).alias("s")).select("s.*"))
+        structs = ", ".join(
+            f"named_struct('column', {_lit(c)}, 'ordinal', {start + i}, "
+            + ", ".join(f"'{m}', `_{i}__{m}`" for m in metrics) + ")"
+            for i, c in enumerate(chunk))
+        parts.append(row.selectExpr(f"inline(array({structs}))"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def val_sql(df: DataFrame, c: str) -> str:
+    """SQL text of a column as double, NaN read as NULL."""
+    from pyspark.sql import types as T
+    x = f"CAST(`{c}` AS DOUBLE)"
+    return f"nanvl({x}, CAST(NULL AS DOUBLE))" if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else x
+
+
+def missing_sql(df: DataFrame, c: str) -> str:
+    from pyspark.sql import types as T
+    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+        return f"(`{c}` IS NULL OR isnan(`{c}`))"
+    return f"(`{c}` IS NULL)"

@@ -107,7 +107,7 @@ def normality_sample(df: DataFrame, cols: list[str], cap: int = SAMPLE_CAP, seed
     wide = df.select(h.alias("_h"), *[clean_value(df, c).cast("double").alias(c) for c in cols])
     long = wide.unpivot(["_h"], cols, "column", "value").where(F.col("value").isNotNull())
     long = long.withColumn("_u", (F.pmod(F.xxhash64(F.col("_h"), F.col("column")), F.lit(1 << 30)) / float(1 << 30)))
-    counts = numeric_summary(df, cols).select("column", F.col("count").cast("long").alias("_n"))
+    counts = numeric_summary(df, cols, ["count"]).select("column", F.col("count").cast("long").alias("_n"))
     keep = counts.select("column", F.least(F.lit(1.0), F.lit(oversample * cap) / F.greatest(F.col("_n"), F.lit(1))).alias("_p"))
     cand = long.join(F.broadcast(keep), "column").where(F.col("_u") < F.col("_p"))
     w = Window.partitionBy("column").orderBy("_u", "_h", "value")
@@ -133,7 +133,7 @@ def shapiro_wilk(df: DataFrame, cols: list[str] | None = None, cap: int = SAMPLE
 def anderson_darling(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A^2 of each column against a normal with the sample mean and (ddof 1) std."""
     cols = cols or numeric_columns(df)
-    s = numeric_summary(df, cols).select("column", "mean", "std", F.col("count").cast("long").alias("N"))
+    s = numeric_summary(df, cols, ["count", "mean", "std"]).select("column", "mean", "std", F.col("count").cast("long").alias("N"))
     wide = df.select(*[clean_value(df, c).cast("double").alias(c) for c in cols])
     long = wide.unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
     freq = long.groupBy("column", "value").agg(F.count(F.lit(1)).cast("long").alias("m"))

@@ -19,7 +19,7 @@ from tablelens.functions.columns import (
     string_long,
 )
 from tablelens.functions.numfmt import sig
-from tablelens.functions.wide import wide_agg
+from tablelens.functions.wide import missing_sql, wide_agg
 
 _FIXED_WIDTH = {
     T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8,
@@ -48,8 +48,8 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A2: (column, ordinal, null_count, n_rows). NaN counts as missing."""
     cols = cols or df.columns
     return wide_agg(df, cols, {
-        "null_count": lambda c: F.sum(missing_flag(df, c).cast("long")),
-        "n_rows": lambda c: F.count(F.lit(1)),
+        "null_count": lambda c: f"count(CASE WHEN {missing_sql(df, c)} THEN 1 END)",
+        "n_rows": lambda c: "count(1)",
     })
 
 

@@ -39,7 +39,7 @@ def column_facts(df: DataFrame) -> DataFrame:
     out = t.join(nc, "column").join(dc, "column")
     num = numeric_columns(df)
     if num:
-        out = out.join(numeric_summary(df, num).select("column", "std", "skewness"), "column", "left")
+        out = out.join(numeric_summary(df, num, ["std", "skewness"]).select("column", "std", "skewness"), "column", "left")
     else:
         out = out.withColumn("std", F.lit(None).cast("double")).withColumn("skewness", F.lit(None).cast("double"))
     cat = categorical_columns(df)
@@ -177,7 +177,7 @@ def eda_recommendations(df: DataFrame, target: str | None = None) -> DataFrame:
             rows.append(("regression", "Regression task: try random forest, gradient boosting or linear models."))
     num = numeric_columns(df)
     if num:
-        s = numeric_summary(df, num).agg(F.max("std").alias("mx"), F.min("std").alias("mn")).first()
+        s = numeric_summary(df, num, ["std"]).agg(F.max("std").alias("mx"), F.min("std").alias("mn")).first()
         if s["mn"] is not None and (s["mn"] == 0 or s["mx"] / s["mn"] > 100):
             rows.append(("scaling", "Features have very different scales; standardise or normalise."))
     if ov["n_rows"] < 1000:
@@ -265,7 +265,7 @@ def chart_insights(df: DataFrame, target: str | None = None, x: str | None = Non
     num = numeric_columns(df)
     rows = []
     if num:
-        s = {r["column"]: r for r in numeric_summary(df, num).collect()}
+        s = {r["column"]: r for r in numeric_summary(df, num, ["skewness"]).collect()}
         nc = {r["column"]: r for r in null_counts(df).collect()}
         o = {r["column"]: r for r in iqr_outliers(df, num).collect()}
         for c in num:

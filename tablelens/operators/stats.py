@@ -9,29 +9,22 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import categorical_columns, clean_value, numeric_columns
 from tablelens.functions.numfmt import sig
 from tablelens.functions.quantiles import quantiles_wide
-from tablelens.functions.wide import wide_agg
+from tablelens.functions.wide import val_sql, wide_agg
 from tablelens.operators.profile import value_frequencies
 
 
-def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """All single-pass moments per numeric column (raw doubles, not rounded)."""
-    cols = cols or numeric_columns(df)
+SUMMARY_METRICS = {
+    "count": "count({x})", "mean": "avg({x})", "std": "stddev_samp({x})", "std_pop": "stddev_pop({x})",
+    "variance": "var_samp({x})", "min": "min({x})", "max": "max({x})", "skewness": "skewness({x})",
+    "kurtosis": "kurtosis({x})", "n_negative": "count(CASE WHEN {x} < 0 THEN 1 END)",
+}
 
-    def v(c):
-        return clean_value(df, c).cast("double")
 
-    return wide_agg(df, cols, {
-        "count": lambda c: F.count(v(c)),
-        "mean": lambda c: F.avg(v(c)),
-        "std": lambda c: F.stddev_samp(v(c)),
-        "std_pop": lambda c: F.stddev_pop(v(c)),
-        "variance": lambda c: F.var_samp(v(c)),
-        "min": lambda c: F.min(v(c)),
-        "max": lambda c: F.max(v(c)),
-        "skewness": lambda c: F.skewness(v(c)),
-        "kurtosis": lambda c: F.kurtosis(v(c)),
-        "n_negative": lambda c: F.count(F.when(v(c) < 0, 1)),
-    })
+def numeric_summary(df: DataFrame, cols: list[str] | None = None, metrics: list[str] | None = None) -> DataFrame:
+    """Single-pass moments per numeric column (raw doubles, not rounded); ``metrics`` picks a subset."""
+    cols = cols or numeric_columns(df)
+    names = metrics or list(SUMMARY_METRICS)
+    return wide_agg(df, cols, {m: (lambda c, m=m: SUMMARY_METRICS[m].format(x=val_sql(df, c))) for m in names})
 
 
 def quartiles(df: DataFrame, cols: list[str] | None = None, **kw) -> DataFrame:
@@ -44,7 +37,7 @@ def quartiles(df: DataFrame, cols: list[str] | None = None, **kw) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, **kw) -> DataFrame:
     """Pandas ``describe()`` per numeric column."""
     cols = cols or numeric_columns(df)
-    s = numeric_summary(df, cols)
+    s = numeric_summary(df, cols, ["count", "mean", "std", "min", "max"])
     q = quantiles_wide(df, cols, (0.25, 0.5, 0.75), ["p25", "p50", "p75"], **kw)
     return s.join(q, "column", "left").select(
         "column", "ordinal", F.col("count").cast("long").alias("count"),
@@ -106,17 +99,17 @@ def describe_all(df: DataFrame, **kw) -> DataFrame:
 
 def skewness(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Population (biased) skewness, NULL for constant columns."""
-    return numeric_summary(df, cols).select("column", F.round("skewness", 6).alias("skewness"))
+    return numeric_summary(df, cols, ["skewness"]).select("column", F.round("skewness", 6).alias("skewness"))
 
 
 def kurtosis(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Excess kurtosis, population (biased)."""
-    return numeric_summary(df, cols).select("column", F.round("kurtosis", 6).alias("kurtosis"))
+    return numeric_summary(df, cols, ["kurtosis"]).select("column", F.round("kurtosis", 6).alias("kurtosis"))
 
 
 def variance_cv(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Sample variance and coefficient of variation (0 when the mean is 0)."""
-    s = numeric_summary(df, cols)
+    s = numeric_summary(df, cols, ["mean", "std", "variance"])
     return s.select("column", sig("variance").alias("variance"),
                     sig(F.when(F.col("mean") != 0, F.try_divide(F.col("std"), F.col("mean"))).otherwise(F.lit(0.0)))
                     .alias("coefficient_of_variation"))
@@ -124,7 +117,7 @@ def variance_cv(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def scale_ratio(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """max(std) / min(std) over numeric columns; a zero minimum means an infinite ratio."""
-    s = numeric_summary(df, cols)
+    s = numeric_summary(df, cols, ["std"])
     return s.agg(F.max("std").alias("max_std"), F.min("std").alias("min_std")).select(
         sig("max_std").alias("max_std"), sig("min_std").alias("min_std"),
         sig(F.try_divide(F.col("max_std"), F.col("min_std"))).alias("scale_ratio"),

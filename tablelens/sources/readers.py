@@ -13,6 +13,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +40,9 @@ def widen(df: DataFrame) -> DataFrame:
 
     A single large file with one row group is read by one task; a round-robin
     repartition lets the following per-row work (casts, unpivots, partial
-    aggregates) use every core. Scans of many files already have enough
-    partitions and are returned unchanged (no shuffle is added at scale).
+    aggregates) use every core, and the spread copy is cached (it is small by
+    definition: fewer input splits than cores). Scans of many files already have
+    enough partitions and are returned unchanged -- no shuffle, no cache at scale.
     """
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
@@ -49,7 +51,8 @@ def widen(df: DataFrame) -> DataFrame:
     except Exception:  # noqa: BLE001 -- no estimate: leave the scan as it is
         return df
     if size >= WIDEN_MIN_BYTES and df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
+        # the input is small next to the cluster: keep the spread copy for the next passes
+        return df.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
     return df
 
 
