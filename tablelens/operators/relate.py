@@ -27,6 +27,8 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     constant on the rows used gives NULL, never a divide-by-zero error.
     """
     cols = cols or numeric_columns(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col1 string, col2 string, i int, j int, r double")
     v = {c: _val_sql(df, c) for c in cols}
     first = df.agg(F.count(F.lit(1)).alias("n"),
                    *[F.expr(f"avg({v[c]})").alias(f"m{i}") for i, c in enumerate(cols)],
