@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.numfmt import sig
 from tablelens.operators import explain, features, normality, resample
 from tablelens.operators import models as M
-from tablelens.plans.catalog import LINEITEM_NUM, R, S, register, table, union
+from tablelens.plans.catalog import LINEITEM_NUM, S, register, table, union
 from tablelens.session import scratch_path
 
 # ---------------------------------------------------------------- normality (no SciPy in the oracle: rows only)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tablelens.functions.numfmt import sig
 from tablelens.operators import drift, evaluate, prep, scaling, splits
 from tablelens.plans.catalog import (
-    LINEITEM_NUM,
     ORDERS_NULLS_COLS,
     ORDERS_NULLS_SQL,
     R,

@@ -12,7 +12,6 @@ from tablelens.plans.catalog import (
     R,
     S,
     _kind,
-    _profiled,
     orders_nulls,
     register,
     table,
