@@ -40,8 +40,14 @@ def adjusted_test_size(n: int, k: int, test_size: float) -> float:
 
 def split_stratified(df: DataFrame, key_cols: list[str], target: str, test_size: float = 0.2,
                      seed: int = 42) -> DataFrame:
-    """Per class, the first round(n_c * test_size) rows by hash go to test."""
+    """Per class, the first round(n_c * test_size) rows by hash go to test.
+
+    As in the reference, a test share that would leave fewer training rows than
+    classes is reduced to max(0.1, (n - k) / n - 0.05).
+    """
     counts = df.groupBy(F.col(target).alias("_t")).agg(F.count(F.lit(1)).alias("_nc"))
+    tot = counts.agg(F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    test_size = adjusted_test_size(tot["n"] or 0, tot["k"] or 0, test_size)
     h = df.withColumn("_h", hash_key(key_cols, seed))
     ranked = row_number(h, [target], ["_h", *key_cols], "_rn")
     # class counts are #classes rows

@@ -102,7 +102,8 @@ _plan_parts = ["SELECT 0 AS ord, 'pie' AS chart, 'dtypes' AS columns",
                f"SELECT 1, 'bar', {_MISSING_COLS} WHERE {_ANY_MISSING}"]
 _plan_parts += [f"SELECT {2 + i}, 'histogram', '{c}'" for i, c in enumerate(_NUM_ON[:5])]
 _plan_parts.append(f"SELECT 10, 'correlation_heatmap', '{','.join(_NUM_ON)}'")
-_plan_parts.append(f"SELECT 11, CASE WHEN true OR (SELECT count(DISTINCT o_orderstatus) FROM orders) < 10 THEN 'bar' ELSE 'histogram' END, 'o_orderstatus'")
+# the target is a string column, so its chart is a bar whatever its distinct count
+_plan_parts.append("SELECT 11, 'bar', 'o_orderstatus'")
 _plan_parts.append(f"SELECT 12, 'missing_heatmap', '{','.join(ON_ALL)}' WHERE {_ANY_MISSING}")
 _plan_parts += [f"SELECT {13 + i}, 'box', '{c}'" for i, c in enumerate(_NUM_ON[:3])]
 _plan_parts.append(f"SELECT 20, 'pca_scatter', '{','.join(_NUM_ON)}' WHERE (SELECT count(*) FROM orders) >= 10")
@@ -221,5 +222,42 @@ register("eda_recommendations",
              f"SELECT 4, 'more_data', 'Few rows: augment or collect more data.' WHERE {_LI_CNT} < 1000"]) + ")")(
     lambda s, d: rules.eda_recommendations(table(s, d, "lineitem"), "l_returnflag"))
 
-register("suggest_preprocessing")(lambda s, d: rules.suggest_preprocessing(orders_nulls(s, d), "o_orderstatus"))
+def _prep_suggest_sql():
+    num_kind = [c for c, t in ORDERS_NULLS_COLS if _kind(t) == "numeric"]
+    cast = ", ".join(f"{c}::DOUBLE AS {c}" for c in num_kind)
+    n = f"(SELECT count(*) FROM {ON})"
+    n_feat = len(ORDERS_NULLS_COLS) - 1
+    long = f"(UNPIVOT (SELECT {cast} FROM {ON}) ON COLUMNS(*) INTO NAME col VALUE v)"
+    ft = f"({_ft_sql(ORDERS_NULLS_COLS, ON)})"
+    numf = f"(SELECT \"column\" FROM {ft} WHERE feature_type = 'numeric')"
+    st = f"(SELECT col, stddev_samp(v) AS sd, min(v) AS mn FROM {long} WHERE col IN {numf} GROUP BY col)"
+    q = f"(SELECT col, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM {long} GROUP BY col)"
+    outl = (f"(SELECT count(*) FROM {long} l JOIN {q} q USING (col) WHERE l.col IN {numf} "
+            f"AND (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)))")
+    parts = [
+        f"SELECT 0 AS ord, 0 AS sub, 'scaling' AS aspect, NULL AS \"column\", CASE WHEN (SELECT min(sd) = 0 OR max(sd) / min(sd) > 100 "
+        f"OR min(mn) < 0 FROM {st}) THEN 'standard' ELSE 'minmax' END AS suggestion WHERE (SELECT count(*) FROM {numf}) > 0",
+        f"SELECT 1, 0, 'feature_selection', NULL, CASE WHEN {n_feat} > {n} THEN 'univariate' ELSE 'model_based' END "
+        f"WHERE {n_feat} > {n} OR {n_feat} > 50",
+        f"SELECT 2, 0, 'dimensionality_reduction', NULL, 'pca' WHERE {n_feat} > 20 AND {n} > 100",
+        f"SELECT 3, 0, 'encoding', NULL, 'one_hot_encoding' WHERE (SELECT count(*) FROM {ft} WHERE feature_type = 'categorical') > 0",
+        f"SELECT 4, 0, 'encoding', NULL, 'target_encoding' WHERE (SELECT count(*) FROM {ft} WHERE feature_type = 'high_cardinality') > 0",
+    ]
+    for i, (c, t) in enumerate(ORDERS_NULLS_COLS):
+        frac = f"(count(*) FILTER (WHERE {c} IS NULL) / count(*))"
+        strat = (f"CASE WHEN {frac} > 0.5 THEN 'drop_column' WHEN {frac} < 0.1 THEN 'mean_imputation' ELSE 'median_imputation' END"
+                 if _kind(t) == "numeric" else f"CASE WHEN {frac} > 0.5 THEN 'drop_column' ELSE 'mode_imputation' END")
+        parts.append(f"SELECT 5, {i}, 'missing_value_strategy', '{c}', {strat} FROM {ON} HAVING {frac} > 0")
+    parts += [
+        f"SELECT 6, 0, 'outlier_treatment', NULL, 'true' WHERE (SELECT count(*) FROM {numf}) > 0 AND {outl} > {n} * 0.05",
+        f"SELECT 7, 0, 'feature_engineering', NULL, 'datetime_features' WHERE (SELECT count(*) FROM {ft} WHERE feature_type = 'datetime') > 0",
+        f"SELECT 8, 0, 'feature_engineering', NULL, 'polynomial_features' WHERE (SELECT count(*) FROM {numf}) > 1",
+        f"SELECT 9, 0, 'feature_engineering', NULL, 'text_features' WHERE (SELECT count(*) FROM {ft} WHERE feature_type = 'text') > 0",
+    ]
+    return (f"SELECT (row_number() OVER (ORDER BY ord, sub) - 1)::INTEGER AS position, aspect, \"column\", suggestion "
+            f"FROM ({union(parts)})")
+
+
+register("suggest_preprocessing", _prep_suggest_sql())(
+    lambda s, d: rules.suggest_preprocessing(orders_nulls(s, d), "o_orderstatus"))
 register("chart_insights")(lambda s, d: rules.chart_insights(orders_nulls(s, d), "o_orderstatus", "o_totalprice", "o_custkey"))
