@@ -260,4 +260,40 @@ def _prep_suggest_sql():
 
 register("suggest_preprocessing", _prep_suggest_sql())(
     lambda s, d: rules.suggest_preprocessing(orders_nulls(s, d), "o_orderstatus"))
-register("chart_insights")(lambda s, d: rules.chart_insights(orders_nulls(s, d), "o_orderstatus", "o_totalprice", "o_custkey"))
+def _chart_insights_sql():
+    num = [c for c, t in ORDERS_NULLS_COLS if _kind(t) == "numeric"]
+    parts = []
+    for i, c in enumerate(num):
+        x = f"{c}::DOUBLE"
+        sk = (f"(SELECT CASE WHEN m2 = 0 THEN NULL ELSE m3 / power(m2, 1.5) END FROM (SELECT avg(power(x - m, 2)) AS m2, "
+              f"avg(power(x - m, 3)) AS m3 FROM (SELECT x, avg(x) OVER () AS m FROM (SELECT {x} AS x FROM {ON} WHERE {c} IS NOT NULL))))")
+        q = f"(SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM {ON})"
+        oc = f"(SELECT count(*) FILTER (WHERE {x} < q1 - 1.5 * (q3 - q1) OR {x} > q3 + 1.5 * (q3 - q1)) FROM {ON}, {q})"
+        nulls = f"(SELECT count(*) FILTER (WHERE {c} IS NULL) FROM {ON})"
+        parts += [
+            f"SELECT {i * 3} AS ord, 'histogram' AS chart, '{c}' AS \"column\", CASE WHEN {sk} IS NOT NULL AND abs({sk}) > 1 "
+            f"THEN CASE WHEN {sk} > 0 THEN 'right_skewed' ELSE 'left_skewed' END ELSE 'symmetric' END AS insight",
+            f"SELECT {i * 3 + 1}, 'histogram', '{c}', 'missing:' || {nulls} WHERE {nulls} > 0",
+            f"SELECT {i * 3 + 2}, 'box', '{c}', CASE WHEN {oc} > 0 THEN 'outliers:' || {oc} || ':' || "
+            f"printf('%.1f', {oc} * 100.0 / (SELECT count(*) FROM {ON})) || '%' ELSE 'no_outliers' END"]
+    base = len(num) * 3
+    r = f"(SELECT corr(o_totalprice, o_custkey::DOUBLE) FROM {ON})"
+    parts.append(f"SELECT {base}, 'scatter', 'o_totalprice,o_custkey', CASE WHEN abs({r}) > 0.7 THEN "
+                 f"'strong_' || CASE WHEN {r} > 0 THEN 'positive' ELSE 'negative' END WHEN abs({r}) > 0.3 THEN "
+                 f"'moderate_' || CASE WHEN {r} > 0 THEN 'positive' ELSE 'negative' END ELSE 'weak' END WHERE {r} IS NOT NULL")
+    miss = ("(SELECT * FROM (" + union(
+        f"SELECT count(*) FILTER (WHERE {c} IS NULL) AS m, count(*) AS n FROM {ON}" for c in ON_ALL) + ") WHERE m > 0)")
+    parts.append(f"SELECT {base + 1}, 'missing', NULL, 'columns_with_missing:' || (SELECT count(*) FROM {miss}) "
+                 f"WHERE (SELECT count(*) FROM {miss}) > 0")
+    parts.append(f"SELECT {base + 2}, 'missing', NULL, 'columns_over_50pct:' || (SELECT count(*) FROM {miss} WHERE m * 100.0 / n > 50) "
+                 f"WHERE (SELECT count(*) FROM {miss} WHERE m * 100.0 / n > 50) > 0")
+    cls = "(SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1)"
+    parts.append(f"SELECT {base + 3}, 'target', 'o_orderstatus', 'classes:' || (SELECT count(*) FROM {cls})")
+    parts.append(f"SELECT {base + 4}, 'target', 'o_orderstatus', 'imbalance:' || printf('%.1f', (SELECT max(n) / min(n) FROM {cls})) "
+                 f"WHERE (SELECT max(n) / min(n) FROM {cls}) > 5")
+    return (f"SELECT (row_number() OVER (ORDER BY ord) - 1)::INTEGER AS position, chart, \"column\", insight "
+            f"FROM ({union(parts)})")
+
+
+register("chart_insights", _chart_insights_sql())(
+    lambda s, d: rules.chart_insights(orders_nulls(s, d), "o_orderstatus", "o_totalprice", "o_custkey"))
