@@ -12,6 +12,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -106,7 +107,7 @@ def make_estimator(name: str, task: str, n_classes: int = 2, hp: dict | None = N
         if name == "logistic_regression":
             return LogisticRegression(featuresCol=fcol, labelCol=lcol, maxIter=100, regParam=1.0 / 1000)
         if name == "svm":
-            svc = LinearSVC(featuresCol=fcol, labelCol=lcol, maxIter=50)
+            svc = LinearSVC(featuresCol=fcol, labelCol=lcol, maxIter=cfg.max_iter, regParam=0.01)
             return svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol=fcol, labelCol=lcol)
         if name == "naive_bayes":
             return NaiveBayes(featuresCol=fcol, labelCol=lcol, modelType="gaussian")
@@ -171,17 +172,20 @@ def prepare(df: DataFrame, target: str, task: str, features: list[str] | None =
 def train(train_df: DataFrame, target: str, algorithm: str, task: str, hp: dict | None = None,
           features: list[str] | None = None, cfg: TrainConfig | None = None) -> PipelineModel:
     """Fit one algorithm as a full pipeline on the training rows."""
-    prepared = prepare(train_df, target, task, features)
-    stages, _ = feature_stages(train_df, target, task, features)
-    n_classes = train_df.select(target).distinct().count() if task == "classification" else 0
-    est = make_estimator(algorithm, task, n_classes, hp, cfg)
-    stages = stages + [est]
+    # every stage fit and every optimiser iteration reads the training rows: materialise them once
+    prepared = prepare(train_df, target, task, features).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stages, _ = feature_stages(train_df, target, task, features)
+        n_classes = prepared.select(f"{target}__str").distinct().count() if task == "classification" else 0
+        est = make_estimator(algorithm, task, n_classes, hp, cfg)
+        model = Pipeline(stages=stages + [est]).fit(prepared)
+    finally:
+        prepared.unpersist()
     if task == "classification":
-        model = Pipeline(stages=stages).fit(prepared)
         labels = model.stages[0].labels
         return PipelineModel(stages=model.stages + [IndexToString(inputCol="prediction", outputCol="predicted_label",
                                                                   labels=labels)])
-    return Pipeline(stages=stages).fit(prepared)
+    return model
 
 
 def predict(model: PipelineModel, df: DataFrame, target: str, task: str, features: list[str] | None = None) -> DataFrame:
@@ -244,7 +248,7 @@ def tune(train_df: DataFrame, target: str, algorithm: str, task: str, n_trials:
     features = features or [c for c in train_df.columns if c != target]
     keys = key_cols or list(train_df.columns)
     folded = cv_folds(train_df, keys, folds, target if task == "classification" else None)
-    prepared = prepare(folded, target, task, features, extra=["fold"])
+    prepared = prepare(folded, target, task, features, extra=["fold"]).persist(StorageLevel.MEMORY_AND_DISK)
     stages, _ = feature_stages(train_df, target, task, features)
     n_classes = train_df.select(target).distinct().count() if task == "classification" else 0
     results = []
@@ -260,6 +264,7 @@ def tune(train_df: DataFrame, target: str, algorithm: str, task: str, n_trials:
             results.append((hp, float(m.avgMetrics[0])))
         except Exception:  # a failed trial scores 0, as in the reference
             results.append((hp, 0.0))
+    prepared.unpersist()
     best = max(results, key=lambda t: t[1])
     return best[0], results
 

