@@ -27,6 +27,7 @@ DEFAULT_PROBS = (0.25, 0.5, 0.75)
 MAX_LOCAL_DOMAIN = 1_000_000
 SELECT_BUCKETS = 4096
 SELECT_ROUNDS = 2
+MAX_GROUPS_COLLECT = 10_000
 
 
 def frequency(long: DataFrame) -> DataFrame:
@@ -45,10 +46,11 @@ def select_ranks(freq: DataFrame, targets: DataFrame, buckets: int = SELECT_BUCK
 
     freq: (column, value, n); targets: (column, tid, r). Returns (column, tid, value).
     """
+    # rng and cur have one row per (column, target): the planner broadcasts them when they are small
     rng = freq.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    cur = targets.join(F.broadcast(rng), "column").withColumn("below", F.lit(0).cast("long"))
+    cur = targets.join(rng, "column").withColumn("below", F.lit(0).cast("long"))
     for _ in range(rounds):
-        cand = freq.join(F.broadcast(cur), "column").where(
+        cand = freq.join(cur, "column").where(
             (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
         bc = (
             cand.withColumn("b", _bucket(F.col("value"), F.col("lo"), F.col("hi"), buckets))
@@ -60,7 +62,7 @@ def select_ranks(freq: DataFrame, targets: DataFrame, buckets: int = SELECT_BUCK
         cur = bc.where((F.col("cum") - F.col("bn") <= F.col("r")) & (F.col("r") < F.col("cum"))).select(
             "column", "tid", "r", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
             (F.col("cum") - F.col("bn")).alias("below"))
-    rows = freq.join(F.broadcast(cur), "column").where(
+    rows = freq.join(cur, "column").where(
         (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
     w = Window.partitionBy("column", "tid").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("cum", F.col("below") + F.sum("n").over(w))
@@ -109,6 +111,12 @@ def quantiles_from_freq(freq: DataFrame, probs=DEFAULT_PROBS, max_local_domain:
     """
     probs = [float(p) for p in probs]
     dom = freq.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("N"))
+    if dom.limit(MAX_GROUPS_COLLECT + 1).count() > MAX_GROUPS_COLLECT:
+        # many groups (e.g. a box plot by a high-cardinality key): route lazily by joins
+        small = dom.where(F.col("d") <= max_local_domain).select("column")
+        large = dom.where(F.col("d") > max_local_domain).select("column", "N")
+        return _local_from_freq(freq.join(small, "column", "left_semi"), probs).unionByName(
+            _distributed(freq.join(large.select("column"), "column", "left_semi"), large, probs))
     rows = dom.collect()
     small = [r["column"] for r in rows if r["d"] <= max_local_domain]
     large = [r["column"] for r in rows if r["d"] > max_local_domain]

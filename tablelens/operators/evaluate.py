@@ -16,8 +16,8 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """(label, prediction, n) over the full class x class grid (zero cells kept)."""
     pairs = df.groupBy(F.col(label).cast("string").alias("label"), F.col(prediction).cast("string").alias("prediction")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    classes = sorted({r[0] for r in pairs.select("label").union(pairs.select("prediction")).distinct().collect()
-                      if r[0] is not None})
+    seen = pairs.select("label").union(pairs.select("prediction")).distinct().limit(MAX_CLASSES + 2).collect()
+    classes = sorted({r[0] for r in seen if r[0] is not None})
     if len(classes) > MAX_CLASSES:
         raise ValueError("too many classes for a dense confusion matrix")
     arr = F.array(*[F.lit(c) for c in classes])

@@ -27,8 +27,14 @@ def _interpolate(base: str, nb: str, lam: str) -> F.Column:
     return F.zip_with(F.col(base), F.col(nb), lambda a, b: a + F.col(lam) * (b - a))
 
 
+MAX_CLASSES = 10_000
+
+
 def _class_plan(df: DataFrame, label: str) -> tuple[list, int]:
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError("too many classes for over-sampling")
+    counts = {r[label]: r["n"] for r in rows}
     return list(counts.items()), max(counts.values()) if counts else 0
 
 

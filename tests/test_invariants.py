@@ -124,3 +124,16 @@ def test_row_number_window_equivalent(spark):
     r = ranking.row_number(o, ["o_custkey"], ["o_orderkey"], window_max_rows=0)
     ref = o.withColumn("ref", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
     assert r.join(ref, ["o_orderkey", "o_custkey"]).where("rn <> ref").count() == 0
+
+
+def test_many_group_quantiles_lazy_path(spark, monkeypatch):
+    from tablelens.operators import charts
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    a = {r["group"]: r.asDict() for r in charts.box_stats(li, "l_extendedprice", "l_linenumber").collect()}
+    monkeypatch.setattr(Q, "MAX_GROUPS_COLLECT", 2)
+    monkeypatch.setattr(Q, "MAX_LOCAL_DOMAIN", 10)
+    b = {r["group"]: r.asDict() for r in charts.box_stats(li, "l_extendedprice", "l_linenumber").collect()}
+    assert a.keys() == b.keys()
+    for g in a:
+        for k in ("q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"):
+            assert a[g][k] == pytest.approx(b[g][k], rel=1e-9)
