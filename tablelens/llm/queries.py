@@ -75,3 +75,11 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     from tablelens.llm.bpe import round_trip
     return round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@register("op9_suffix_dedup")
+def op9(spark, sf_dir):
+    from tablelens.llm.suffix_dedup import remove_repeats
+    out = remove_repeats(table(spark, sf_dir, "documents"), window=400)
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed").cast("long"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
