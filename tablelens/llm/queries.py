@@ -83,3 +83,18 @@ def op9(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents"), window=400)
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed").cast("long"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The chain's order: the tables label two kinds, and junk is told first.
+TOXIC_CHAIN = ["low_quality", "toxic"]
+
+
+def labelled(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+@register("op10_toxicity")
+def op10(spark, sf_dir):
+    from tablelens.llm.toxicity import toxicity
+    out = toxicity(table(spark, sf_dir, "documents"), labelled(spark, sf_dir), TOXIC_CHAIN)
+    return out.withColumn("toxic", F.col("p_toxic") >= 0.5)
