@@ -19,6 +19,7 @@ import hashlib
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,12 @@ class Bpe:
         return self.decode_bytes(ids).tobytes().decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> Bpe:
+    """One encoder per Python worker: what a task has learnt serves the tasks after it."""
+    return Bpe(path)
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False,
                batch_bytes: int = 2 << 20) -> DataFrame:
     """Encode and decode each row: (id_col, n_tokens, ids_sha256, decoded_sha256), and with ``texts`` the
@@ -193,7 +200,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def run(batches):
-        bpe = Bpe(path)
+        bpe = loaded(path)
         for batch in by_bytes(batches, "__text", batch_bytes):
             raw = [bpe.encode(t.decode("utf-8", "replace")) for t in batch.column("__text").to_pylist()]
             n = [len(r) // 4 for r in raw]

@@ -13,6 +13,7 @@ can't arise; bytes that aren't UTF-8 count as U+FFFD does.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,12 @@ from tablelens.llm.chunks import Remembered
 from tablelens.llm.common import by_bytes, text_bytes
 
 
+@lru_cache(maxsize=2)
+def known_lengths(model_path: str) -> Remembered:
+    """One table of counted words per Python worker: what a task has learnt serves the tasks after it."""
+    return Remembered(_lengths(model_path))
+
+
 def _lengths(model_path: str):
     """words (bytes) -> token counts, as the library gives without special tokens added."""
     if model_path.endswith(".model"):
@@ -59,8 +66,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     by_word = drops_space(model_path)
 
     def run(batches):
-        count = _lengths(model_path)
-        known = Remembered(count)
+        known = known_lengths(model_path)
         for batch in by_bytes(batches, "__text", batch_bytes):
             texts = batch.column("__text").to_pylist()
             if by_word:
@@ -71,7 +77,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                     n.append(sum(map(known.__getitem__, ws)))
                     known.forget_long()
             else:
-                n = count(texts)
+                n = known.encode(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64())],
                 names=[id_col, "n_bytes", "n_tokens"])

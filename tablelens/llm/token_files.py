@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ HEAD = struct.Struct("<QI")
 KEY = struct.Struct("<Bq")
 
 
+@lru_cache(maxsize=2)
 def library_pieces(path: str) -> Pieces:
-    """Texts to ids (little-endian u32) by the tokenizers library, repeated pieces remembered."""
+    """Texts to ids (little-endian u32) by the tokenizers library, repeated pieces remembered; one per
+    Python worker, so that what a task has learnt serves the tasks after it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
