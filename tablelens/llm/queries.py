@@ -98,3 +98,9 @@ def op10(spark, sf_dir):
     from tablelens.llm.toxicity import toxicity
     out = toxicity(table(spark, sf_dir, "documents"), labelled(spark, sf_dir), TOXIC_CHAIN)
     return out.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+@register("op5_embedding_dedup")
+def op5(spark, sf_dir):
+    from tablelens.llm.embed_dedup import embedding_duplicates
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
