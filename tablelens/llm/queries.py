@@ -104,3 +104,10 @@ def op10(spark, sf_dir):
 def op5(spark, sf_dir):
     from tablelens.llm.embed_dedup import embedding_duplicates
     return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@register("op1_nearest_neighbours")
+def op1(spark, sf_dir):
+    from tablelens.llm.ann_projections import nearest
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
