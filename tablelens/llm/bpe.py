@@ -189,26 +189,28 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False,
-               batch_bytes: int = 2 << 20) -> DataFrame:
-    """Encode and decode each row: (id_col, n_tokens, ids_sha256, decoded_sha256), and with ``texts`` the
-    real outputs ``ids`` (array of int) and ``decoded``."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False,
+               texts: bool = False, batch_bytes: int = 2 << 20) -> DataFrame:
+    """Encode and decode each row: (id_col, n_tokens, ids_sha256, decoded_sha256), and the outputs
+    themselves if asked for: ``ids`` (array of int), ``decoded`` with ``texts``."""
     df = text_bytes(docs, id_col, text=text_col)
     fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
               T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     if texts:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+        fields.append(T.StructField("decoded", T.StringType()))
 
     def run(batches):
         bpe = loaded(path)
         for batch in by_bytes(batches, "__text", batch_bytes):
             raw = [bpe.encode(t.decode("utf-8", "replace")) for t in batch.column("__text").to_pylist()]
             n = [len(r) // 4 for r in raw]
-            ids = np.frombuffer(b"".join(raw), dtype="<u4")
+            flat_ids = np.frombuffer(b"".join(raw), dtype="<u4")
             ends = np.cumsum([0, *n])
             size = np.diff(bpe.offsets)
-            cuts = np.concatenate([[0], np.cumsum(size[ids])])[ends].tolist()
-            flat = bpe.decode_bytes(ids).tobytes()
+            cuts = np.concatenate([[0], np.cumsum(size[flat_ids])])[ends].tolist()
+            flat = bpe.decode_bytes(flat_ids).tobytes()
             back = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
             try:
                 flat.decode()
@@ -217,9 +219,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             cols = [batch.column(id_col), pa.array(n, pa.int64()),
                     pa.array([hashlib.sha256(r).hexdigest() for r in raw]),
                     pa.array([hashlib.sha256(b).hexdigest() for b in back])]
+            if ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat_ids.astype(np.int32))))
             if texts:
-                cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))),
-                         pa.array([b.decode() for b in back])]
+                cols.append(pa.array([b.decode() for b in back], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return df.mapInArrow(run, T.StructType(fields))

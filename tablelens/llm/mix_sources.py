@@ -167,9 +167,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the input's rows and columns, each row as often as the mix takes it."""
     id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    copies = written(mix(docs, **options).groupBy(*UNIT).agg(F.max("copies").alias("copies")).where("copies > 0"), "copies")
-    left = docs.withColumn("__size", word_count(text_col))
-    return (left.join(copies, F.col(f"`{id_col}`").cast("long").eqNullSafe(copies["id"])
-                      & F.col(f"`{source_col}`").cast("string").eqNullSafe(copies["source"]) & (F.col("__size") == copies["size"]))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), copies["copies"])))
-            .select(*[docs[c] for c in docs.columns]))
+    copies = written(mix(docs, **options).groupBy(*UNIT).agg(F.max("copies").alias("copies")).where("copies > 0")
+                     .select(*[F.col(c).alias(f"__{c}") for c in [*UNIT, "copies"]]), "copies")
+    left = docs.withColumn("__words", word_count(text_col))
+    return (left.join(copies, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id"))
+                      & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

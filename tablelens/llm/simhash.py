@@ -55,15 +55,15 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp), fp as a signed long."""
-    df = text_bytes(docs, id_col, text=text_col)
+    """(id_col, tag, fp), fp as a signed long; tag is a hash of the text that tells rows with equal ids apart."""
+    df = text_bytes(docs, id_col, text=text_col).withColumn("tag", F.xxhash64("__text"))
 
     def run(batches):
         for batch in by_bytes(batches, "__text", 8 << 20):
             fps = np.array([fingerprint(t, words) for t in batch.column("__text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("tag"), pa.array(fps.view(np.int64))], names=[id_col, "tag", "fp"])
 
-    return df.mapInArrow(run, T.StructType([df.schema[id_col], T.StructField("fp", T.LongType())]))
+    return df.mapInArrow(run, T.StructType([df.schema[id_col], T.StructField("tag", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def _masks(width: int, most: int) -> list[int]:
@@ -113,13 +113,30 @@ def links(fps: DataFrame, bits: int = 2, segments: int = 2, full: int = 64) -> D
     return found.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
+def classes(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 2, id_col: str = "doc_id",
+            text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (id_col, tag, fp) and, for each distinct fp, the root of its component and the component's least
+    (id, tag)."""
+    rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min(F.struct(F.col(f"`{id_col}`").alias("id"), "tag")).alias("least")), "distinct")
+    roots = components(links(distinct.select("fp"), bits, segments))
+    rooted = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    least = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return rows, rooted.join(least, "root").select("fp", "root", "first")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id): component_id is the least id that links reach."""
-    rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), bits, segments))
-    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-    classes = written(classes, "classes")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(classes.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    rows, rooted = classes(docs, words, bits, segments, id_col, text_col)
+    return rows.join(rooted, "fp").select(id_col, "fp", F.col("first.id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 2, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the row with the least id (ties: least text hash)."""
+    _, rooted = classes(docs, words, bits, segments, id_col, text_col)
+    first = written(rooted.groupBy("root").agg(F.first("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.tag").alias("__tag")), "first")
+    tagged = docs.withColumn("__text_tag", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))))
+    kept = tagged.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_tag") == F.col("__tag")), "left_semi")
+    return kept.dropDuplicates([id_col, "__text_tag"]).select(*[F.col(f"`{c}`") for c in docs.columns])

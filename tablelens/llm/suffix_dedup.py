@@ -19,7 +19,8 @@ over as many buckets as they need, since the splitters see the text after and be
 Runs are told apart by two independent 64-bit digests, boundary windows by one of 128 bits.
 
 Defined results: a null text is empty; texts shorter than ``window`` are kept; a row repeated with its id is
-a copy like any other; matches never cross rows; an empty table gives no rows; only ``id_col`` passes through.
+a copy like any other; matches never cross rows; an empty table gives no rows; only ``id_col`` and ``keep``
+pass through.
 """
 
 from __future__ import annotations
@@ -280,20 +281,21 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def remove_repeats(docs: DataFrame, window: int = 400, kmer: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                   characters: bool = False, bucket_rows: int = 16384) -> DataFrame:
-    """(id_col, n_bytes, spans, kept): maximal removed spans and the remaining bytes, one row per input row.
+                   characters: bool = False, bucket_rows: int = 16384, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, keep ..., n_bytes, spans, kept): maximal removed spans and the remaining bytes, one row per input row.
     With ``characters`` spans are narrowed to whole characters, so that ``kept`` is valid text."""
-    df = text_bytes(docs, id_col, text=text_col).withColumn("tag", F.xxhash64("__text"))
-    spans = written(repeated_spans(df, id_col, window, kmer, bucket_rows), "spans")
+    passed = [id_col, *keep]
+    df = text_bytes(docs, *passed, text=text_col).withColumn("tag", F.xxhash64("__text"))
+    spans = written(repeated_spans(df.select(id_col, "tag", "__text"), id_col, window, kmer, bucket_rows), "spans")
     both = df.alias("d").join(spans.alias("s"), F.col(f"d.`{id_col}`").eqNullSafe(F.col(f"s.`{id_col}`")) & (F.col("d.tag") == F.col("s.tag")), "left")
-    both = both.select(F.col(f"d.`{id_col}`").alias(id_col), "__text", "spans")
+    both = both.select(*[F.col(f"d.`{c}`").alias(c) for c in passed], "__text", F.col("s.spans").alias("__spans"))
     span = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
-    schema = T.StructType([df.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*[df.schema[c] for c in passed], T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
 
     def cut(batches):
         for batch in by_bytes(batches, "__text", 8 << 20):
             texts, out, kept = batch.column("__text").to_pylist(), [], []
-            for t, s in zip(texts, batch.column("spans").to_pylist()):
+            for t, s in zip(texts, batch.column("__spans").to_pylist()):
                 own = merged([(x["a"], x["b"]) for x in s]) if s else []
                 if characters:
                     own = whole_characters(t, own)
@@ -301,7 +303,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, kmer: int = 100, id_col:
                 cuts = [0, *(x for ab in own for x in ab), len(t)]
                 kept.append(b"".join([t[a:b] for a, b in zip(cuts[::2], cuts[1::2])]) if own else t)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array([len(t) for t in texts], pa.int64()),
+                [*[batch.column(c) for c in passed], pa.array([len(t) for t in texts], pa.int64()),
                  pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary())], names=schema.names)
 
     return both.mapInArrow(cut, schema)

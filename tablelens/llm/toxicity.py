@@ -14,7 +14,7 @@ the executors is the chosen features with one weight a category, bounded by ``ma
 Defined results: a null or empty text has no features and scores by the intercepts; labels that are null
 don't count, repeated labels of a document count as their maximum; with no labels, or of one kind only, a
 category's probability is the labels' mean (0 without any); repeated rows are scored each; an empty table
-gives no rows.
+gives no rows; a column of the input that is called like a result must not be in ``keep``.
 """
 
 from __future__ import annotations
@@ -178,16 +178,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], max
     return flat.astype(np.uint32), sizes.astype(np.int64), y, folds.astype(int)
 
 
-def score(docs: DataFrame, models: list[Linear], categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, p_<category> ...) of every row."""
+def score(docs: DataFrame, models: list[Linear], categories: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
+    """(keep ..., p_<category> ...) of every row."""
     features = np.unique(np.concatenate([m.features for m in models])) if models else np.zeros(0, np.uint32)
     weights = np.zeros((len(features), len(models)))
     for k, m in enumerate(models):
         weights[np.searchsorted(features, m.features), k] = m.weights
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((features, weights, [(m.earlier, m.intercept) for m in models]))
-    df = text_bytes(docs, id_col, text=text_col)
-    schema = T.StructType([df.schema[id_col], *[T.StructField(f"p_{c}", T.DoubleType()) for c in categories]])
+    df = text_bytes(docs, *keep, text=text_col)
+    schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(f"p_{c}", T.DoubleType()) for c in categories]])
 
     def run(batches):
         features, weights, links = sent.value
@@ -207,13 +207,13 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], id_col:
                 z = weights[on].sum(axis=0)
                 for k, (earlier, intercept) in enumerate(links):
                     out[i, k] = _sigmoid(z[k] + out[i, :k] @ earlier + intercept)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *[pa.array(out[:, k]) for k in range(len(links))]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(out[:, k]) for k in range(len(links))]], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 8_000, max_features: int = 1_000,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fit the chain on labelled documents and score all: (id_col, p_<category> ...)."""
+             id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Fit the chain on labelled documents and score all: (keep ..., p_<category> ...); ``keep``: id_col."""
     models, _ = fit_chain(*training_rows(docs, labels, categories, max_rows, id_col, text_col), max_features)
-    return score(docs, models, categories, id_col, text_col)
+    return score(docs, models, categories, keep or [id_col], text_col)
