@@ -76,18 +76,14 @@ def pivotal(size: np.ndarray, mass: np.ndarray, draws: np.ndarray) -> tuple[np.n
             continue
         room, other_room = float(size[held]) - held_mass, s - m
         up, down = min(room, m), min(held_mass, other_room)  # what the held one may gain or lose
-        if up + down <= 0:
-            gain = 0.0
+        gains = u * (up + down) < down
+        # one of the two is now empty or whole (told by the bound that was reached, not by rounded sums)
+        if gains:
+            a, b = held_mass + up, m - up
+            done, whole = (held, True) if room <= m else (i, False)
         else:
-            gain = up if u * (up + down) < down else -down
-        a, b = held_mass + gain, m - gain
-        # exactly one of the two is now empty or whole (the test by which bound was reached avoids rounding)
-        if gain > 0:
-            done = held if room <= m else i
-            whole = room <= m
-        else:
-            done = held if held_mass <= other_room else i
-            whole = held_mass > other_room
+            a, b = held_mass - down, m + down
+            done, whole = (held, False) if held_mass <= other_room else (i, True)
         won[done] = whole
         if done == held:
             held, held_mass = i, b
