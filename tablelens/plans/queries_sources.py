@@ -73,6 +73,81 @@ def _xlsx(s, d):
 register("load_xlsx_dir", "SELECT * FROM supplier")(_xlsx)
 
 
+def _csv_quoted(s, d):
+    """Texts with quotes and line breaks, through a CSV file and back (quotes are added, as few texts have any)."""
+    src = table(s, d, "documents").select("doc_id", F.concat(F.lit('say "'), "text", F.lit('", ok\n"end"')).alias("text"), "lang")
+    path = scratch_path(s, "quoted") + ".csv"
+    writers.write_table(src, path, "csv")
+    return _as(readers.load_dataset(s, path), src)
+
+
+register("load_csv_quoted", """SELECT doc_id, 'say "' || text || '", ok' || chr(10) || '"end"' AS text, lang FROM documents""")(_csv_quoted)
+
+
+def _csv_late_bytes(s, d):
+    """A latin-1 file whose first lines are ASCII only: the rows are in the order of their language."""
+    src = table(s, d, "documents").select("doc_id", "lang", F.regexp_replace("text", "[^\\x00-\\xff]", "?").alias("text"))
+    path = scratch_path(s, "late") + ".csv"
+    ordered = src.orderBy(F.col("lang") != "en", "doc_id")
+    writers.write_table(ordered, path, "csv", encoding="latin1")
+    return _as(readers.load_dataset(s, path), src)
+
+
+register("load_csv_late_bytes", "SELECT doc_id, lang, regexp_replace(text, '[^\\x{00}-\\x{ff}]', '?', 'g') AS text FROM documents")(_csv_late_bytes)
+
+
+def _csv_na(s, d):
+    """Missing cells spelt in several ways; numbers stay numbers."""
+    key = F.col("c_custkey")
+    src = table(s, d, "customer")
+    spelt = src.select("c_custkey", F.when(key % 7 == 0, "NA").when(key % 7 == 1, "null").otherwise(F.col("c_name")).alias("c_name"),
+                       F.when(key % 5 == 0, "N/A").when(key % 5 == 1, "NaN").otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"))
+    path = scratch_path(s, "missing") + ".csv"
+    writers.write_table(spelt, path, "csv")
+    got = readers.load_dataset(s, path)
+    return got.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_acctbal", F.lit(dict(got.dtypes)["c_acctbal"]).alias("kind"))
+
+
+register("load_csv_na", """SELECT c_custkey, CASE WHEN c_custkey % 7 > 1 THEN c_name END AS c_name,
+  CASE WHEN c_custkey % 5 > 1 THEN c_acctbal END AS c_acctbal, 'double' AS kind FROM customer""")(_csv_na)
+
+
+def _json_object(s, d):
+    """Pretty-printed records, one document a row."""
+    src = table(s, d, "supplier")
+    path = scratch_path(s, "objects") + ".json"
+    (src.repartition(F.col(src.columns[0]) % 4).select(F.to_json(F.struct(*src.columns), {"pretty": "true"}).alias("value"))
+     .groupBy(F.spark_partition_id()).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
+     .select("value").write.text(path))
+    return _as(readers.load_dataset(s, path), src)
+
+
+register("load_json_object", "SELECT * FROM supplier")(_json_object)
+
+
+def _json_columns(s, d):
+    """A table by column: one document of arrays for each nation."""
+    src = table(s, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    path = scratch_path(s, "columns") + ".json"
+    whole = src.agg(*[F.sort_array(F.collect_list(F.struct(*src.columns)))[c].alias(c) for c in src.columns])
+    whole.select(F.to_json(F.struct(*src.columns), {"pretty": "true"}).alias("value")).write.text(path)
+    return _as(readers.load_dataset(s, path), src)
+
+
+register("load_json_columns", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")(_json_columns)
+
+
+def _arff_at(s, d):
+    """Data lines that begin with @."""
+    src = table(s, d, "customer").select(F.concat(F.lit("@"), "c_name").alias("handle"), "c_custkey", "c_mktsegment")
+    path = scratch_path(s, "handles") + ".arff"
+    writers.write_arff(src, path, "handles", quoted=False)
+    return _as(readers.load_dataset(s, path), src)
+
+
+register("load_arff_at", "SELECT '@' || c_name AS handle, c_custkey, c_mktsegment FROM customer")(_arff_at)
+
+
 def _dispatch(s, d):
     src = table(s, d, "nation")
     base = scratch_path(s, "nation")

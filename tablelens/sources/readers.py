@@ -1,8 +1,8 @@
 """Table readers (S1-S7): one entry point that dispatches on the file suffix.
 
-All readers are Spark data sources; the only driver-side reads are bounded
-peeks (the first lines of a CSV for separator/encoding sniffing, the header of
-an ARFF file, the first row of one workbook for column names).
+All readers are Spark data sources. What decides how a file is read (encoding,
+quoted line breaks, JSON form, cell types) is found over the whole input by a
+distributed pass; only header lines reach the driver.
 """
 
 from __future__ import annotations
@@ -13,47 +13,31 @@ import xml.etree.ElementTree as ET
 import zipfile
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: supported suffixes and CSV sniffing candidates, in the reference's order
-SUPPORTED = [".csv", ".xlsx", ".xls", ".json", ".parquet", ".arff", ".tsv"]
+SUPPORTED = [".csv", ".xlsx", ".json", ".parquet", ".arff", ".tsv"]
 SEPARATORS = [",", ";", "\t", "|"]
-ENCODINGS = ["utf-8", "latin-1", "cp1252"]
-SNIFF_LINES = 20
-WIDEN_MIN_BYTES = 1 << 20
-
+#: The cells that mean "missing" to a default CSV reader.
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+             "NaN", "None", "n/a", "nan", "null"]
 
 _CHARSETS = {"utf-8": "utf-8", "utf8": "utf-8", "latin-1": "iso-8859-1", "latin1": "iso-8859-1",
              "iso-8859-1": "iso-8859-1", "cp1252": "iso-8859-1", "windows-1252": "iso-8859-1"}
+_CP1252 = {"cp1252", "windows-1252"}
 
 
 def spark_charset(name: str) -> str:
-    """The charset name Spark's CSV source accepts (cp1252 is read as its latin-1 subset)."""
+    """The charset name Spark's CSV source accepts (cp1252 is read as latin-1, then ``_from_cp1252``)."""
     return _CHARSETS.get(name.lower(), name)
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores.
-
-    A single large file with one row group is read by one task; a round-robin
-    repartition lets the following per-row work (casts, unpivots, partial
-    aggregates) use every core, and the spread copy is cached (it is small by
-    definition: fewer input splits than cores). Scans of many files already have
-    enough partitions and are returned unchanged -- no shuffle, no cache at scale.
-    """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 -- no estimate: leave the scan as it is
-        return df
-    if size >= WIDEN_MIN_BYTES and df.rdd.getNumPartitions() < par:
-        # the input is small next to the cluster: keep the spread copy for the next passes
-        return df.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+def _from_cp1252(c):
+    """The characters that windows-1252 has where latin-1 has control codes."""
+    codes = [b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+    return F.translate(c, "".join(map(chr, codes)), bytes(codes).decode("cp1252"))
 
 
 def _suffix(path: str) -> str:
@@ -71,30 +55,65 @@ def load_dataset(spark: SparkSession, path: str, **kw) -> DataFrame:
     return readers[suf](spark, path, **kw)
 
 
-def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding) from the first lines: the first separator splitting the header into >1 column."""
-    # the text source decodes UTF-8 and marks undecodable bytes; separators are ASCII either way
-    lines = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
-    enc = "utf-8" if not any("\ufffd" in ln for ln in lines) else "latin-1"
-    header = lines[0] if lines else ""
-    for sep in SEPARATORS:
-        if len(header.split(sep)) > 1:
-            return sep, enc
-    return ",", enc
+def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str, bool]:
+    """(separator, encoding, a quoted cell may span lines). The header line gives the separator: the first
+    that splits it into more than one column. One distributed pass over all bytes tells whether they are
+    UTF-8, and whether some line has an odd number of quotes."""
+    lines = spark.read.text(path)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    head = spark.read.text(path).limit(1).collect()
+    valid, spans = lines.agg(F.min(F.is_valid_utf8("value")), F.max(odd)).first()
+    header = head[0][0] if head else ""
+    sep = next((x for x in SEPARATORS if len(header.split(x)) > 1), ",")
+    return sep, "utf-8" if valid in (None, True) else "latin-1", bool(spans)
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """String columns to the narrowest type that all their values parse as: long, double, boolean,
+    timestamp, else string. One aggregate over the table."""
+    def fits(c, kind):
+        v = F.trim(F.col(f"`{c}`"))
+        if kind == "boolean":
+            return F.lower(v).isin("true", "false")
+        if kind == "bigint":
+            return v.rlike(r"^[+-]?\d+$") & v.try_cast("bigint").isNotNull()
+        if kind == "double":
+            return v.try_cast("double").isNotNull() & ~v.rlike(r"(?i)[df]$")
+        return v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & v.try_cast("timestamp").isNotNull()
+    kinds = ["bigint", "double", "boolean", "timestamp"]
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])
+    row = plain.agg(F.count(F.lit(1)), *[F.min(F.when(F.col(c).isNotNull(), fits(c, k))) for c in plain.columns for k in kinds]).first() if df.columns else None
+    out = []
+    for k, c in enumerate(df.columns):
+        kind = next((t for m, t in enumerate(kinds) if row[1 + 4 * k + m]), "string")
+        v = F.col(f"`{c}`")
+        out.append((v if kind == "string" else F.trim(v).cast(kind)).alias(c))
+    return df.select(*out)
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-             schema: T.StructType | str | None = None, sampling_ratio: float = 1.0, **kw) -> DataFrame:
-    """Header CSV with separator/encoding sniffing and type inference (or an explicit schema)."""
-    s_sep, s_enc = sniff_csv(spark, path) if sep is None or encoding is None else (sep, encoding)
-    r = spark.read.option("header", True).option("sep", sep or s_sep).option("encoding", spark_charset(encoding or s_enc))
-    if schema is not None:
-        r = r.schema(schema)
-    else:
-        r = r.option("inferSchema", True).option("samplingRatio", sampling_ratio)
+             schema: T.StructType | str | None = None, multi_line: bool | None = None, na: list[str] | None = None, **kw) -> DataFrame:
+    """Header CSV with separator/encoding sniffing and type inference (or an explicit schema).
+
+    Quotes inside quoted cells are doubled. ``multi_line``: quoted cells may hold line breaks (files are
+    then read whole, one task each); by default this is found out. ``na``: cells that are missing values,
+    nulls before types are inferred."""
+    if sep is None or encoding is None or multi_line is None:
+        found = sniff_csv(spark, path)
+        sep, encoding = sep or found[0], encoding or found[1]
+        multi_line = found[2] if multi_line is None else multi_line
+    r = (spark.read.option("header", True).option("sep", sep).option("encoding", spark_charset(encoding))
+         .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("inferSchema", False).option("mode", "PERMISSIVE"))
     for k, v in kw.items():
         r = r.option(k, v)
-    return r.csv(path)
+    df = r.csv(path)
+    tokens = NA_TOKENS if na is None else na
+    cell = (lambda c: _from_cp1252(F.col(f"`{c}`"))) if encoding.lower() in _CP1252 else (lambda c: F.col(f"`{c}`"))
+    df = df.select(*[F.when(~cell(c).isin(tokens), cell(c)).alias(c) for c in df.columns])
+    if schema is None:
+        return infer_types(df)
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    return df.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(df.columns, wanted.fields)])
 
 
 def read_tsv(spark: SparkSession, path: str, **kw) -> DataFrame:
@@ -103,17 +122,43 @@ def read_tsv(spark: SparkSession, path: str, **kw) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema=None, **kw) -> DataFrame:
-    """A JSON document (array of records) or JSON lines, chosen by the first non-space character."""
-    head = "".join(r[0] for r in spark.read.text(path).limit(5).collect()).lstrip()
+    """JSON lines, an array of records, one (also pretty-printed) record, or a table by column
+    (``{"a": [..], "b": [..]}`` or ``{"a": {"0": .., "1": ..}, ..}``).
+
+    Lines are told from documents over the whole input: in lines, most lines are whole records (a damaged
+    line makes no document of them). Documents are read one task a file, as they can't be cut."""
+    text = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    record = F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    share = text.agg(F.avg(record.cast("int"))).first()[0]
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    return r.json(path, multiLine=head.startswith("["), **kw)
+    df = r.json(path, multiLine=share is not None and share < 0.5, **kw)
+    return _by_column(spark, path, df) if schema is None else df
+
+
+def _by_column(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """Turn a table given by column into rows; other frames are returned as they are."""
+    kinds = [f.dataType for f in df.schema.fields]
+    if kinds and all(isinstance(k, T.ArrayType) for k in kinds):
+        arrays = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])
+        if arrays.agg(F.count(F.lit(1))).first()[0] == 1:
+            zipped = arrays.select(F.explode(F.arrays_zip(*arrays.columns)).alias("r"))
+            return zipped.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(df.columns)])
+    if kinds and all(isinstance(k, T.StructType) for k in kinds) and all(f.name.isdigit() for k in kinds for f in k.fields):
+        whole = spark.read.option("wholetext", True).text(path)
+        values = [next(iter(k.fields)).dataType if k.fields else T.StringType() for k in kinds]
+        record = T.StructType([T.StructField(c, T.MapType(T.StringType(), v)) for c, v in zip(df.columns, values)])
+        maps = whole.select(F.from_json("value", record).alias("r")).select(*[F.col(f"r.`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])
+        keys = F.array_distinct(F.flatten(F.array(*[F.map_keys(c) for c in maps.columns])))
+        rows = maps.withColumn("k", F.explode(keys))
+        return rows.select(*[F.element_at(f"c{k}", F.col("k")).alias(c) for k, c in enumerate(df.columns)])
+    return df
 
 
 def read_parquet(spark: SparkSession, path: str, **kw) -> DataFrame:
     """S5."""
-    return widen(spark.read.parquet(path))
+    return spark.read.parquet(path)
 
 
 _ARFF_ATTR = re.compile(r"^@attribute\s+('([^']*)'|\"([^\"]*)\"|(\S+))\s+(.+)$", re.IGNORECASE)
@@ -159,8 +204,10 @@ def arff_schema(spark: SparkSession, path: str, peek_lines: int = 10_000) -> T.S
 def read_arff(spark: SparkSession, path: str, **kw) -> DataFrame:
     """ARFF; the body is parsed by ``from_csv`` on the executors, ``?`` is missing."""
     schema = arff_schema(spark, path)
-    body = _text(spark, path).where(
-        (F.length(F.trim("value")) > 0) & ~F.trim("value").startswith("@") & ~F.trim("value").startswith("%"))
+    lines = _text(spark, path).where((F.length(F.trim("value")) > 0) & ~F.trim("value").startswith("%"))
+    # a header line starts with one of the format's three words; any other "@..." line is data
+    word = F.lower(F.regexp_extract(F.trim("value"), r"^(@\w+)(\s|$)", 1))
+    body = lines.where(~word.isin("@relation", "@attribute", "@data"))
     parsed = body.select(F.from_csv(F.col("value"), schema.simpleString(),
                                     {"nullValue": "?", "quote": "'", "ignoreLeadingWhiteSpace": "true",
                                      "ignoreTrailingWhiteSpace": "true"}).alias("r"))
@@ -220,25 +267,32 @@ def _cell_str(v) -> str | None:
 def read_xlsx(spark: SparkSession, path: str, infer: bool = True, **kw) -> DataFrame:
     """S7 (re-aimed): a directory (or glob) of ``.xlsx`` workbooks, one task per workbook.
 
-    Column names come from the first row of one workbook; every workbook must share them.
-    Cells are read as strings; with ``infer`` a column whose every value parses as a number becomes double.
+    Column names come from the first row of each workbook; all must have the same names, in any order
+    (a workbook with others raises). Cells are read as strings; with ``infer`` a column whose every value
+    parses as a number becomes double.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    first = files.select("content").limit(1).collect()
-    if not first:
+
+    def heads(it):
+        for pdf in it:
+            yield pd.DataFrame({"header": [[str(h) for h in (parse_xlsx(bytes(c)) or [[]])[0]] for c in pdf["content"]], "path": pdf["path"]})
+
+    first = files.select("path", "content").mapInPandas(heads, "header array<string>, path string").agg(F.min_by("header", "path")).first()[0]
+    if first is None:
         raise ValueError("No .xlsx workbook found")
-    header = [str(h) for h in parse_xlsx(bytes(first[0]["content"]))[0]]
+    header = list(first)
     schema = T.StructType([T.StructField(h, T.StringType(), True) for h in header])
 
     def parse(it):
         for pdf in it:
-            out = []
             for content in pdf["content"]:
                 rows = parse_xlsx(bytes(content))
-                for r in rows[1:]:
-                    r = (r + [None] * len(header))[:len(header)]
-                    out.append([_cell_str(v) for v in r])
-            yield pd.DataFrame(out, columns=header)
+                names = [str(h) for h in rows[0]] if rows else header
+                if sorted(names) != sorted(header):
+                    raise ValueError(f"Workbook columns differ: {names} and {header}")
+                places = [names.index(h) for h in header]
+                out = [[_cell_str(r[p]) if p < len(r) else None for p in places] for r in rows[1:]]
+                yield pd.DataFrame(out, columns=header)
 
     raw = files.select("content").mapInPandas(parse, schema)
     if not infer:

@@ -25,7 +25,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",",
     encoding = spark_charset(encoding)
     w = df.write.mode("overwrite")
     if fmt in ("csv", "tsv"):
-        w.option("header", True).option("sep", "\t" if fmt == "tsv" else sep).option("encoding", encoding).csv(path)
+        w.option("header", True).option("sep", "\t" if fmt == "tsv" else sep).option("encoding", encoding)
+        # quotes are doubled and white space at the ends of cells stays
+        w.option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     elif fmt == "json":
         w.json(path)
     elif fmt == "parquet":
@@ -35,8 +37,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",",
     return path
 
 
-def write_arff(df: DataFrame, path: str, relation: str = "table") -> str:
-    """ARFF: a ``header`` part plus ``body`` parts in one directory (read back as one table)."""
+def write_arff(df: DataFrame, path: str, relation: str = "table", quoted: bool = True) -> str:
+    """ARFF: a ``header`` part plus ``body`` parts in one directory (read back as one table). Without
+    ``quoted`` strings are written bare, for values without commas, quotes and blanks."""
     spark = df.sparkSession
     lines = [f"@relation {relation}"]
     for f in df.schema.fields:
@@ -47,7 +50,7 @@ def write_arff(df: DataFrame, path: str, relation: str = "table") -> str:
 
     def cell(c: str, dt):
         v = F.col(f"`{c}`").cast("string")
-        if isinstance(dt, T.StringType):
+        if quoted and isinstance(dt, T.StringType):
             v = F.concat(F.lit("'"), F.regexp_replace(v, "'", "\\\\'"), F.lit("'"))
         return F.coalesce(v, F.lit("?"))
 

@@ -84,3 +84,52 @@ def test_roundtrip_parquet_xlsx_arff(spark, f1):
 def test_unsupported_format(spark):
     with pytest.raises(ValueError, match="Supported formats"):
         readers.load_dataset(spark, "/tmp/whatever.xls")
+
+
+def _named(spark, name, data, suffix):
+    path = scratch_path(spark, name) + suffix
+    with open(path, "wb") as fh:
+        fh.write(data if isinstance(data, bytes) else data.encode())
+    return path
+
+
+def test_csv_quotes_line_breaks_and_missing_cells(spark):
+    p = _named(spark, "q", 'a,b,c\n1,"he said ""hi"", ok",NA\n2,"two\nlines",3.5\n', ".csv")
+    rows = {r.a: r for r in readers.load_dataset(spark, p).collect()}
+    assert rows[1].b == 'he said "hi", ok' and rows[2].b == "two\nlines"
+    assert rows[1].c is None and rows[2].c == 3.5
+
+
+def test_csv_late_bytes_and_cp1252(spark):
+    p = _named(spark, "late", ("a,b\n" + "1,x\n" * 500 + "2,Zürich\n").encode("latin-1"), ".csv")
+    assert readers.load_dataset(spark, p).where("a = 2").first().b == "Zürich"
+    p = _named(spark, "cp", "a,b\n1,€ “x”\n".encode("cp1252"), ".csv")
+    assert readers.read_csv(spark, p, encoding="cp1252").first().b == "€ “x”"
+
+
+def test_arff_data_that_starts_with_at(spark):
+    p = _named(spark, "at", "@relation r\n@attribute u string\n@attribute n numeric\n@data\n@bob,1\n@data2,2\n", ".arff")
+    assert sorted(tuple(r) for r in readers.load_dataset(spark, p).collect()) == [("@bob", 1.0), ("@data2", 2.0)]
+
+
+@pytest.mark.parametrize("text", ['{\n "a": 1,\n "b": "x"\n}', '{"a": [1], "b": ["x"]}', '{"a": {"0": 1}, "b": {"0": "x"}}', '[{"a": 1,\n"b": "x"}]',
+                                  '{"a": 1, "b": "x"}\n'])
+def test_json_forms(spark, text):
+    rows = readers.load_dataset(spark, _named(spark, "doc", text, ".json")).collect()
+    assert [(r.a, r.b) for r in rows] == [(1, "x")]
+
+
+def test_workbooks_with_columns_in_another_order(spark):
+    from tablelens.sources.writers import _xlsx_bytes
+    d = scratch_path(spark, "books") + ".xlsx"
+    os.makedirs(d)
+    for k, (names, row) in enumerate([(["a", "b"], [1, "x"]), (["b", "a"], ["y", 2])]):
+        with open(f"{d}/w{k}.xlsx", "wb") as fh:
+            fh.write(_xlsx_bytes(names, [row]))
+    assert sorted((r.a, r.b) for r in readers.load_dataset(spark, d).collect()) == [(1.0, "x"), (2.0, "y")]
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    df = readers.load_dataset(spark, "/root/testdata/sf0.001/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey")
+    plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan and "o_totalprice" not in plan.split("ReadSchema")[1]
