@@ -10,11 +10,12 @@ windows of equal anchors loses nothing. Neighbouring windows share their anchor;
 3. The other runs, one of each kind, are ordered as a suffix array: sampled splitters range-partition the
    suffixes by their leading bytes from the anchor on, each bucket sorts its suffixes by multikey quicksort
    (and the reversed texts before the anchors too), and common prefix lengths of neighbours say which windows
-   are equal: both sides must agree as far as the window goes. A bucket's first and last suffixes may agree
-   with those of the next bucket, so windows that reach them are compared across the boundaries by digest.
+   are equal: both sides must agree as far as the window goes. Suffixes with one anchor string lie in one
+   bucket, up to a bucket's size; beyond it the splitters go on into the text after and before the anchor,
+   and windows that reach a bucket's first or last suffix are compared across the boundaries by digest.
 
 Hot strings: equal runs are counted before they are sorted, and many different runs of one anchor are dealt
-over as many buckets as they need, since the splitters see the text after and before the anchor.
+over as many buckets as they need.
 
 Runs are told apart by two independent 64-bit digests, boundary windows by one of 128 bits.
 
@@ -157,9 +158,9 @@ def _matrix(strings: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([s.ljust(width, b"\0") for s in strings]), np.uint8).reshape(len(strings), width)
 
 
-def bucket(texts: list[bytes], off: np.ndarray, count: np.ndarray, window: int, kmer: int):
+def bucket(texts: list[bytes], off: np.ndarray, count: np.ndarray, window: int, split: np.ndarray):
     """Windows of a bucket's runs that repeat in it: arrays (run, window) sorted, and the windows that
-    must be compared across its boundaries: (run, window, repeats here)."""
+    must be compared across its boundaries: (run, window, repeats here), of runs whose anchor is ``split``."""
     n = len(texts)
     right, left = _matrix([t[o:] for t, o in zip(texts, off.tolist())]), _matrix([t[:o][::-1] for t, o in zip(texts, off.tolist())])
     by_right, by_left = multikey_quicksort(right), multikey_quicksort(left)
@@ -181,7 +182,7 @@ def bucket(texts: list[bytes], off: np.ndarray, count: np.ndarray, window: int,
         repeats = np.bincount(kind, weights=count[rows])[kind] >= 2
         at = off[rows] - o
         found.append(np.stack([rows[repeats], at[repeats]], axis=1))
-        far = (reach[rows] >= window - o) & (~repeats | (np.arange(len(rows)) == first[kind]))
+        far = split[rows] & (reach[rows] >= window - o) & (~repeats | (np.arange(len(rows)) == first[kind]))
         edge.append(np.stack([rows[far], at[far], repeats[far]], axis=1))
     found, edge = np.concatenate(found), np.concatenate(edge)
     return found[np.lexsort((found[:, 1], found[:, 0]))], edge
@@ -210,7 +211,7 @@ def _sorted_runs(kinds: DataFrame, window: int, kmer: int, bucket_rows: int) ->
             return
         texts = t.column("text").to_pylist()
         off, count = t.column("off").to_numpy().astype(np.int64), t.column("n").to_numpy()
-        found, edge = bucket(texts, off, count, window, kmer)
+        found, edge = bucket(texts, off, count, window, t.column("split").to_numpy(zero_copy_only=False))
         rows, first, last = _stretches(found)
         names = _KIND + ["first", "last", "digest", "here"]
         if len(rows):
@@ -224,8 +225,14 @@ def _sorted_runs(kinds: DataFrame, window: int, kmer: int, bucket_rows: int) ->
                 [*[t.column(c).combine_chunks().take(pa.array(e[:, 0])) for c in _KIND], pa.array(e[:, 1], pa.int32()), pa.array(e[:, 1], pa.int32()),
                  pa.array(marks, pa.binary()), pa.array(e[:, 2] == 1)], names=names)
 
-    suffix, before = F.substring("text", F.col("off") + 1, F.length("text")), F.reverse(F.hex(F.substring("text", F.lit(1), F.col("off"))))
-    out = written(kinds.repartitionByRange(max(1, -(-n // bucket_rows)), suffix, before).mapInArrow(run, schema), "buckets")
+    large = kinds.groupBy("fp").count().where(F.col("count") > bucket_rows).select("fp", F.lit(True).alias("split"))
+    kinds = kinds.join(large, "fp", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    lead = F.substring("text", F.col("off") + 1, F.lit(kmer))
+    after = F.when(F.col("split"), F.substring("text", F.col("off") + kmer + 1, F.length("text")))
+    before = F.when(F.col("split"), F.reverse(F.hex(F.substring("text", F.lit(1), F.col("off")))))
+    kinds = written(kinds.withColumns({"lead": lead, "after": after, "before": before}), "suffixes")
+    out = written(kinds.repartitionByRange(max(1, -(-n // bucket_rows)), "lead", "after", "before")
+                  .drop("lead", "after", "before").mapInArrow(run, schema), "buckets")
     inside = out.where("digest IS NULL").select(*_KIND, "first", "last")
     met = out.where("digest IS NOT NULL")
     twice = met.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
