@@ -36,20 +36,23 @@ def _pair_topk(k: int, exclude_self: bool):
                                  "dist": pd.Series([], dtype="float64")})
         qv = np.stack([np.asarray(v, dtype="float64") for v in q["qv"].to_numpy()])
         tv = np.stack([np.asarray(v, dtype="float64") for v in t["pv"].to_numpy()])
-        d2 = (qv * qv).sum(1)[:, None] + (tv * tv).sum(1)[None, :] - 2.0 * qv @ tv.T
-        d = np.sqrt(np.maximum(d2, 0.0))
-        qids = q["qid"].to_numpy()
-        pids = t["pid"].to_numpy()
+        centre = tv.mean(axis=0)
+        qc, tc = qv - centre, tv - centre
+        qq, tt = (qc * qc).sum(1), (tc * tc).sum(1)
+        d2 = qq[:, None] + tt[None, :] - 2.0 * qc @ tc.T
+        qids, pids = q["qid"].to_numpy(), t["pid"].to_numpy()
         if exclude_self:
-            d = np.where(qids[:, None] == pids[None, :], np.inf, d)
-        kk = min(k, d.shape[1])
-        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(qids), 1))
-        rows_q = np.repeat(qids, idx.shape[1])
-        rows_n = pids[idx.ravel()]
-        rows_d = d[np.arange(len(qids))[:, None], idx].ravel()
-        keep = np.isfinite(rows_d)
-        return pd.DataFrame({"qid": rows_q[keep].astype("int64"), "nid": rows_n[keep].astype("int64"),
-                             "dist": rows_d[keep]})
+            d2[qids[:, None] == pids[None, :]] = np.inf
+        kk = min(k, d2.shape[1])
+        # the product form may be off by rounding: keep all that may be among the k, then measure them directly
+        slack = 1e-12 * (qq[:, None] + tt.max() + 1e-300)
+        i, j = np.nonzero((d2 <= np.partition(d2, kk - 1, axis=1)[:, kk - 1:kk] + slack) & np.isfinite(d2))
+        exact = np.sqrt(((qv[i] - tv[j]) ** 2).sum(axis=1))
+        order = np.lexsort((pids[j], exact, i))  # ties go to the smaller id, whatever the order of the input
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.searchsorted(i, i, side="left")
+        keep = np.arange(len(i)) - first < kk
+        return pd.DataFrame({"qid": qids[i[keep]].astype("int64"), "nid": pids[j[keep]].astype("int64"), "dist": exact[keep]})
     return fn
 
 

@@ -3,8 +3,10 @@
 Every algorithm is a Spark ML ``Pipeline``: label indexing (alphabetical, like
 a label encoder), categorical indexing, mean imputation fitted on the training
 rows, vector assembly, scaling, estimator. Hyper-parameter search is a seeded
-random sample of the reference's search spaces evaluated by ``CrossValidator``
-on hash-assigned folds. Third-party boosters are re-aimed as Spark GBTs.
+random sample of the reference's search spaces, scored on hash-assigned folds;
+features are fitted once per fold. Third-party boosters are re-aimed as Spark
+GBTs with those libraries' defaults; k nearest neighbours run on the exact
+distributed join. Parameters are fitted as given: nothing is clipped.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import categorical_columns, kind_of, numeric_columns
+from tablelens.functions.columns import kind_of, missing_flag
 from tablelens.operators import evaluate
-from tablelens.operators.splits import cv_folds, split_random, split_stratified
+from tablelens.operators.splits import cv_fold_count, cv_folds, split_random, split_stratified
+from tablelens.session import scratch_path
 
 SEED = 42
 
@@ -56,88 +59,105 @@ SPACES = {
 _INT_PARAMS = {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf"}
 
 
-@dataclass
-class TrainConfig:
-    """Bounds that keep local runs short; raise them on a cluster."""
-    max_trees: int = 20
-    max_depth: int = 5
-    max_iter: int = 20
-
-
 @dataclass
 class AutoMLResult:
     task_type: str
     leaderboard: DataFrame
     models: dict = field(default_factory=dict)
     best_algorithm: str | None = None
+    params: dict = field(default_factory=dict)
     feature_cols: list = field(default_factory=list)
 
 
 def infer_task(df: DataFrame, target: str) -> str:
-    if kind_of(df.schema[target].dataType) != "numeric":
+    """M8, by the same rule as ``splits.infer_task_type``: missing values don't count."""
+    kind = kind_of(df.schema[target].dataType)
+    if kind != "numeric":
         return "classification"
-    n = df.select(target).distinct().limit(20).count()
+    n = df.select(target).where(~missing_flag(df, target)).distinct().limit(20).count()
     return "classification" if n < 20 else "regression"
 
 
-def _params(name: str, hp: dict | None, cfg: TrainConfig) -> dict:
-    hp = hp or {}
-    trees = min(int(hp.get("n_estimators", 100)), cfg.max_trees)
-    depth = min(int(hp.get("max_depth", 5 if name in ("random_forest",) else 3)), cfg.max_depth)
-    return {"trees": trees, "depth": depth, "lr": float(hp.get("learning_rate", 0.1)),
-            "subsample": float(hp.get("subsample", hp.get("bagging_fraction", 1.0))),
-            "colsample": float(hp.get("colsample_bytree", hp.get("feature_fraction", 1.0))),
-            "min_leaf": int(hp.get("min_samples_leaf", 1))}
+#: What each tree model uses where a parameter is unset. Depth 0: unlimited in the
+#: original libraries; Spark's trees stop at 30.
+TREE_DEFAULTS = {
+    "random_forest": {"n_estimators": 100, "max_depth": 0, "min_samples_leaf": 1},
+    "gradient_boosting": {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.1, "min_samples_leaf": 1},
+    "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3, "min_samples_leaf": 1},
+    "lightgbm": {"n_estimators": 100, "max_depth": 5, "learning_rate": 0.1, "min_samples_leaf": 20},
+    "decision_tree": {"max_depth": 0, "min_samples_leaf": 1},
+}
+DEEPEST = 30  # Spark's own bound on tree depth
+
+
+def tree_params(name: str, hp: dict | None) -> dict:
+    """The parameters that are fitted: what was asked for, else the algorithm's defaults; nothing is clipped."""
+    p = {**TREE_DEFAULTS[name], **(hp or {})}
+    depth = int(p["max_depth"])
+    if depth > DEEPEST:
+        raise ValueError(f"max_depth {depth} is beyond {DEEPEST}")
+    leaf = max(int(p["min_samples_leaf"]), -(-int(p.get("min_samples_split", 2)) // 2))
+    return {"trees": int(p.get("n_estimators", 1)), "depth": depth or DEEPEST, "lr": float(p.get("learning_rate", 0.1)), "min_leaf": leaf,
+            "subsample": float(p.get("subsample", p.get("bagging_fraction", 1.0))),
+            "colsample": float(p.get("colsample_bytree", p.get("feature_fraction", 1.0)))}
+
+
+BOOSTERS = ("gradient_boosting", "xgboost", "lightgbm")
 
 
-def make_estimator(name: str, task: str, n_classes: int = 2, hp: dict | None = None, cfg: TrainConfig | None = None):
-    cfg = cfg or TrainConfig()
-    p = _params(name, hp, cfg)
+def make_estimator(name: str, task: str, n_classes: int = 2, hp: dict | None = None, n_rows: int = 1,
+                   label_std: float = 1.0):
+    """The unfitted estimator. ``n_rows`` scales penalties: the reference's losses are sums over rows,
+    Spark's are means; and Spark divides a square penalty by the label's (population) deviation."""
+    classify = task == "classification"
     fcol, lcol = "features", "label"
-    if task == "classification":
+    hp = hp or {}
+    n = max(1, n_rows)
+    if name in TREE_DEFAULTS:
+        p = tree_params(name, hp)
+        common = {"featuresCol": fcol, "labelCol": lcol, "maxDepth": p["depth"], "minInstancesPerNode": p["min_leaf"], "seed": SEED}
+        if name == "decision_tree":
+            return (DecisionTreeClassifier if classify else DecisionTreeRegressor)(**common)
         if name == "random_forest":
-            return RandomForestClassifier(featuresCol=fcol, labelCol=lcol, numTrees=p["trees"], maxDepth=p["depth"],
-                                          minInstancesPerNode=p["min_leaf"], seed=SEED)
-        if name in ("gradient_boosting", "xgboost", "lightgbm"):
-            strategy = "all" if p["colsample"] >= 1.0 else str(round(p["colsample"], 3))
-            gbt = GBTClassifier(featuresCol=fcol, labelCol=lcol, maxIter=min(p["trees"], cfg.max_iter), maxDepth=p["depth"],
-                                stepSize=p["lr"], subsamplingRate=p["subsample"] if name != "gradient_boosting" else 1.0,
-                                featureSubsetStrategy=strategy if name != "gradient_boosting" else "all", seed=SEED)
-            return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=fcol, labelCol=lcol)
-        if name == "logistic_regression":
-            return LogisticRegression(featuresCol=fcol, labelCol=lcol, maxIter=100, regParam=1.0 / 1000)
+            return (RandomForestClassifier if classify else RandomForestRegressor)(numTrees=p["trees"], **common)
+        strategy = "all" if p["colsample"] >= 1.0 else str(round(p["colsample"], 3))
+        boosted = {"maxIter": p["trees"], "stepSize": p["lr"], "subsamplingRate": p["subsample"], "featureSubsetStrategy": strategy}
+        if not classify:
+            return GBTRegressor(**boosted, **common)
+        gbt = GBTClassifier(**boosted, **common)
+        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=fcol, labelCol=lcol)
+    if classify:
+        if name == "logistic_regression":  # C: the inverse of the penalty on the summed loss
+            return LogisticRegression(featuresCol=fcol, labelCol=lcol, maxIter=100, regParam=1.0 / (float(hp.get("C", 1.0)) * n))
         if name == "svm":
-            svc = LinearSVC(featuresCol=fcol, labelCol=lcol, maxIter=cfg.max_iter, regParam=0.01)
+            svc = LinearSVC(featuresCol=fcol, labelCol=lcol, maxIter=100, regParam=1.0 / (float(hp.get("C", 1.0)) * n))
             return svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol=fcol, labelCol=lcol)
         if name == "naive_bayes":
             return NaiveBayes(featuresCol=fcol, labelCol=lcol, modelType="gaussian")
-        if name == "decision_tree":
-            return DecisionTreeClassifier(featuresCol=fcol, labelCol=lcol, maxDepth=p["depth"], seed=SEED)
     else:
-        if name == "random_forest":
-            return RandomForestRegressor(featuresCol=fcol, labelCol=lcol, numTrees=p["trees"], maxDepth=p["depth"],
-                                         minInstancesPerNode=p["min_leaf"], seed=SEED)
-        if name in ("gradient_boosting", "xgboost", "lightgbm"):
-            strategy = "all" if p["colsample"] >= 1.0 else str(round(p["colsample"], 3))
-            return GBTRegressor(featuresCol=fcol, labelCol=lcol, maxIter=min(p["trees"], cfg.max_iter), maxDepth=p["depth"],
-                                stepSize=p["lr"], subsamplingRate=p["subsample"] if name != "gradient_boosting" else 1.0,
-                                featureSubsetStrategy=strategy if name != "gradient_boosting" else "all", seed=SEED)
+        plain = {"featuresCol": fcol, "labelCol": lcol, "standardization": False}
         if name == "linear_regression":
-            return LinearRegression(featuresCol=fcol, labelCol=lcol)
-        if name == "ridge":
-            return LinearRegression(featuresCol=fcol, labelCol=lcol, regParam=1.0, elasticNetParam=0.0)
-        if name == "lasso":
-            return LinearRegression(featuresCol=fcol, labelCol=lcol, regParam=1.0, elasticNetParam=1.0)
-        if name == "decision_tree":
-            return DecisionTreeRegressor(featuresCol=fcol, labelCol=lcol, maxDepth=p["depth"], seed=SEED)
+            return LinearRegression(**plain)
+        if name == "ridge":  # sum of squares + alpha |w|^2, where Spark halves and averages both
+            return LinearRegression(regParam=float(hp.get("alpha", 1.0)) * label_std / n, elasticNetParam=0.0, **plain)
+        if name == "lasso":  # both libraries average and halve the squares
+            return LinearRegression(regParam=float(hp.get("alpha", 1.0)), elasticNetParam=1.0, **plain)
     raise ValueError(f"Unsupported algorithm for {task}: {name}")
 
 
+def _as_numbers(df: DataFrame, features: list[str]) -> list[str]:
+    """Features that become one number each: numeric, boolean (0/1) and date-time (seconds)."""
+    return [c for c in features if kind_of(df.schema[c].dataType) in ("numeric", "boolean", "datetime")]
+
+
+def _as_codes(df: DataFrame, features: list[str]) -> list[str]:
+    return [c for c in features if kind_of(df.schema[c].dataType) == "categorical"]
+
+
 def feature_stages(df: DataFrame, target: str, task: str, features: list[str] | None = None):
     """Pipeline stages turning raw columns into (features, label); returns (stages, feature names)."""
     features = features or [c for c in df.columns if c != target]
-    num = [c for c in features if c in numeric_columns(df)]
-    cat = [c for c in features if c in categorical_columns(df)]
+    num, cat = _as_numbers(df, features), _as_codes(df, features)
     stages = []
     idx_out = [f"{c}__idx" for c in cat]
     if cat:
@@ -157,27 +177,64 @@ def feature_stages(df: DataFrame, target: str, task: str, features: list[str] |
 
 def prepare(df: DataFrame, target: str, task: str, features: list[str] | None = None,
             extra: list[str] | None = None) -> DataFrame:
-    """Cast numeric features to double and the target to its label type; drop rows without a target."""
+    """Cast features to double or string and the target to its label type; drop rows whose target is missing."""
     features = features or [c for c in df.columns if c != target and c not in (extra or [])]
-    num = [c for c in features if c in numeric_columns(df)]
-    d = df.where(F.col(target).isNotNull())
-    cols = [F.col(c).cast("double").alias(f"{c}__dbl") for c in num] + [F.col(c) for c in features if c not in num]
+    d = df.where(~missing_flag(df, target))
+    cols = []
+    for c in _as_numbers(df, features):
+        v = F.col(f"`{c}`")
+        if kind_of(df.schema[c].dataType) == "datetime":
+            v = F.unix_micros(v.cast("timestamp")) / 1e6
+        cols.append(v.cast("double").alias(f"{c}__dbl"))
+    cols += [F.col(f"`{c}`") for c in _as_codes(df, features)]
     if task == "classification":
-        cols.append(F.col(target).cast("string").alias(f"{target}__str"))
+        cols.append(F.col(f"`{target}`").cast("string").alias(f"{target}__str"))
     else:
-        cols.append(F.col(target).cast("double").alias("label"))
-    return d.select(*[F.col(c) for c in (extra or [])], *cols)
+        cols.append(F.col(f"`{target}`").cast("double").alias("label"))
+    return d.select(*[F.col(f"`{c}`") for c in (extra or [])], *cols)
+
+
+class KnnModel:
+    """M13 knn: the scaled training rows, kept in the shared folder, answered by the exact kNN join."""
+
+    def __init__(self, features: PipelineModel, path: str, k: int, task: str, target: str):
+        self.features, self.path, self.k, self.task, self.target = features, path, k, task, target
+
+    def transform(self, prepared: DataFrame) -> DataFrame:
+        from tablelens.operators.resample import knn_predict
+        y = f"{self.target}__str" if self.task == "classification" else "label"
+        spark = prepared.sparkSession
+        rows = _numbered(self.features.transform(prepared), y)
+        pred = knn_predict(spark.read.parquet(self.path), rows, "id", "vec", y, self.k, self.task)
+        out = "predicted_label" if self.task == "classification" else "prediction"
+        return rows.join(pred.withColumnRenamed("prediction", out), "id").select(y, out)
+
+
+def _numbered(featured: DataFrame, y: str) -> DataFrame:
+    """(id, vec, y), written once so that the ids stay."""
+    path = scratch_path(featured.sparkSession, "knn-rows")
+    featured.select(F.monotonically_increasing_id().alias("id"), vector_to_array("features").alias("vec"), y).write.parquet(path)
+    return featured.sparkSession.read.parquet(path)
 
 
 def train(train_df: DataFrame, target: str, algorithm: str, task: str, hp: dict | None = None,
-          features: list[str] | None = None, cfg: TrainConfig | None = None) -> PipelineModel:
+          features: list[str] | None = None):
     """Fit one algorithm as a full pipeline on the training rows."""
     # every stage fit and every optimiser iteration reads the training rows: materialise them once
     prepared = prepare(train_df, target, task, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stages, _ = feature_stages(train_df, target, task, features)
-        n_classes = prepared.select(f"{target}__str").distinct().count() if task == "classification" else 0
-        est = make_estimator(algorithm, task, n_classes, hp, cfg)
+        y = f"{target}__str" if task == "classification" else "label"
+        if algorithm == "knn":
+            fitted = Pipeline(stages=stages).fit(prepared)
+            path = scratch_path(train_df.sparkSession, "knn-model")
+            _numbered(fitted.transform(prepared), y).write.parquet(path)
+            return KnnModel(fitted, path, int((hp or {}).get("n_neighbors", 5)), task, target)
+        if task == "classification":
+            (n_rows, n_classes), spread = prepared.agg(F.count(F.lit(1)), F.count_distinct(y)).first(), 1.0
+        else:
+            (n_rows, spread), n_classes = prepared.agg(F.count(F.lit(1)), F.stddev_pop(y)).first(), 0
+        est = make_estimator(algorithm, task, n_classes, hp, n_rows, spread or 1.0)
         model = Pipeline(stages=stages + [est]).fit(prepared)
     finally:
         prepared.unpersist()
@@ -188,7 +245,7 @@ def train(train_df: DataFrame, target: str, algorithm: str, task: str, hp: dict
     return model
 
 
-def predict(model: PipelineModel, df: DataFrame, target: str, task: str, features: list[str] | None = None) -> DataFrame:
+def predict(model, df: DataFrame, target: str, task: str, features: list[str] | None = None) -> DataFrame:
     return model.transform(prepare(df, target, task, features))
 
 
@@ -201,8 +258,10 @@ def score(pred: DataFrame, task: str, target: str) -> dict:
     return {"r2_score": m["r2_score"], "mse": m["mse"], "mae": m["mae"], "rmse": m["rmse"]}
 
 
-def feature_importance(model: PipelineModel, feature_names: list[str]) -> list[tuple[str, float]]:
-    """Tree importances, or mean |coefficient| over classes; sorted descending."""
+def feature_importance(model, feature_names: list[str]) -> list[tuple[str, float]]:
+    """Tree importances, or mean |coefficient| over classes; sorted descending (none for knn)."""
+    if isinstance(model, KnnModel):
+        return []
     est = model.stages[-2] if isinstance(model.stages[-1], IndexToString) else model.stages[-1]
     vals = None
     if hasattr(est, "featureImportances"):
@@ -239,53 +298,67 @@ def sample_trials(algorithm: str, n_trials: int, seed: int = SEED) -> list[dict]
     return out
 
 
-def tune(train_df: DataFrame, target: str, algorithm: str, task: str, n_trials: int = 4, folds: int = 3,
-         features: list[str] | None = None, cfg: TrainConfig | None = None, key_cols: list[str] | None = None):
-    """Random search scored by k-fold CV accuracy / R^2 on hash-assigned folds; returns (best hp, trials)."""
+def _fold_score(model, held: DataFrame, task: str) -> float:
+    ev = (MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification"
+          else RegressionEvaluator(metricName="r2"))
+    return float(ev.evaluate(model.transform(held)))
+
+
+def tune(train_df: DataFrame, target: str, algorithm: str, task: str, n_trials: int = 20, folds: int | None = None,
+         features: list[str] | None = None, key_cols: list[str] | None = None):
+    """Random search (at most 20 trials, as the reference) scored by k-fold CV accuracy / R^2 on
+    hash-assigned folds, by default as many as M3 gives; returns (best hp, [(hp, score)])."""
     trials = sample_trials(algorithm, min(n_trials, 20))
     if trials == [{}]:
         return {}, []
+    data = train_df.where(~missing_flag(train_df, target))
+    if folds is None:
+        folds = cv_fold_count(data, target if task == "classification" else None, task == "classification").first()["cv_folds"]
     features = features or [c for c in train_df.columns if c != target]
     keys = key_cols or list(train_df.columns)
-    folded = cv_folds(train_df, keys, folds, target if task == "classification" else None)
+    folded = cv_folds(data, keys, folds, target if task == "classification" else None)
     prepared = prepare(folded, target, task, features, extra=["fold"]).persist(StorageLevel.MEMORY_AND_DISK)
-    stages, _ = feature_stages(train_df, target, task, features)
-    n_classes = train_df.select(target).distinct().count() if task == "classification" else 0
-    results = []
-    for hp in trials:
-        est = make_estimator(algorithm, task, n_classes, hp, cfg)
-        pipe = Pipeline(stages=stages + [est])
-        ev = (MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification"
-              else RegressionEvaluator(metricName="r2"))
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            foldCol="fold", parallelism=2, seed=SEED)
-        try:
-            m = cv.fit(prepared.withColumn("fold", F.col("fold").cast("int")))
-            results.append((hp, float(m.avgMetrics[0])))
-        except Exception:  # a failed trial scores 0, as in the reference
-            results.append((hp, 0.0))
-    prepared.unpersist()
-    best = max(results, key=lambda t: t[1])
-    return best[0], results
+    scores: list[list[float]] = [[] for _ in trials]
+    try:
+        stages, _ = feature_stages(train_df, target, task, features)
+        n_classes = prepared.select(f"{target}__str").distinct().count() if task == "classification" else 0
+        for f in range(folds):  # features are fitted once per fold, for all trials
+            fitted = Pipeline(stages=stages).fit(prepared.where(F.col("fold") != f))
+            kept = fitted.transform(prepared.where(F.col("fold") != f)).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+            held = fitted.transform(prepared.where(F.col("fold") == f)).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+            n_rows = kept.count()
+            for got, hp in zip(scores, trials):
+                try:
+                    got.append(_fold_score(make_estimator(algorithm, task, n_classes, hp, n_rows).fit(kept), held, task))
+                except Exception:  # noqa: BLE001 -- a failed trial scores 0, as in the reference
+                    got.append(0.0)
+            kept.unpersist()
+            held.unpersist()
+    finally:
+        prepared.unpersist()
+    results = [(hp, sum(got) / len(got)) for hp, got in zip(trials, scores)]
+    return max(results, key=lambda t: t[1])[0], results
 
 
 def leaderboard_df(spark, rows: list[tuple], task: str) -> DataFrame:
-    """(algorithm, score, rank, metrics...) ranked by the primary metric; the first wins ties."""
+    """(algorithm, score, rank, metrics, error) ranked by the primary metric; the first wins ties, and
+    algorithms that failed come last with their error. Metrics of the training rows start with train_."""
     metric = "accuracy" if task == "classification" else "r2_score"
-    ordered = sorted(enumerate(rows), key=lambda t: (-(t[1][1].get(metric) or 0.0), t[0]))
-    out = []
-    for rank, (_, (alg, m)) in enumerate(ordered, start=1):
-        out.append((alg, float(m.get(metric) or 0.0), rank, {k: float(v) for k, v in m.items() if v is not None}))
-    return spark.createDataFrame(out, "algorithm string, score double, rank int, metrics map<string,double>")
+    ordered = sorted(enumerate(rows), key=lambda t: (t[1][2] is not None, -(t[1][1].get(metric) or 0.0), t[0]))
+    out = [(alg, None if error else float(m.get(metric) or 0.0), rank, {k: float(v) for k, v in m.items() if v is not None}, error)
+           for rank, (_, (alg, m, error)) in enumerate(ordered, start=1)]
+    return spark.createDataFrame(out, "algorithm string, score double, rank int, metrics map<string,double>, error string")
 
 
 def automl(df: DataFrame, target: str, key_cols: list[str], task_type: str = "auto", test_size: float = 0.2,
-           algorithms: list[str] | None = None, tune_trials: int = 0, cfg: TrainConfig | None = None) -> AutoMLResult:
-    """Prepare, drop rare classes, split, train each algorithm (failures skipped), evaluate, rank."""
+           algorithms: list[str] | None = None, tune_trials: int = 20, defaults: dict | None = None) -> AutoMLResult:
+    """Prepare, drop rare classes, split, tune and train each algorithm, evaluate on training and test
+    rows, rank. ``tune_trials=0``: no search. ``defaults``: hyper-parameters by algorithm, over the usual
+    defaults, for algorithms without a search."""
     from tablelens.operators.prep import drop_rare_classes, validate_target
     validate_target(df, target)
     task = infer_task(df, target) if task_type == "auto" else task_type
-    data = df.where(F.col(target).isNotNull())
+    data = df.where(~missing_flag(df, target))
     if task == "classification":
         data = drop_rare_classes(data, target, 2)
         n = data.count()
@@ -294,28 +367,36 @@ def automl(df: DataFrame, target: str, key_cols: list[str], task_type: str = "au
             raise ValueError("Not enough rows for training after removing rare classes")
         split = split_stratified(data, key_cols, target, test_size)
     else:
+        if data.count() < 10:
+            raise ValueError("Dataset too small: at least 10 rows are needed for training")
         split = split_random(data, key_cols, test_size)
+    path = scratch_path(df.sparkSession, "split")
+    split.write.parquet(path)  # ranked once: every row is in one part, whatever runs again later
+    split = df.sparkSession.read.parquet(path)
     tr = split.where(F.col("split") == "train").drop("split")
     te = split.where(F.col("split") == "test").drop("split")
+    if tr.count() < 3:
+        raise ValueError("Training set too small: at least 3 rows are needed")
     feats = [c for c in df.columns if c != target and c not in key_cols]
     algos = algorithms or (DEFAULT_CLASSIFIERS if task == "classification" else DEFAULT_REGRESSORS)
-    rows, models = [], {}
+    rows, models, params = [], {}, {}
     for alg in algos:
         try:
-            hp = {}
-            if tune_trials:
-                hp, _ = tune(tr, target, alg, task, tune_trials, 3, feats, cfg, key_cols)
-            m = train(tr, target, alg, task, hp, feats, cfg)
+            hp = dict((defaults or {}).get(alg, {}))
+            if tune_trials and alg in SPACES:
+                hp = tune(tr, target, alg, task, tune_trials, None, feats, key_cols)[0]
+            m = train(tr, target, alg, task, hp, feats)
             metrics = score(predict(m, te, target, task, feats), task, target)
-            rows.append((alg, metrics))
-            models[alg] = m
-        except Exception:  # noqa: BLE001 -- one failing algorithm must not lose the others
-            continue
-    if not rows:
-        raise RuntimeError("All algorithms failed")
+            metrics |= {f"train_{k}": v for k, v in score(predict(m, tr, target, task, feats), task, target).items()}
+            rows.append((alg, metrics, None))
+            models[alg], params[alg] = m, hp
+        except Exception as e:  # noqa: BLE001 -- one failing algorithm must not lose the others; it is reported
+            rows.append((alg, {}, f"{type(e).__name__}: {str(e)[:300]}"))
+    if not models:
+        raise RuntimeError("All algorithms failed: " + "; ".join(f"{a}: {e}" for a, _, e in rows))
     lb = leaderboard_df(df.sparkSession, rows, task)
     best = lb.orderBy("rank").first()["algorithm"]
-    return AutoMLResult(task, lb, models, best, feats)
+    return AutoMLResult(task, lb, models, best, feats, params)
 
 
 def save(model: PipelineModel, path: str) -> None:

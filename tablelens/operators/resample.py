@@ -23,6 +23,11 @@ def _u01(*cols) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(SEED), *cols), F.lit(1 << 30)).cast("double") / float(1 << 30)
 
 
+def _synthetic_id() -> F.Column:
+    """Negative, from a hash of the base point's id and the copy's number."""
+    return -F.pmod(F.xxhash64(F.lit(SEED + 2), "id", "copy"), F.lit((1 << 62) - 1)) - 1
+
+
 def _interpolate(base: str, nb: str, lam: str) -> F.Column:
     return F.zip_with(F.col(base), F.col(nb), lambda a, b: a + F.col(lam) * (b - a))
 
@@ -59,7 +64,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, k: int = 5) -> D
         nvec = members.select(F.col("id").alias("nid"), F.col("vec").alias("nvec"))
         gen = gen.join(nvec, "nid").withColumn("lam", _u01(F.col("id"), F.col("copy")))
         syn = gen.select(
-            (-(F.col("id") * 1_000_003 + F.col("copy") + 1)).alias("id"),  # negative ids mark synthetic rows
+            _synthetic_id().alias("id"),
             _interpolate("vec", "nvec", "lam").alias("vec"), label, F.lit(True).alias("synthetic"))
         out = out.unionByName(syn)
     return out
@@ -92,7 +97,7 @@ def adasyn(df: DataFrame, id_col: str, vec_col: str, label: str, k: int = 5) ->
         gen = gen.join(nb, ["id", "nrank"])
         nvec = members.select(F.col("id").alias("nid"), F.col("vec").alias("nvec"))
         gen = gen.join(nvec, "nid").withColumn("lam", _u01(F.col("id"), F.col("copy")))
-        syn = gen.select((-(F.col("id") * 1_000_003 + F.col("copy") + 1)).alias("id"),
+        syn = gen.select(_synthetic_id().alias("id"),
                          _interpolate("vec", "nvec", "lam").alias("vec"), label, F.lit(True).alias("synthetic"))
         out = out.unionByName(syn)
     return out

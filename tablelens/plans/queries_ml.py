@@ -114,6 +114,11 @@ def _items(s, d):
 _REG_FEATS = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]
 
 
+#: What the registered queries ask for, so that they run on one machine; the operators' own defaults are larger.
+QUERY_PARAMS = {"random_forest": {"n_estimators": 20, "max_depth": 5}, "gradient_boosting": {"n_estimators": 20},
+                "xgboost": {"n_estimators": 20}, "lightgbm": {"n_estimators": 20}, "decision_tree": {"max_depth": 5}}
+
+
 def _train_eval(s, d, algorithm, task):
     if task == "classification":
         df, target, feats, keys = _docs(s, d), "quality", _CLS_FEATS, ["doc_id"]
@@ -122,24 +127,9 @@ def _train_eval(s, d, algorithm, task):
     from tablelens.operators.splits import split_random, split_stratified
     sp = split_stratified(df, keys, target, 0.2) if task == "classification" else split_random(df, keys, 0.2)
     tr, te = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-    if algorithm == "knn":
-        vec = F.array(*[F.col(c).cast("double") for c in feats if c in ("n_chars", *_REG_FEATS)])
-        idc = keys[0] if task == "classification" else "_id"
-        if task != "classification":
-            tr = tr.withColumn("_id", F.xxhash64("row_key"))
-            te = te.withColumn("_id", F.xxhash64("row_key"))
-        pred = resample.knn_predict(tr.withColumn("_v", vec), te.withColumn("_v", vec), idc, "_v", target, 5, task)
-        j = te.select(F.col(idc).cast("long").alias(idc), F.col(target).alias("y")).join(pred, idc)
-        from tablelens.operators import evaluate
-        if task == "classification":
-            m = evaluate.classification_metrics(j, "y", "prediction").first()
-            sc = m["accuracy"]
-        else:
-            sc = evaluate.regression_metrics(j, "y", "prediction").first()["r2_score"]
-    else:
-        model = M.train(tr, target, algorithm, task, None, feats)
-        metrics = M.score(M.predict(model, te, target, task, feats), task, target)
-        sc = metrics["accuracy" if task == "classification" else "r2_score"]
+    model = M.train(tr, target, algorithm, task, QUERY_PARAMS.get(algorithm), feats)
+    metrics = M.score(M.predict(model, te, target, task, feats), task, target)
+    sc = metrics["accuracy" if task == "classification" else "r2_score"]
     return s.createDataFrame([(algorithm, task, float(sc) if sc is not None else None)],
                              "algorithm string, task string, score double")
 
@@ -154,7 +144,7 @@ for _alg in ["random_forest", "gradient_boosting", "xgboost", "lightgbm", "linea
 
 def _feature_importance(s, d):
     df = _items(s, d)
-    model = M.train(df, "l_extendedprice", "random_forest", "regression", None, _REG_FEATS)
+    model = M.train(df, "l_extendedprice", "random_forest", "regression", QUERY_PARAMS["random_forest"], _REG_FEATS)
     pairs = M.feature_importance(model, _REG_FEATS)
     return s.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(pairs)], "feature string, importance double, rank int")
 
@@ -164,7 +154,7 @@ register("feature_importance")(_feature_importance)
 
 def _tune(s, d):
     df = _docs(s, d)
-    best, trials = M.tune(df, "quality", "random_forest", "classification", 3, 3, _CLS_FEATS, None, ["doc_id"])
+    best, trials = M.tune(df, "quality", "xgboost", "classification", 2, None, _CLS_FEATS, ["doc_id"])
     return s.createDataFrame([(i, str(sorted(hp.items())), float(sc)) for i, (hp, sc) in enumerate(trials)],
                              "trial int, params string, cv_score double")
 
@@ -172,25 +162,19 @@ def _tune(s, d):
 register("tune_random_search")(_tune)
 
 
-_AUTOML_RUNS: dict = {}
-
-
 def _automl(s, d, task):
-    # the leaderboard is a small driver-built table: one AutoML run per (session, tables, task) serves
-    # the automl, leaderboard and recommendation keys
-    key = (id(s), d, task)
-    if key not in _AUTOML_RUNS:
-        if task == "classification":
-            res = M.automl(_docs(s, d), "quality", ["doc_id"], "classification")
-        else:
-            res = M.automl(_items(s, d), "l_extendedprice", ["row_key"], "regression")
-        _AUTOML_RUNS[key] = res.leaderboard.select("algorithm", "score", "rank")
-    return _AUTOML_RUNS[key]
+    if task == "classification":
+        res = M.automl(_docs(s, d), "quality", ["doc_id"], "classification", tune_trials=0, defaults=QUERY_PARAMS)
+    else:
+        res = M.automl(_items(s, d), "l_extendedprice", ["row_key"], "regression", tune_trials=0, defaults=QUERY_PARAMS)
+    return res.leaderboard
 
 
-register("automl_classification")(lambda s, d: _automl(s, d, "classification"))
-register("automl_regression")(lambda s, d: _automl(s, d, "regression"))
-register("leaderboard")(lambda s, d: _automl(s, d, "classification"))
+register("automl_classification")(lambda s, d: _automl(s, d, "classification").select("algorithm", "score", "rank"))
+register("automl_regression")(lambda s, d: _automl(s, d, "regression").select("algorithm", "score", "rank"))
+# the leaderboard with all its metrics, of training and of test rows
+register("leaderboard")(lambda s, d: _automl(s, d, "classification").select(
+    "rank", "algorithm", F.explode("metrics").alias("metric", "value")))
 
 
 def _ml_recs(s, d):
@@ -204,7 +188,7 @@ register("ml_recommendations")(_ml_recs)
 
 def _roundtrip(s, d):
     df = _docs(s, d)
-    model = M.train(df, "quality", "decision_tree", "classification", None, _CLS_FEATS)
+    model = M.train(df, "quality", "decision_tree", "classification", QUERY_PARAMS["decision_tree"], _CLS_FEATS)
     path = scratch_path(s, "model")
     M.save(model, path)
     p1 = model.transform(M.prepare(df, "quality", "classification", _CLS_FEATS, extra=["doc_id"])).select("doc_id", F.col("prediction").alias("p1"))

@@ -36,10 +36,10 @@ def get_spark(master: str | None = None, app: str = "tablelens", shuffle_partiti
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediates and checkpoints.
+    """The shared folder for written intermediates and checkpoints, from ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    fresh temporary folder is created and registered.
+    Where it is unset, a session on one machine gets a fresh temporary folder; on a
+    cluster a folder of one machine would lose data, so that raises.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -49,10 +49,11 @@ def scratch_dir(spark: SparkSession) -> str:
         return conf
     if jdir.isDefined():
         path = jdir.get()
-        spark.conf.set("spark.checkpoint.dir", path)
-        return path
-    path = tempfile.mkdtemp(prefix="tablelens-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
+    elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        path = tempfile.mkdtemp(prefix="tablelens-ckpt-")
+        spark.sparkContext.setCheckpointDir(path)
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
