@@ -1,33 +1,24 @@
 """Exact (and opt-in approximate) quantiles without funnelling a column into one task.
 
-Exact quantiles need a global order. Instead of ``percentile`` over the raw rows
-(one task per column holding a map of every distinct value) we:
+One plan at every size:
 
-1. shrink the column to its value-frequency table ``(column, value, n)`` with a
+1. the column shrinks to its value-frequency table ``(column, value, n)`` with a
    map-side-combined ``groupBy`` (hot values collapse before the shuffle);
-2. route each column: a column whose distinct count is at most
-   ``max_local_domain`` takes the built-in ``percentile(value, p, n)`` over the
-   frequency table (bounded map); larger columns take a distributed selection:
-   two rounds of equi-width bucketing of the distinct values narrow each
-   wanted rank to one small value range, and only that range is ordered by a
-   window.
-
-Everything is lazy; the only tables broadcast are per-column or per-target
-summaries (bounded by columns x probabilities x buckets).
+2. the frequencies get running sums in the order of (column, value) by
+   ``ranking.running_sum`` (range-partitioned slices, so a column of any domain is
+   spread over tasks);
+3. each wanted rank ``r`` picks the one value with ``cum - n <= r < cum``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import clean_value, numeric_long
+from tablelens.functions.columns import numeric_long
+from tablelens.functions.ranking import running_sum
 
 DEFAULT_PROBS = (0.25, 0.5, 0.75)
-MAX_LOCAL_DOMAIN = 1_000_000
-SELECT_BUCKETS = 4096
-SELECT_ROUNDS = 2
-MAX_GROUPS_COLLECT = 10_000
 
 
 def frequency(long: DataFrame) -> DataFrame:
@@ -35,138 +26,38 @@ def frequency(long: DataFrame) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bucket(value, lo, hi, buckets: int):
-    width = F.try_divide(value - lo, hi - lo)
-    return F.least(F.coalesce(F.floor(width * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-
-
-def select_ranks(freq: DataFrame, targets: DataFrame, buckets: int = SELECT_BUCKETS,
-                 rounds: int = SELECT_ROUNDS) -> DataFrame:
-    """Value at 0-based rank ``r`` of each target.
-
-    freq: (column, value, n); targets: (column, tid, r). Returns (column, tid, value).
-    """
-    # rng and cur have one row per (column, target): the planner broadcasts them when they are small
-    rng = freq.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    cur = targets.join(rng, "column").withColumn("below", F.lit(0).cast("long"))
-    for _ in range(rounds):
-        cand = freq.join(cur, "column").where(
-            (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-        bc = (
-            cand.withColumn("b", _bucket(F.col("value"), F.col("lo"), F.col("hi"), buckets))
-            .groupBy("column", "tid", "r", "below", "b")
-            .agg(F.sum("n").alias("bn"), F.min("value").alias("bmin"), F.max("value").alias("bmax"))
-        )
-        w = Window.partitionBy("column", "tid").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        bc = bc.withColumn("cum", F.col("below") + F.sum("bn").over(w))
-        cur = bc.where((F.col("cum") - F.col("bn") <= F.col("r")) & (F.col("r") < F.col("cum"))).select(
-            "column", "tid", "r", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-            (F.col("cum") - F.col("bn")).alias("below"))
-    rows = freq.join(cur, "column").where(
-        (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-    w = Window.partitionBy("column", "tid").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("cum", F.col("below") + F.sum("n").over(w))
-    return rows.where((F.col("cum") - F.col("n") <= F.col("r")) & (F.col("r") < F.col("cum"))).select(
-        "column", "tid", "value")
-
-
-def _local_from_long(long: DataFrame, probs: list[float]) -> DataFrame:
-    """Built-in exact ``percentile`` per column: its buffer is a value->count map bounded by the domain."""
-    prob_tab = F.array(*[F.lit(p) for p in probs])
-    return (long.groupBy("column").agg(F.percentile("value", probs).alias("qs"))
-            .select("column", F.posexplode("qs").alias("pi", "value"))
-            .select("column", F.element_at(prob_tab, F.col("pi") + 1).alias("prob"), "value"))
-
-
-def _local_from_freq(freq: DataFrame, probs: list[float]) -> DataFrame:
-    prob_tab = F.array(*[F.lit(p) for p in probs])
-    return (freq.groupBy("column").agg(F.percentile("value", probs, F.col("n")).alias("qs"))
-            .select("column", F.posexplode("qs").alias("pi", "value"))
-            .select("column", F.element_at(prob_tab, F.col("pi") + 1).alias("prob"), "value"))
-
-
-def _distributed(freq: DataFrame, dom: DataFrame, probs: list[float]) -> DataFrame:
-    """Exact quantiles of large domains by rank selection; ``dom`` holds (column, N)."""
-    prob_tab = F.array(*[F.lit(p) for p in probs])
-    tg = dom.select("column", "N", F.posexplode(prob_tab).alias("pi", "prob")).withColumn(
-        "h", (F.col("N") - 1) * F.col("prob"))
-    targets = tg.select("column", F.explode(F.array(
-        F.struct((F.col("pi") * 2).alias("tid"), F.floor("h").cast("long").alias("r")),
-        F.struct((F.col("pi") * 2 + 1).alias("tid"), F.ceil("h").cast("long").alias("r")))).alias("t")
-    ).select("column", "t.tid", "t.r")
-    picked = select_ranks(freq, targets)
-    vals = picked.groupBy("column", (F.col("tid") / 2).cast("int").alias("pi")).agg(
-        F.max(F.when(F.col("tid") % 2 == 0, F.col("value"))).alias("v_lo"),
-        F.max(F.when(F.col("tid") % 2 == 1, F.col("value"))).alias("v_hi"))
-    return tg.join(vals, ["column", "pi"]).select(
-        "column", "prob",
-        (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
-
-
-def quantiles_from_freq(freq: DataFrame, probs=DEFAULT_PROBS, max_local_domain: int = MAX_LOCAL_DOMAIN) -> DataFrame:
-    """(column, prob, value) with linear interpolation (pandas / quantile_cont semantics).
-
-    The per-column domain sizes (one row per column) are fetched first and decide
-    the path of each column, so only the needed plan runs.
-    """
+def quantiles_from_freq(freq: DataFrame, probs=DEFAULT_PROBS) -> DataFrame:
+    """(column, prob, value) with linear interpolation (pandas / quantile_cont semantics)."""
     probs = [float(p) for p in probs]
-    dom = freq.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("N"))
-    if dom.limit(MAX_GROUPS_COLLECT + 1).count() > MAX_GROUPS_COLLECT:
-        # many groups (e.g. a box plot by a high-cardinality key): route lazily by joins
-        small = dom.where(F.col("d") <= max_local_domain).select("column")
-        large = dom.where(F.col("d") > max_local_domain).select("column", "N")
-        return _local_from_freq(freq.join(small, "column", "left_semi"), probs).unionByName(
-            _distributed(freq.join(large.select("column"), "column", "left_semi"), large, probs))
-    rows = dom.collect()
-    small = [r["column"] for r in rows if r["d"] <= max_local_domain]
-    large = [r["column"] for r in rows if r["d"] > max_local_domain]
-    spark = freq.sparkSession
-    parts = []
-    if small:
-        parts.append(_local_from_freq(freq.where(F.col("column").isin(small)), probs))
-    if large:
-        ld = spark.createDataFrame([(r["column"], r["N"]) for r in rows if r["column"] in large], "column string, N long")
-        parts.append(_distributed(freq.where(F.col("column").isin(large)), ld, probs))
-    if not parts:
-        return spark.createDataFrame([], "column string, prob double, value double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def quantiles(df: DataFrame, cols: list[str], probs=DEFAULT_PROBS, approx: bool = False,
-              accuracy: int = 10000, max_local_domain: int = MAX_LOCAL_DOMAIN) -> DataFrame:
+    cum = running_sum(freq.select("column", "value", "n"), ["column"], ["value"], ["n"])
+    sizes = cum.groupBy("column").agg(F.max("cum_n").alias("N"))
+    wanted = (sizes.select("column", "N", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("pi", "prob"))
+              .withColumn("h", (F.col("N") - 1) * F.col("prob")))
+    ranks = wanted.select(F.col("column").alias("of"), "pi", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.floor("h").cast("long").alias("r")),
+        F.struct(F.lit(1).alias("side"), F.ceil("h").cast("long").alias("r")))).alias("t")).select("of", "pi", "t.side", "t.r")
+    picked = cum.join(ranks, (F.col("column") == F.col("of")) & (F.col("r") >= F.col("cum_n") - F.col("n")) & (F.col("r") < F.col("cum_n")))
+    vals = picked.groupBy("column", "pi").agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("v_lo"),
+                                              F.max(F.when(F.col("side") == 1, F.col("value"))).alias("v_hi"))
+    return wanted.join(vals, ["column", "pi"]).select(
+        "column", "prob", (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
+
+
+def quantiles(df: DataFrame, cols: list[str], probs=DEFAULT_PROBS, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """(column, prob, value) for each numeric column and probability; NULL/NaN skipped.
 
-    Exact by default. Columns whose (HLL-estimated) distinct count is clearly
-    below ``max_local_domain`` use the built-in ``percentile`` directly on the
-    long table (one shuffle, bounded buffers); larger ones go through the
-    frequency table and the distributed rank selection. ``approx=True`` uses
-    ``percentile_approx`` (bounded sketch) for every column.
+    Exact by default; ``approx=True`` uses ``percentile_approx`` (bounded sketch) for every column.
     """
     probs = [float(p) for p in probs]
-    if approx:
-        prob_tab = F.array(*[F.lit(p) for p in probs])
-        return (
-            numeric_long(df, cols).groupBy("column")
-            .agg(F.percentile_approx("value", probs, accuracy).alias("qs"))
-            .select("column", F.posexplode("qs").alias("pi", "value"))
-            .select("column", F.element_at(prob_tab, F.col("pi") + 1).alias("prob"), "value")
-        )
-    est = df.agg(*[F.approx_count_distinct(clean_value(df, c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    # HLL++ has ~5% relative error at the default precision: keep a margin
-    small = [c for i, c in enumerate(cols) if est[f"d{i}"] <= max_local_domain * 0.8]
-    large = [c for c in cols if c not in small]
-    parts = []
-    if small:
-        parts.append(_local_from_long(numeric_long(df, small), probs))
-    if large:
-        parts.append(quantiles_from_freq(frequency(numeric_long(df, large)), probs, max_local_domain))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if not approx:
+        return quantiles_from_freq(frequency(numeric_long(df, cols)), probs)
+    prob_tab = F.array(*[F.lit(p) for p in probs])
+    return (
+        numeric_long(df, cols).groupBy("column")
+        .agg(F.percentile_approx("value", probs, accuracy).alias("qs"))
+        .select("column", F.posexplode("qs").alias("pi", "value"))
+        .select("column", F.element_at(prob_tab, F.col("pi") + 1).alias("prob"), "value")
+    )
 
 
 def quantiles_wide(df: DataFrame, cols: list[str], probs=DEFAULT_PROBS, names=None, **kw) -> DataFrame:

@@ -1,125 +1,56 @@
 """Global orders without a single task (rule X2): running sums and row numbers.
 
 ``Window.orderBy`` without ``partitionBy`` (or with a partition that can hold
-most of the table) moves every row into one task. Instead:
+most of the table) moves every row into one task. Instead, at every size:
 
-1. range-partition on (group, order) so each task owns a contiguous slice,
-   and sort inside the partition;
-2. a pandas pass per partition computes the running sums *inside* that slice
-   (the iterator keeps a carry between Arrow batches, so a partition streams);
-3. per-(partition, group) totals -- at most #partitions + #groups rows -- give
-   each slice its offset through a small window, joined back by broadcast.
+1. range-partition on (group, order); each partition is a slice of the order.
+   The slices are written once to the shared scratch folder, because range
+   bounds come from a sample and must not be drawn again;
+2. a window over (slice, group) sums inside each slice;
+3. per-(slice, group) totals -- at most #slices + #groups rows -- are summed
+   over the slices before, and joined back (the planner picks the join).
 
-One range shuffle; the slice table is reused by both branches of the plan
-(exchange reuse), so the offsets are computed from the same partitioning.
+A group of any size is spread over slices. NULL values add nothing, NULL
+group keys are a group like any other, and totals may be negative.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BROADCAST_OFFSETS_MAX = 2_000_000
-WINDOW_MAX_ROWS = 1_000_000
-
-
-def _same_key(a: tuple | None, b: tuple) -> bool:
-    if a is None or len(a) != len(b):
-        return False
-    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
-
-
-def _local_cumsum(group_cols: list[str], value_cols: list[str]):
-    """Per-partition running sums; rows arrive sorted by (group, order), groups contiguous."""
-    def fn(it):
-        prev_key, carry = None, {}
-        for pdf in it:
-            if pdf.empty:
-                yield pdf
-                continue
-            if group_cols:
-                gb = pdf.groupby(group_cols, sort=False, dropna=False)
-                first_group = (gb.ngroup() == 0).to_numpy()
-                first_key = tuple(pdf[group_cols].iloc[0])
-            else:
-                first_group = None
-                first_key = ()
-            cont = _same_key(prev_key, first_key)
-            for v in value_cols:
-                cs = (gb[v].cumsum() if group_cols else pdf[v].cumsum()).to_numpy()
-                if cont:
-                    if first_group is None:
-                        cs = cs + carry[v]
-                    else:
-                        cs = cs.copy()
-                        cs[first_group] += carry[v]
-                pdf[f"_loc_{v}"] = cs
-            prev_key = tuple(pdf[group_cols].iloc[-1]) if group_cols else ()
-            carry = {v: pdf[f"_loc_{v}"].iloc[-1] for v in value_cols}
-            yield pdf
-    return fn
+from tablelens.session import scratch_path
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
-                num_partitions: int | None = None, window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """Add ``cum_<v>`` = inclusive running sum of each value column within each group, in order.
 
     ``order_cols`` must make the order total within a group for a deterministic result.
-    When the largest group is known (one small aggregate) to hold at most
-    ``window_max_rows`` rows, a plain window is used -- each group then fits a
-    task by construction. Larger groups take the range-partitioned path.
     """
-    if window_max_rows > 0:
-        if group_cols:
-            biggest = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
-        else:
-            biggest = df.count()
-        if (biggest or 0) <= window_max_rows:
-            w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy(*order_cols) \
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            return df.select(*df.columns, *[F.sum(v).over(w).cast(df.schema[v].dataType).alias(f"cum_{v}")
-                                            for v in value_cols])
-    return _running_sum_ranged(df, group_cols, order_cols, value_cols, num_partitions)
-
-
-def _running_sum_ranged(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
-                        num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group_cols, *order_cols]
-    sliced = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_pid", F.spark_partition_id())
-    )
-    fields = list(sliced.schema.fields) + [
-        T.StructField(f"_loc_{v}", sliced.schema[v].dataType, True) for v in value_cols]
-    local = sliced.mapInPandas(_local_cumsum(group_cols, value_cols), T.StructType(fields))
-    totals = local.groupBy("_pid", *group_cols).agg(*[F.max(f"_loc_{v}").alias(f"_tot_{v}") for v in value_cols])
-    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
-        if group_cols else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("_pid", *group_cols, *[
-        F.coalesce(F.sum(f"_tot_{v}").over(w), F.lit(0)).cast(sliced.schema[v].dataType).alias(f"_off_{v}")
-        for v in value_cols])
-    # null-safe on the group keys: a NULL group is a group like any other
-    offs = offs.select("_pid", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)],
-                       *[f"_off_{v}" for v in value_cols])
-    cond = [local["_pid"] == offs["_pid"]] + [local[g].eqNullSafe(offs[f"_g{i}"]) for i, g in enumerate(group_cols)]
-    out = local.join(F.broadcast(offs) if _offsets_small(group_cols, n) else offs, cond)
-    return out.select(*[local[c] for c in df.columns], *[
-        (local[f"_loc_{v}"] + offs[f"_off_{v}"]).alias(f"cum_{v}") for v in value_cols])
-
-
-def _offsets_small(group_cols: list[str], n: int) -> bool:
-    # offsets hold <= partitions + groups - 1 rows; without groups it is exactly n rows
-    return not group_cols or n <= BROADCAST_OFFSETS_MAX
+    keys = [F.col(f"`{c}`") for c in [*group_cols, *order_cols]]
+    path = scratch_path(spark, "slices")
+    df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()).write.parquet(path)
+    sliced = spark.read.parquet(path)
+    groups = [F.col(f"`{g}`") for g in group_cols]
+    inside = (Window.partitionBy("_pid", *groups).orderBy(*[F.col(f"`{c}`") for c in order_cols])
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = sliced.select("*", *[F.coalesce(F.sum(f"`{v}`").over(inside), F.lit(0)).alias(f"_loc_{v}") for v in value_cols])
+    totals = sliced.groupBy("_pid", *groups).agg(*[F.sum(f"`{v}`").alias(f"_tot_{v}") for v in value_cols])
+    before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(F.col("_pid").alias("_p"), *[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group_cols)],
+                         *[F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
+    same = F.col("_pid") == F.col("_p")
+    for i, g in enumerate(group_cols):
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}"))
+    return local.join(offs, same).select(*[F.col(f"`{c}`") for c in df.columns], *[
+        (F.col(f"`_loc_{v}`") + F.col(f"`_off_{v}`")).cast(df.schema[v].dataType).alias(f"cum_{v}") for v in value_cols])
 
 
 def row_number(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "rn",
-               num_partitions: int | None = None, window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
+               num_partitions: int | None = None) -> DataFrame:
     """1-based row number within each group by ``order_cols`` (which must be a total order)."""
     with_one = df.withColumn("_one", F.lit(1).cast("long"))
-    r = running_sum(with_one, group_cols, order_cols, ["_one"], num_partitions, window_max_rows)
-    return r.withColumnRenamed("cum__one", out).drop("_one")
+    return running_sum(with_one, group_cols, order_cols, ["_one"], num_partitions).withColumnRenamed("cum__one", out).drop("_one")
