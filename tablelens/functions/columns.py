@@ -47,14 +47,14 @@ def is_floating(df: DataFrame, name: str) -> bool:
 
 def clean_value(df: DataFrame, name: str) -> Column:
     """The column with NaN mapped to NULL (pandas treats NaN as missing; Spark does not)."""
-    c = F.col(f"`{name}`")
+    c = F.col("`" + name.replace("`", "``") + "`")
     if is_floating(df, name):
         return F.nanvl(c, F.lit(None).cast(df.schema[name].dataType))
     return c
 
 
 def missing_flag(df: DataFrame, name: str) -> Column:
-    c = F.col(f"`{name}`")
+    c = F.col("`" + name.replace("`", "``") + "`")
     if is_floating(df, name):
         return c.isNull() | F.isnan(c)
     return c.isNull()

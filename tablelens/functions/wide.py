@@ -19,6 +19,11 @@ def _lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _name(c: str) -> str:
+    """A column name as a quoted SQL identifier."""
+    return "`" + c.replace("`", "``") + "`"
+
+
 def wide_agg(df: DataFrame, cols: list[str], metrics: dict[str, Callable[[str], Column | str]]) -> DataFrame:
     """(column, ordinal, <metric...>) with one row per input column.
 
@@ -51,12 +56,12 @@ def wide_agg(df: DataFrame, cols: list[str], metrics: dict[str, Callable[[str],
 def val_sql(df: DataFrame, c: str) -> str:
     """SQL text of a column as double, NaN read as NULL."""
     from pyspark.sql import types as T
-    x = f"CAST(`{c}` AS DOUBLE)"
+    x = f"CAST({_name(c)} AS DOUBLE)"
     return f"nanvl({x}, CAST(NULL AS DOUBLE))" if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else x
 
 
 def missing_sql(df: DataFrame, c: str) -> str:
     from pyspark.sql import types as T
     if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
-        return f"(`{c}` IS NULL OR isnan(`{c}`))"
-    return f"(`{c}` IS NULL)"
+        return f"({_name(c)} IS NULL OR isnan({_name(c)}))"
+    return f"({_name(c)} IS NULL)"

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import clean_value, is_floating, numeric_columns
 from tablelens.functions.distributions import f_pvalue
 from tablelens.functions.numfmt import sig
+from tablelens.functions.wide import _lit, _name
+
+
+SUMS_PER_SCAN = 2_000
+CELLS_PER_ARRAY = 20_000
 
 
 def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -52,7 +57,11 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                 exprs += [f"count({a}) AS n{i}_{j}", f"sum({a}) AS a{i}_{j}", f"sum({b}) AS b{i}_{j}",
                           f"sum({a} * {a}) AS aa{i}_{j}", f"sum({b} * {b}) AS bb{i}_{j}", f"sum({a} * {b}) AS p{i}_{j}",
                           f"min({a}) = max({a}) AS za{i}_{j}", f"min({b}) = max({b}) AS zb{i}_{j}"]
-    row = df.agg(*[F.expr(e) for e in exprs])
+    # one scan for each block of sums, so that generated code stays small; each result is one row
+    row = None
+    for k in range(0, len(exprs), SUMS_PER_SCAN):
+        part = df.agg(*[F.expr(e) for e in exprs[k:k + SUMS_PER_SCAN]])
+        row = part if row is None else row.crossJoin(part)
 
     def r_sql(nn, sa, sb, saa, sbb, sab):
         num = f"({nn} * {sab} - {sa} * {sb})"
@@ -62,7 +71,7 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     structs = []
     for i in range(len(cols)):
         diag = "CAST(NULL AS DOUBLE)" if const[i] else "1.0D"
-        structs.append(f"named_struct('col1', '{cols[i]}', 'col2', '{cols[i]}', 'i', {i}, 'j', {i}, 'r', {diag})")
+        structs.append(f"named_struct('col1', {_lit(cols[i])}, 'col2', {_lit(cols[i])}, 'i', {i}, 'j', {i}, 'r', {diag})")
         for j in range(i + 1, len(cols)):
             if complete[i] and complete[j]:
                 r = "CAST(NULL AS DOUBLE)" if (const[i] or const[j]) else r_sql(
@@ -71,13 +80,16 @@ def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                 r = (f"CASE WHEN NOT za{i}_{j} AND NOT zb{i}_{j} THEN "
                      f"{r_sql(f'CAST(n{i}_{j} AS DOUBLE)', f'a{i}_{j}', f'b{i}_{j}', f'aa{i}_{j}', f'bb{i}_{j}', f'p{i}_{j}')} END")
             for (x, y) in ((i, j), (j, i)):
-                structs.append(f"named_struct('col1', '{cols[x]}', 'col2', '{cols[y]}', 'i', {x}, 'j', {y}, 'r', {r})")
-    return row.selectExpr(f"inline(array({', '.join(structs)}))")
+                structs.append(f"named_struct('col1', {_lit(cols[x])}, 'col2', {_lit(cols[y])}, 'i', {x}, 'j', {y}, 'r', {r})")
+    out = row.selectExpr(f"inline(array({', '.join(structs[:CELLS_PER_ARRAY])}))")
+    for k in range(CELLS_PER_ARRAY, len(structs), CELLS_PER_ARRAY):
+        out = out.union(row.selectExpr(f"inline(array({', '.join(structs[k:k + CELLS_PER_ARRAY])}))"))
+    return out
 
 
 def _val_sql(df: DataFrame, c: str) -> str:
     """SQL text of a column as double with NaN read as NULL."""
-    x = f"CAST(`{c}` AS DOUBLE)"
+    x = f"CAST({_name(c)} AS DOUBLE)"
     return f"nanvl({x}, CAST(NULL AS DOUBLE))" if is_floating(df, c) else x
 
 

@@ -50,8 +50,8 @@ def split_stratified(df: DataFrame, key_cols: list[str], target: str, test_size:
     test_size = adjusted_test_size(tot["n"] or 0, tot["k"] or 0, test_size)
     h = df.withColumn("_h", hash_key(key_cols, seed))
     ranked = row_number(h, [target], ["_h", *key_cols], "_rn")
-    # class counts are #classes rows
-    joined = ranked.join(F.broadcast(counts), ranked[target].eqNullSafe(counts["_t"])).drop("_t")
+    # one row per class: the planner sends it to all tasks only if it is small
+    joined = ranked.join(counts, F.col(f"`{target}`").eqNullSafe(F.col("_t"))).drop("_t")
     return joined.withColumn(
         "split", F.when(F.col("_rn") <= F.round(F.col("_nc") * F.lit(test_size)), "test").otherwise("train")
     ).drop("_h", "_rn", "_nc")
