@@ -204,7 +204,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         bpe = loaded(path)
         for batch in by_bytes(batches, "__text", batch_bytes):
-            raw = [bpe.encode(t.decode("utf-8", "replace")) for t in batch.column("__text").to_pylist()]
+            raw = bpe.pieces.encode_all([t.decode("utf-8", "replace") for t in batch.column("__text").to_pylist()])
             n = [len(r) // 4 for r in raw]
             flat_ids = np.frombuffer(b"".join(raw), dtype="<u4")
             ends = np.cumsum([0, *n])

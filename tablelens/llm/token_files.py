@@ -50,10 +50,38 @@ def library_pieces(path: str) -> Pieces:
     tok.no_truncation()
     tok.no_padding()
 
-    def encode(texts):
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    return Pieces(encode, lambda text: encode([text])[0])
+    def together(pieces: list[str], between: str) -> list[bytes]:
+        """The ids of pieces that are cut apart safely, encoded as one text."""
+        e = tok.encode_batch([between.join(pieces)], add_special_tokens=False)[0]
+        ids = e.ids
+        starts = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = np.cumsum(sizes + len(between)) - sizes - len(between)
+        first, last = np.searchsorted(starts, begin), np.searchsorted(starts, begin + sizes)
+        raw = struct.pack(f"<{len(ids)}I", *ids)
+        return [raw[4 * a:4 * b] for a, b in zip(first.tolist(), last.tolist())]
+
+    def alone(texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False))]
+
+    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        words = [p for p in pieces if not p[-1].isspace()]
+        whole = "\n".join(words)
+        if any(x in whole for x in special):
+            words = [p for p in words if not any(x in p for x in special)]
+        spaced, bare = [p for p in words if p[0] == " "], [p for p in words if p[0] != " "]
+        for group, between in ((spaced, ""), (bare, "\n")):  # a word ends where a space or line break follows
+            for k in range(0, len(group), 4096):
+                part = group[k:k + 4096]
+                out.update(zip(part, together(part, between)))
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, alone(rest)))
+        return [out[p] for p in pieces]
+
+    return Pieces(encode, lambda text: alone([text])[0])
 
 
 def frames(keys: list, ids: list[np.ndarray], wide: bool) -> list[bytes]:
@@ -102,9 +130,9 @@ def write_records(docs: DataFrame, path: str, model_path: str, end_id: int, id_c
     def run(batches):
         pieces = library_pieces(model_path)
         end = struct.pack("<I", end_id)
-        for batch in by_bytes(batches, "__text", 4 << 20):
-            ids = [np.frombuffer(pieces(t.decode("utf-8", "replace")) + end, dtype="<u4")
-                   for t in batch.column("__text").to_pylist()]
+        for batch in by_bytes(batches, "__text", 2 << 20):
+            raw = pieces.encode_all([t.decode("utf-8", "replace") for t in batch.column("__text").to_pylist()])
+            ids = [np.frombuffer(r + end, dtype="<u4") for r in raw]
             yield pa.RecordBatch.from_arrays([pa.array(frames(batch.column(id_col).to_pylist(), ids, wide), pa.binary())],
                                              names=["frame"])
 
