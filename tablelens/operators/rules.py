@@ -297,3 +297,39 @@ def chart_insights(df: DataFrame, target: str | None = None, x: str | None = Non
             rows.append(("target", target, f"imbalance:{cc['mx'] / cc['mn']:.1f}"))
     return df.sparkSession.createDataFrame([(i, a, c, s) for i, (a, c, s) in enumerate(rows)],
                                            "position int, chart string, column string, insight string")
+
+
+def correlation_bands(df: DataFrame, cols: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
+    """The highly correlated pairs with their band: above .9 very strong, else strong."""
+    from tablelens.operators.relate import high_corr_pairs
+    return high_corr_pairs(df, cols, threshold).withColumn(
+        "strength", F.when(F.abs("correlation") > 0.9, "Very Strong").otherwise("Strong"))
+
+
+def importance_bands(importance: DataFrame, k: int = 15) -> DataFrame:
+    """The ``k`` most important features and their impact. ``importance``: (feature, importance)."""
+    a = F.abs("importance")
+    return (importance.select("feature", "importance").orderBy(a.desc(), "feature").limit(k)
+            .withColumn("impact", F.when(a > 0.2, "Very High").when(a > 0.1, "High").when(a > 0.05, "Moderate").otherwise("Low")))
+
+
+def correlation_insights(df: DataFrame, cols: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
+    """How many pairs are highly correlated, and the first three."""
+    c = correlation_long(df, cols).where((F.col("i") < F.col("j")) & (F.abs("r") > threshold))
+    n = c.count()
+    rows = [("correlation", None, f"high_pairs:{n}" if n else "no_high_pairs")]
+    rows += [("correlation", f"{r['col1']},{r['col2']}", f"{r['r']:.3f}") for r in c.orderBy("i", "j").limit(3).collect()]
+    return df.sparkSession.createDataFrame([(i, a, b, s) for i, (a, b, s) in enumerate(rows)],
+                                           "position int, chart string, column string, insight string")
+
+
+def importance_insights(importance: DataFrame) -> DataFrame:
+    """The most important feature, and whether the first five hold more than .8 of the importance."""
+    top = importance.orderBy(F.desc("importance"), "feature").limit(5).collect()
+    rows = []
+    if top:
+        rows.append(("importance", top[0]["feature"], f"top:{top[0]['importance']:.3f}"))
+        if sum(r["importance"] for r in top) > 0.8:
+            rows.append(("importance", None, "concentrated_in_top_5"))
+    return importance.sparkSession.createDataFrame([(i, a, b, s) for i, (a, b, s) in enumerate(rows)],
+                                                   "position int, chart string, column string, insight string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablelens.functions.numfmt import sig
-from tablelens.operators import explain, features, normality, resample
+from tablelens.operators import explain, features, normality, resample, rules
 from tablelens.operators import models as M
 from tablelens.plans.catalog import LINEITEM_NUM, S, register, table, union
 from tablelens.session import scratch_path
@@ -95,6 +95,15 @@ def _emb_cols(df, dim=64):
 register("pca_project")(lambda s, d: features.pca_project(
     _emb_cols(table(s, d, "embeddings")), [f"e{i}" for i in range(64)], ["vec_id", "label"], 2))
 
+register("importance_bands", f"""SELECT feature, importance, CASE WHEN abs(importance) > 0.2 THEN 'Very High' WHEN abs(importance) > 0.1 THEN 'High'
+  WHEN abs(importance) > 0.05 THEN 'Moderate' ELSE 'Low' END AS impact FROM ({_IMP_SQL}) ORDER BY abs(importance) DESC, feature LIMIT 15""")(
+    lambda s, d: rules.importance_bands(features.importance_ensemble(_importance_table(s, d))))
+
+register("importance_insights", f"""WITH t AS (SELECT * FROM ({_IMP_SQL}) WHERE rank <= 5)
+SELECT 0 AS position, 'importance' AS chart, feature AS "column", 'top:' || printf('%.3f', importance) AS insight FROM t WHERE rank = 1
+UNION ALL SELECT 1, 'importance', NULL, 'concentrated_in_top_5' WHERE (SELECT sum(importance) FROM t) > 0.8""")(
+    lambda s, d: rules.importance_insights(features.importance_ensemble(_importance_table(s, d))))
+
 # ---------------------------------------------------------------- models
 _CLS_FEATS = ["n_chars", "lang", "source"]
 

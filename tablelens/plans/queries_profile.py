@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tablelens.functions.numfmt import sig
 from tablelens.operators import outliers, profile, relate, stats
+from tablelens.operators import rules
 from tablelens.plans.catalog import (
     LINEITEM_NUM,
     ORDERS_NULLS_COLS,
@@ -245,6 +246,20 @@ register("high_corr_pairs",
          f"WHERE i < j AND abs(r) > 0.7")(
     lambda s, d: relate.high_corr_pairs(table(s, d, "lineitem")))
 
+_PART = ["p_partkey", "p_size", "p_retailprice"]
+
+register("correlation_bands",
+         f"SELECT col1 AS feature1, col2 AS feature2, round(r, 3) AS correlation, CASE WHEN abs(round(r, 3)) > 0.9 THEN 'Very Strong' ELSE 'Strong' END AS strength "
+         f"FROM ({_corr_pairs_sql(_PART, 'part', 12)}) WHERE i < j AND abs(r) > 0.01")(
+    lambda s, d: rules.correlation_bands(table(s, d, "part"), _PART, 0.01))
+
+register("correlation_insights", f"""WITH p AS (SELECT col1, col2, i, j, r FROM ({_corr_pairs_sql(_PART, 'part', 12)}) WHERE i < j AND abs(r) > 0.01),
+n AS (SELECT count(*) AS k FROM p)
+SELECT 0 AS position, 'correlation' AS chart, NULL AS "column", CASE WHEN k = 0 THEN 'no_high_pairs' ELSE 'high_pairs:' || k END AS insight FROM n
+UNION ALL SELECT position, 'correlation', "column", insight FROM (SELECT (row_number() OVER (ORDER BY i, j))::INTEGER AS position,
+  col1 || ',' || col2 AS "column", printf('%.3f', r) AS insight FROM p) WHERE position <= 3""")(
+    lambda s, d: rules.correlation_insights(table(s, d, "part"), _PART, 0.01))
+
 register("correlation_summary",
          f"SELECT {R('max(mx)')} AS max_correlation, {R('min(mn)')} AS min_correlation, {R('avg(m)')} AS mean_abs_correlation, "
          f"{R('max(mo)')} AS max_offdiag FROM (SELECT j, avg(abs(r)) AS m, max(abs(r)) AS mx, min(r) AS mn, "

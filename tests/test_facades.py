@@ -29,6 +29,16 @@ def test_profile_and_eda_sections(spark, f1):
     assert rep.where("section = 'descriptive_numeric'").count() > 0
 
 
+def test_a_section_that_fails_while_it_runs_loses_no_other(spark, f1, monkeypatch):
+    broken = f1.select("target", F.raise_error(F.lit("boom")).cast("double").alias("x"))
+    monkeypatch.setattr(facade.stats, "categorical_stats", lambda df, cat: broken)
+    rep = facade.report(f1, "target")
+    got = {r["section"] for r in rep.select("section").distinct().collect()}
+    assert {"errors", "descriptive_numeric", "shapiro_wilk", "anderson_darling", "chart_missing", "chart_box_age"} <= got
+    assert "descriptive_categorical" not in got
+    assert "boom" in rep.where("section = 'errors'").first()["value"]
+
+
 def test_drift_monitor_stream(spark):
     src = scratch_path(spark, "stream-src")
     base = spark.range(200).select(F.col("id").cast("double").alias("x"),
