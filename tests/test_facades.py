@@ -34,7 +34,7 @@ def test_a_section_that_fails_while_it_runs_loses_no_other(spark, f1, monkeypatc
     monkeypatch.setattr(facade.stats, "categorical_stats", lambda df, cat: broken)
     rep = facade.report(f1, "target")
     got = {r["section"] for r in rep.select("section").distinct().collect()}
-    assert {"errors", "descriptive_numeric", "shapiro_wilk", "anderson_darling", "chart_missing", "chart_box_age"} <= got
+    assert {"errors", "descriptive_numeric", "shapiro_wilk", "anderson_darling", "chart_plan", "chart_box_age"} <= got
     assert "descriptive_categorical" not in got
     assert "boom" in rep.where("section = 'errors'").first()["value"]
 
