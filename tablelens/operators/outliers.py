@@ -1,13 +1,13 @@
 """Outliers (A22-A25, P8 bounds): IQR fences from the distributed quantiles,
-z-scores from population moments; counts are one pass over the long table
-joined to a per-column bounds table (#columns rows, broadcast)."""
+z-scores from population moments. The bounds (one row per column) are fetched
+and counted against as literals in one wide pass over the table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import clean_value, numeric_columns, numeric_long
+from tablelens.functions.columns import clean_value, numeric_columns
 from tablelens.functions.numfmt import sig
 from tablelens.functions.quantiles import quantiles_wide
 from tablelens.functions.wide import wide_agg
@@ -25,10 +25,18 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, **kw) -> DataFrame:
 def iqr_outliers(df: DataFrame, cols: list[str] | None = None, **kw) -> DataFrame:
     """Count and share (of non-missing values) outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR]."""
     cols = cols or numeric_columns(df)
-    b = iqr_bounds(df, cols, **kw)
-    long = numeric_long(df, cols).join(F.broadcast(b.select("column", "lower_bound", "upper_bound")), "column")
-    out = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    cnt = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(out, 1)).alias("iqr_outliers_count"))
+    fences = {r["column"]: r for r in iqr_bounds(df, cols, **kw).collect()}
+    cols = [c for c in cols if c in fences]
+    schema = "column string, lower_bound double, upper_bound double"
+    b = df.sparkSession.createDataFrame([(c, fences[c]["lower_bound"], fences[c]["upper_bound"]) for c in cols], schema)
+    if not cols:
+        return b.select("column", F.lit(0).cast("long").alias("iqr_outliers_count"), F.lit(0.0).alias("iqr_outliers_percentage"), "lower_bound", "upper_bound")
+
+    def beyond(c: str) -> F.Column:
+        v = clean_value(df, c).cast("double")
+        return F.count(F.when((v < F.lit(fences[c]["lower_bound"])) | (v > F.lit(fences[c]["upper_bound"])), 1))
+
+    cnt = wide_agg(df, cols, {"n": lambda c: F.count(clean_value(df, c)), "iqr_outliers_count": beyond})
     return b.join(cnt, "column").select(
         "column", "iqr_outliers_count",
         sig(F.try_divide(F.col("iqr_outliers_count") * 100.0, F.col("n"))).alias("iqr_outliers_percentage"),
@@ -38,12 +46,18 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, **kw) -> DataFram
 def zscore_outliers(df: DataFrame, cols: list[str] | None = None, threshold: float = 3.0) -> DataFrame:
     """|x - mean| / std_pop > threshold; a constant column has none."""
     cols = cols or numeric_columns(df)
-    s = wide_agg(df, cols, {"mean": lambda c: F.avg(clean_value(df, c).cast("double")),
-                            "std_pop": lambda c: F.stddev_pop(clean_value(df, c).cast("double"))}).select(
-        "column", "mean", "std_pop")
-    long = numeric_long(df, cols).join(F.broadcast(s), "column")
-    z = F.abs(F.try_divide(F.col("value") - F.col("mean"), F.col("std_pop")))
-    cnt = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(z > threshold, 1)).alias("z_score_outliers_count"))
+    moments = {r["column"]: r for r in wide_agg(df, cols, {
+        "mean": lambda c: F.avg(clean_value(df, c).cast("double")),
+        "std_pop": lambda c: F.stddev_pop(clean_value(df, c).cast("double"))}).collect()}
+
+    def far(c: str) -> F.Column:
+        mean, std = moments[c]["mean"], moments[c]["std_pop"]
+        if not std:
+            return F.count(F.lit(None))
+        z = F.abs((clean_value(df, c).cast("double") - F.lit(mean)) / F.lit(std))
+        return F.count(F.when(z > threshold, 1))
+
+    cnt = wide_agg(df, cols, {"n": lambda c: F.count(clean_value(df, c)), "z_score_outliers_count": far}).where("n > 0")
     return cnt.select("column", "z_score_outliers_count",
                       sig(F.try_divide(F.col("z_score_outliers_count") * 100.0, F.col("n"))).alias("z_score_outliers_percentage"))
 

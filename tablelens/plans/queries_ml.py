@@ -163,7 +163,7 @@ register("feature_importance")(_feature_importance)
 
 def _tune(s, d):
     df = _docs(s, d)
-    best, trials = M.tune(df, "quality", "xgboost", "classification", 2, None, _CLS_FEATS, ["doc_id"])
+    best, trials = M.tune(df, "quality", "random_forest", "classification", 2, 2, _CLS_FEATS, ["doc_id"])
     return s.createDataFrame([(i, str(sorted(hp.items())), float(sc)) for i, (hp, sc) in enumerate(trials)],
                              "trial int, params string, cv_score double")
 
