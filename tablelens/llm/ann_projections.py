@@ -10,7 +10,7 @@ distance fails this test.
 
 The projections are indexed by a kd-tree in two parts. The upper splits are medians of a bounded sample; its
 cells are dealt over the cluster in blocks of bounded size, so that every row is indexed. A query starts with
-the k-th best of the sample, and is sent to the cells whose box passes the test. Each block holds the lower
+its k best of the sample, verified on whole vectors, and is sent to the cells whose box passes the test. Each block holds the lower
 part of the tree, and searches leaf by leaf in the order of the box distances. A block meets queries in chunks
 of bounded size; results of blocks are merged by rank.
 
@@ -104,39 +104,52 @@ def box_distance2(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return out
 
 
-def search(vec, proj, ids, first_id, q_vec, q_proj, q_id, q_base, q_best, k, limit):
+def search(vec, proj, only, first_id, q_vec, q_proj, q_id, q_base, q_best, k, limit):
     """The k best rows of a block for each query, as (query, row, score). ``q_base`` is |q|^2 + M^2, ``q_best`` the
-    k-th best squared distance known before, ``limit`` the chi-square quantile; ``ids``: sets where a row
-    stands for one id only, which a query of this id skips."""
+    k-th best squared distance known before, ``limit`` the chi-square quantile; ``only``: the id of a row that
+    stands for one id only, which a query of this id skips.
+
+    Every query goes through the leaves in the order of their boxes' distances, in rounds of growing length;
+    a round takes one leaf after the other for all queries that have it next. A query ends when its next
+    projected neighbour fails the test; rows that can't be among its k best are not kept."""
     groups = leaves(proj)
     low, high = np.array([proj[g].min(axis=0) for g in groups]), np.array([proj[g].max(axis=0) for g in groups])
     flat = np.concatenate(groups)
-    ends = np.cumsum([len(g) for g in groups])
-    vec, proj, own, first = vec[flat], proj[flat], ids[flat], first_id[flat]
-    out = []
-    for i in range(len(q_vec)):
-        lower = box_distance2(q_proj[i:i + 1], low, high)[0]
-        order = np.argsort(lower, kind="stable")
-        rows, scores, best = np.zeros(0, np.int64), np.zeros(0), q_best[i]
-        for s in range(0, len(order), 8):
-            step = order[s:s + 8]
-            if lower[step[0]] > limit * best:  # the next projected neighbour fails the test
-                break
-            near = np.concatenate([np.arange(ends[g] - len(groups[g]), ends[g]) for g in step])
-            d = proj[near] - q_proj[i]
-            near = near[((d * d).sum(axis=1) <= limit * best) & (own[near] != q_id[i])]
-            if not len(near):
-                continue
-            rows, scores = np.concatenate([rows, near]), np.concatenate([scores, (vec[near] * q_vec[i]).sum(axis=1)])
-            if len(rows) > k:
-                kept = np.lexsort((first[rows], -scores))[:k]
-                rows, scores = rows[kept], scores[kept]
-            if len(rows) == k:
-                best = min(best, max(0.0, q_base[i] - 2 * scores.min()))
-        out.append((np.full(len(rows), i), flat[rows], scores))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*out))
+    end = np.cumsum([len(g) for g in groups])
+    begin = end - [len(g) for g in groups]
+    vec, proj, only, first = vec[flat], proj[flat], only[flat], first_id[flat]
+    p2, q2, best = (proj * proj).sum(axis=1), (q_proj * q_proj).sum(axis=1), q_best.copy()
+    lower = box_distance2(q_proj, low, high)
+    order = np.argsort(lower, axis=1, kind="stable")
+    top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    at, step = 0, 4
+    while at < len(groups):
+        nxt = order[:, at:at + step]
+        go = np.take_along_axis(lower, nxt, axis=1) <= limit * best[:, None]
+        if not go.any():  # farther leaves fail as well
+            break
+        i, c = np.nonzero(go)
+        leaf = nxt[i, c]
+        by = np.argsort(leaf, kind="stable")
+        i, leaf = i[by], leaf[by]
+        cuts = np.flatnonzero(np.diff(leaf)) + 1
+        new = [top]
+        for qs, g in zip(np.split(i, cuts), leaf[np.concatenate([[0], cuts])]):
+            a, b = begin[g], end[g]
+            score = q_vec[qs] @ vec[a:b].T
+            d = q2[qs, None] + p2[None, a:b] - 2 * q_proj[qs] @ proj[a:b].T
+            ok = (d <= limit * best[qs, None] + 1e-9) & (score >= (q_base[qs] - best[qs])[:, None] / 2 - 1e-9) & (only[None, a:b] != q_id[qs, None])
+            x, y = np.nonzero(ok)
+            new.append((qs[x], a + y, score[x, y]))
+        query, row, score = (np.concatenate(z) for z in zip(*new))
+        o = np.lexsort((first[row], -score, query))
+        query, row, score = query[o], row[o], score[o]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        top = query[rank < k], row[rank < k], score[rank < k]
+        kth = rank == k - 1
+        best[query[kth]] = np.minimum(best[query[kth]], np.maximum(0.0, q_base[query[kth]] - 2 * score[kth]))
+        at, step = at + step, 2 * step
+    return top[0], flat[top[1]], top[2]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", m: int = 8,
@@ -192,20 +205,34 @@ def _search_all(index, asked, dim, n, most2, n_queries, k, m, confidence, block_
     blocks[cells] = -(-boxes["n"].to_numpy() // block_rows)
     chunks = -(-n_queries // chunk_rows)
 
-    def visit(batches):
-        """Each query once for every block that it must search."""
+    def start(batches):
+        """Each query with its k best of the sample, and the k-th best squared distance."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             vec, ids = matrix(batch.column("vec")), batch.column("id").to_numpy()
-            proj = np.concatenate([vec, np.zeros((len(vec), 1))], axis=1) @ to
-            base, best = (vec * vec).sum(axis=1) + most2, np.full(len(vec), np.inf)
+            base, best, near, scores = (vec * vec).sum(axis=1) + most2, np.full(len(vec), np.inf), [], []
             for s in range(0, len(vec), 1024):
                 score = vec[s:s + 1024] @ s_vec.T
                 score[ids[s:s + 1024, None] == s_only[None, :]] = -np.inf
-                if score.shape[1] > k:
-                    best[s:s + 1024] = np.maximum(0, base[s:s + 1024] - 2 * np.partition(score, -k, axis=1)[:, -k]) + 1e-9
-            best[~np.isfinite(best)] = np.inf
+                for r, row in enumerate(score):
+                    top = np.argsort(-row, kind="stable")[:k] if len(row) <= 4 * k else np.argpartition(-row, k)[:k]
+                    top = top[np.isfinite(row[top])]
+                    if len(top) == k:
+                        best[s + r] = max(0.0, base[s + r] - 2 * row[top].min()) + 1e-9
+                    near.append([s_ids[t] for t in top])
+                    scores.append(row[top])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), packed(vec), pa.array(base), pa.array(best), pa.array(near, pa.list_(pa.list_(pa.int64()))), pa.array(scores, pa.list_(pa.float64()))],
+                                             names=["id", "vec", "base", "best", "near", "scores"])
+
+    def visit(batches):
+        """Each query once for every block that it must search."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec, ids = unpacked(batch.column("vec"), dim), batch.column("id").to_numpy()
+            base, best = batch.column("base").to_numpy(), batch.column("best").to_numpy()
+            proj = np.concatenate([vec, np.zeros((len(vec), 1))], axis=1) @ to
             i, c = np.nonzero(box_distance2(proj, low, high) <= limit * best[:, None])
             each = blocks[cells[c]]
             i, c = np.repeat(i, each), np.repeat(cells[c], each)
@@ -215,7 +242,9 @@ def _search_all(index, asked, dim, n, most2, n_queries, k, m, confidence, block_
                                               packed(vec[i]), packed(proj[i]), pa.array(base[i]), pa.array(best[i])], names=["cell", "sub", "chunk", "ids", "vec", "proj", "base", "best"])
 
     keys = ["cell", "sub", "chunk"]
-    visits = written(asked.select("id", "vec").mapInArrow(visit, "cell long, sub long, chunk long, ids array<long>, vec binary, proj binary, base double, best double"), "visits")
+    started = written(asked.select("id", "vec").mapInArrow(start, "id long, vec binary, base double, best double, near array<array<long>>, scores array<double>"), "started")
+    begun = started.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "scores")).alias("n")).select("query_id", F.col("n.near").alias("ids"), F.col("n.scores").alias("score"))
+    visits = written(started.select("id", "vec", "base", "best").mapInArrow(visit, "cell long, sub long, chunk long, ids array<long>, vec binary, proj binary, base double, best double"), "visits")
     per_cell = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), (F.col("cell") + 1).cast("int"))
     stored = (dealt.withColumn("sub", F.pmod(F.col("mark"), per_cell.cast("long"))).join(visits.select(*keys).distinct(), ["cell", "sub"])
               .select(*keys, "ids", "vec", "proj", F.lit(None).cast("double").alias("base"), F.lit(None).cast("double").alias("best")))
@@ -234,4 +263,4 @@ def _search_all(index, asked, dim, n, most2, n_queries, k, m, confidence, block_
                                  unpacked(q.column("vec"), dim), unpacked(q.column("proj"), m), q_id, q.column("base").to_numpy(), q.column("best").to_numpy(), k, limit)
         return pa.table({"query_id": pa.array(q_id[i], pa.int64()), "ids": pa.array([ids[x] for x in j.tolist()], pa.list_(pa.int64())), "score": pa.array(score, pa.float64())})
 
-    return visits.union(stored).groupBy(*keys).applyInArrow(run, "query_id long, ids array<long>, score double")
+    return begun.union(visits.union(stored).groupBy(*keys).applyInArrow(run, "query_id long, ids array<long>, score double"))
