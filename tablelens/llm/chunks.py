@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
 
 _S = r"\x20\x09-\x0D"
 PIECES = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]")
@@ -23,31 +22,24 @@ ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 
 
 class Remembered(dict):
-    """piece -> encoding; missing pieces are encoded in one batch. At half of ``most`` entries the table
-    becomes the older half, of which pieces that are met again come back."""
+    """piece -> encoding; missing pieces are encoded in one batch; emptied at ``most`` entries."""
 
     def __init__(self, encode: Callable[[list], list], most: int = 600_000, longest: int = 64):
         super().__init__()
         self.encode, self.most, self.longest = encode, most, longest
-        self.older: dict = {}
         self.once: list = []
 
     def learn(self, pieces) -> None:
-        """Know all of ``pieces`` (a set), till the next call at least."""
-        if 2 * len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        missing = [p for p in pieces if p not in self]
-        if self.older:
-            back = [p for p in missing if p in self.older]
-            self.update([(p, self.older[p]) for p in back])
-            missing = [p for p in missing if p not in self]
+        missing = [p for p in set(pieces) if p not in self]
         if missing:
+            if len(self) + len(missing) > self.most:
+                self.clear()
+                missing = list(set(pieces))
             self.update(zip(missing, self.encode(missing)))
             self.once += [p for p in missing if len(p) > self.longest]
 
     def forget_long(self) -> None:
-        """Long pieces are kept for one batch only."""
+        """Long pieces are kept for one text only."""
         for p in self.once:
             self.pop(p, None)
         self.once.clear()
@@ -81,19 +73,18 @@ class Pieces:
             out += [" " + w for w in rest]
         return out
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The encodings of a batch of texts; what it has not met yet is encoded at once."""
-        cut = [self.cut(t) for t in texts]
+    def __call__(self, text: str) -> bytes:
+        pieces = self.cut(text)
         known = self.known
-        known.learn(set(chain.from_iterable(cut)))
-        out = []
-        for text, pieces in zip(texts, cut):
+        try:
+            out = b"".join(map(known.__getitem__, pieces))
+        except KeyError:
+            known.learn(pieces)
             try:
-                out.append(b"".join(map(known.__getitem__, pieces)))
-            except TypeError:  # a piece with wide white space
-                out.append(self.whole(text))
-        known.forget_long()
+                out = b"".join(map(known.__getitem__, pieces))
+            except TypeError:
+                out = self.whole(text)
+            known.forget_long()
+        except TypeError:
+            out = self.whole(text)
         return out
-
-    def __call__(self, text: str) -> bytes:
-        return self.encode_all([text])[0]

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +57,7 @@ def drops_space(model_path: str) -> bool:
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                 limit: int = 2048, batch_bytes: int = 2 << 20) -> DataFrame:
+                 limit: int = 2048, batch_bytes: int = 4 << 20) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit), one row per input row."""
     df = text_bytes(docs, id_col, text=text_col)
     id_type = df.schema[id_col].dataType
@@ -72,9 +71,11 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             texts = batch.column("__text").to_pylist()
             if by_word:
                 words = [t.split() for t in texts]
-                known.learn(set(chain.from_iterable(words)))
-                n = [sum(map(known.__getitem__, ws)) for ws in words]
-                known.forget_long()
+                n = []
+                for ws in words:
+                    known.learn(ws)
+                    n.append(sum(map(known.__getitem__, ws)))
+                    known.forget_long()
             else:
                 n = known.encode(texts)
             yield pa.RecordBatch.from_arrays(
