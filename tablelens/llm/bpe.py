@@ -87,7 +87,7 @@ class Bpe:
         self.offsets[1:] = np.cumsum([len(self.by_id.get(i, b"")) for i in range(most)])
         self.blob = np.frombuffer(b"".join(self.by_id.get(i, b"") for i in range(most)), dtype=np.uint8)
         self.symbols = {b: c for c, b in alphabet.items()}
-        self.pieces = Pieces(self._encode_pieces, self._encode_whole)
+        self.pieces = Pieces(self._encode_pieces, self._encode_whole, spec.get("added_tokens", []))
         self.known_words: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:

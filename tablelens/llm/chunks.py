@@ -4,7 +4,8 @@ Byte-level BPE with the usual pre-token pattern starts a new pre-token at a spac
 non-space, and gives the last white space of a run before a word a pre-token of its own. Pieces are
 therefore a word with its leading space, a white-space run without its last character, or that one
 character. Texts with white space outside ASCII don't have these boundaries (a run may mix both kinds);
-``Pieces`` reports them as a whole.
+``Pieces`` reports them as a whole. Special strings (added tokens) end a text for the pattern, so that a
+white-space run before one is not cut: texts are split at them first.
 
 Words repeat, so encodings are remembered per piece in a table of bounded size.
 """
@@ -47,11 +48,16 @@ class Remembered(dict):
 
 class Pieces:
     """Encode texts piece by piece. ``encode(pieces) -> list of bytes`` sees pieces without wide white
-    space; ``whole(text) -> bytes`` encodes a text that can't be cut."""
+    space; ``whole(text) -> bytes`` encodes a text that can't be cut. ``added``: the vocabulary file's
+    added tokens; texts that hold one which looks at its neighbours are encoded whole."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], added: list[dict]):
         self.known = Remembered(lambda ps: self._encode(encode, ps))
         self.whole = whole
+        # of two that start at one place the library takes the longer
+        self.special = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.apart = not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
 
     @staticmethod
     def _encode(encode, pieces):
@@ -74,7 +80,14 @@ class Pieces:
         return out
 
     def __call__(self, text: str) -> bytes:
-        pieces = self.cut(text)
+        if not any(x in text for x in self.special):
+            return self._join(self.cut(text), text)
+        if not self.apart:
+            return self.whole(text)
+        parts = self.split.split(text)  # every second one is a special string
+        return b"".join([self._join([p] if k % 2 else self.cut(p), p) for k, p in enumerate(parts) if p])
+
+    def _join(self, pieces: list[str], text: str) -> bytes:
         known = self.known
         try:
             out = b"".join(map(known.__getitem__, pieces))

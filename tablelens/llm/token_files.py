@@ -21,6 +21,7 @@ gives no files and an empty index.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -49,11 +50,13 @@ def library_pieces(path: str) -> Pieces:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
 
     def encode(texts):
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Pieces(encode, lambda text: encode([text])[0])
+    return Pieces(encode, lambda text: encode([text])[0], added)
 
 
 def frames(keys: list, ids: list[np.ndarray], wide: bool) -> list[bytes]:
@@ -117,7 +120,6 @@ def write_records(docs: DataFrame, path: str, model_path: str, end_id: int, id_c
 
 
 def _vocabulary(spec: str, end_id: int) -> int:
-    import json
     model = json.loads(spec)
     return max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model.get("added_tokens", []))]) + 1
 

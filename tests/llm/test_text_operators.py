@@ -15,6 +15,7 @@ public = pytest.importorskip("public_tokenizers")
 
 ODD = ["", None, " ", "\n\n a  b\t\tc \n", "a <|endoftext|> b<|endoftext|>", "a \n b  c", "x" * 3000, "日本語 テスト 😀 \x1c\x1d a\x85b", "trail  ",
        "\r\n\r\nfoo 's 're don't", "é a ́b Σας ΟΔΟΣ İ", "1234 567890123", "　a b a", "The same words here", "The same words here",
+       "foo\n\n<|endoftext|>bar", "a  <|endoftext|> \n <|endoftext|>\t\t<|endoftext|>  b", "\n\n<|endoftext|>\u3000 x  ",
        "word " * 4000, "the quick brown fox jumps over the lazy dog", "The quick  brown\nfox jumps over the lazy dog"]
 TEXT_ROWS = [(i, t) for i, t in enumerate(ODD)] + [(13, "The same words here"), (None, "no id")]
 
@@ -88,6 +89,19 @@ def test_backtracking_equals_merging_by_rank():
         assert bpe.decode(ids) == t
 
 
+def test_runs_before_a_special_string_stay_whole():
+    from tablelens.llm.bpe import Bpe
+    from tablelens.llm.token_files import library_pieces
+    path, lib = public.path("byte_bpe_50k.json"), library("byte_bpe_50k.json")
+    bpe, pieces = Bpe(path), library_pieces(path)
+    assert np.frombuffer(bpe.encode("foo\n\n<|endoftext|>bar"), "<u4").tolist() == [21943, 628, 50256, 5657]
+    r = random.Random(7)
+    for _ in range(1500):
+        t = "".join(r.choice(["<|endoftext|>", "<|endoftext|>", "a", "th", " ", "\n", "\t", "\u3000", "é", "<|", "9"]) for _ in range(r.randint(1, 15)))
+        want = np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert bpe.encode(t) == want and pieces(t) == want, t
+
+
 def test_crc32c():
     from tablelens.llm.crc32c import crc32c
     # published check values
