@@ -144,3 +144,41 @@ def test_impute_knn_is_the_mean_of_the_nearest(spark):
             if v is None:
                 near = sorted((abs(f - g), j, w) for j, g, w in rows if w is not None)[:4]
                 assert got[i] == pytest.approx(sum(w for _, _, w in near) / 4)
+
+
+def test_tuning_inside_automl_uses_the_folds_of_m3(labelled, monkeypatch):
+    monkeypatch.setitem(M.SPACES, "xgboost", {"n_estimators": (2, 4), "max_depth": (2, 3)})
+    tuned, folds, fitted = [], [], []
+    tune, cut, fit = M.tune, M.cv_folds, M.train
+    monkeypatch.setattr(M, "tune", lambda *a: tuned.append((a, tune(*a))) or tuned[-1][1])
+    monkeypatch.setattr(M, "cv_folds", lambda df, keys, k, *a: folds.append(k) or cut(df, keys, k, *a))
+    monkeypatch.setattr(M, "train", lambda *a: fitted.append(a[4]) or fit(*a))
+    M.automl(labelled.drop("num"), "cls", ["k"], algorithms=["xgboost"], tune_trials=2)
+    assert folds == [5]  # 192 training rows, more than 5 of either class
+    (args, (best, trials)), = tuned
+    assert len(trials) == 2 and fitted == [best] and max(s for _, s in trials) > 0.5
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_automl_queries_search_and_share_one_run(spark, monkeypatch):
+    import inspect
+    from tablelens.plans.catalog import QUERIES
+    asked, fitted = [], []
+    names, fit = inspect.signature(M.tune), M.train
+
+    def tune(*a, **kw):
+        asked.append(names.bind(*a, **kw).arguments)
+        return {"n_estimators": 2, "max_depth": 2}, []
+
+    def train(df, target, algorithm, task, hp, feats):
+        fitted.append((algorithm, hp))
+        return fit(df, target, algorithm, task, {"n_estimators": 2, "max_depth": 2}, feats)
+    monkeypatch.setattr(M, "tune", tune)
+    monkeypatch.setattr(M, "train", train)
+    for key in ("automl_classification", "leaderboard", "ml_recommendations", "automl_regression"):
+        assert QUERIES[key][0](spark, SMALL).count() > 0
+    assert [(a["algorithm"], a["task"], a["n_trials"], a.get("folds")) for a in asked] == [
+        (alg, task, 20, None) for task in ("classification", "regression") for alg in ("random_forest", "xgboost")]
+    assert [hp for alg, hp in fitted if alg not in M.SPACES] == [{}] * 4
