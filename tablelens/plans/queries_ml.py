@@ -123,11 +123,6 @@ def _items(s, d):
 _REG_FEATS = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size"]
 
 
-#: What the registered queries ask for, so that they run on one machine; the operators' own defaults are larger.
-QUERY_PARAMS = {"random_forest": {"n_estimators": 20, "max_depth": 5}, "gradient_boosting": {"n_estimators": 20},
-                "xgboost": {"n_estimators": 20}, "lightgbm": {"n_estimators": 20}, "decision_tree": {"max_depth": 5}}
-
-
 def _train_eval(s, d, algorithm, task):
     if task == "classification":
         df, target, feats, keys = _docs(s, d), "quality", _CLS_FEATS, ["doc_id"]
@@ -136,7 +131,7 @@ def _train_eval(s, d, algorithm, task):
     from tablelens.operators.splits import split_random, split_stratified
     sp = split_stratified(df, keys, target, 0.2) if task == "classification" else split_random(df, keys, 0.2)
     tr, te = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-    model = M.train(tr, target, algorithm, task, QUERY_PARAMS.get(algorithm), feats)
+    model = M.train(tr, target, algorithm, task, None, feats)
     metrics = M.score(M.predict(model, te, target, task, feats), task, target)
     sc = metrics["accuracy" if task == "classification" else "r2_score"]
     return s.createDataFrame([(algorithm, task, float(sc) if sc is not None else None)],
@@ -153,7 +148,7 @@ for _alg in ["random_forest", "gradient_boosting", "xgboost", "lightgbm", "linea
 
 def _feature_importance(s, d):
     df = _items(s, d)
-    model = M.train(df, "l_extendedprice", "random_forest", "regression", QUERY_PARAMS["random_forest"], _REG_FEATS)
+    model = M.train(df, "l_extendedprice", "random_forest", "regression", None, _REG_FEATS)
     pairs = M.feature_importance(model, _REG_FEATS)
     return s.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(pairs)], "feature string, importance double, rank int")
 
@@ -163,7 +158,7 @@ register("feature_importance")(_feature_importance)
 
 def _tune(s, d):
     df = _docs(s, d)
-    best, trials = M.tune(df, "quality", "random_forest", "classification", 2, 2, _CLS_FEATS, ["doc_id"])
+    best, trials = M.tune(df, "quality", "random_forest", "classification", 20, None, _CLS_FEATS, ["doc_id"])
     return s.createDataFrame([(i, str(sorted(hp.items())), float(sc)) for i, (hp, sc) in enumerate(trials)],
                              "trial int, params string, cv_score double")
 
@@ -215,7 +210,7 @@ register("ml_recommendations")(_ml_recs)
 
 def _roundtrip(s, d):
     df = _docs(s, d)
-    model = M.train(df, "quality", "decision_tree", "classification", QUERY_PARAMS["decision_tree"], _CLS_FEATS)
+    model = M.train(df, "quality", "decision_tree", "classification", None, _CLS_FEATS)
     path = scratch_path(s, "model")
     M.save(model, path)
     p1 = model.transform(M.prepare(df, "quality", "classification", _CLS_FEATS, extra=["doc_id"])).select("doc_id", F.col("prediction").alias("p1"))

@@ -182,3 +182,25 @@ def test_automl_queries_search_and_share_one_run(spark, monkeypatch):
     assert [(a["algorithm"], a["task"], a["n_trials"], a.get("folds")) for a in asked] == [
         (alg, task, 20, None) for task in ("classification", "regression") for alg in ("random_forest", "xgboost")]
     assert [hp for alg, hp in fitted if alg not in M.SPACES] == [{}] * 4
+
+
+def test_training_queries_ask_for_the_defaults(spark, monkeypatch):
+    import inspect
+    from tablelens.plans.catalog import QUERIES
+
+    class Asked(Exception):
+        pass
+
+    def asking(names):
+        def ask(*a, **kw):
+            raise Asked(names.bind(*a, **kw).arguments)
+        return ask
+    for name in ("train", "tune"):
+        monkeypatch.setattr(M, name, asking(inspect.signature(getattr(M, name))))
+    for key in [k for k in QUERIES if k.startswith("train_")] + ["feature_importance", "model_roundtrip", "tune_random_search"]:
+        with pytest.raises(Asked) as got:
+            QUERIES[key][0](spark, SMALL)
+        asked = got.value.args[0]
+        assert not asked.get("hp"), key
+        if key == "tune_random_search":
+            assert asked["n_trials"] == 20 and asked.get("folds") is None
