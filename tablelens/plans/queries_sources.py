@@ -112,6 +112,17 @@ register("load_csv_na", """SELECT c_custkey, CASE WHEN c_custkey % 7 > 1 THEN c_
   CASE WHEN c_custkey % 5 > 1 THEN c_acctbal END AS c_acctbal, 'double' AS kind FROM customer""")(_csv_na)
 
 
+#: Fixed: the rows that a JSON document holds, about.
+DOCUMENT_ROWS = 10_000
+
+
+def _write_documents(src: DataFrame, path: str, document) -> None:
+    """Documents of about ``DOCUMENT_ROWS`` rows each, as many as the rows need, one a file."""
+    rows = src.count()
+    dealt = src.repartition(max(1, -(-rows // DOCUMENT_ROWS))).withColumn("__doc", F.spark_partition_id())
+    (dealt.groupBy("__doc") if rows else src.groupBy()).agg(document.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def _json_object(s, d):
     """Pretty-printed records, one document a row."""
     src = table(s, d, "supplier")
@@ -126,11 +137,11 @@ register("load_json_object", "SELECT * FROM supplier")(_json_object)
 
 
 def _json_columns(s, d):
-    """A table by column: one document of arrays for each nation."""
+    """A table by column: documents of arrays."""
     src = table(s, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     path = scratch_path(s, "columns") + ".json"
-    whole = src.agg(*[F.sort_array(F.collect_list(F.struct(*src.columns)))[c].alias(c) for c in src.columns])
-    whole.select(F.to_json(F.struct(*src.columns), {"pretty": "true"}).alias("value")).write.text(path)
+    rows = F.sort_array(F.collect_list(F.struct(*src.columns)))
+    _write_documents(src, path, F.to_json(F.struct(*[rows[c].alias(c) for c in src.columns]), {"pretty": "true"}))
     return _as(readers.load_dataset(s, path), src)
 
 

@@ -123,7 +123,7 @@ def read_tsv(spark: SparkSession, path: str, **kw) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str, schema=None, **kw) -> DataFrame:
     """JSON lines, an array of records, one (also pretty-printed) record, or a table by column
-    (``{"a": [..], "b": [..]}`` or ``{"a": {"0": .., "1": ..}, ..}``).
+    (``{"a": [..], "b": [..]}`` or ``{"a": {"0": .., "1": ..}, ..}``); a directory may hold several of these.
 
     Lines are told from documents over the whole input: in lines, most lines are whole records (a damaged
     line makes no document of them). Documents are read one task a file, as they can't be cut."""
@@ -133,20 +133,32 @@ def read_json(spark: SparkSession, path: str, schema=None, **kw) -> DataFrame:
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    df = r.json(path, multiLine=share is not None and share < 0.5, **kw)
-    return _by_column(spark, path, df) if schema is None else df
+    documents = share is not None and share < 0.5
+    df = r.json(path, multiLine=documents, **kw)
+    return _by_column(spark, path, df, documents) if schema is None else df
 
 
-def _by_column(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+def _one_object_a_file(spark: SparkSession, path: str, df: DataFrame, documents: bool) -> bool:
+    """True if each file is one object: not lines, and not an array of records that have arrays."""
+    per = df.select(F.col("_metadata.file_path").alias("f"), F.size(F.col(f"`{df.columns[0]}`")).alias("w"))
+    most = per.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).agg(F.max("n"), F.max("w")).first()[0]
+    if most != 1 or not documents:
+        return most == 1
+    root = F.regexp_extract("value", r"^\s*(\S)", 1)
+    return not spark.read.text(path, wholetext=True).where(~root.isin("{", "")).limit(1).count()
+
+
+def _by_column(spark: SparkSession, path: str, df: DataFrame, documents: bool) -> DataFrame:
     """Turn a table given by column into rows; other frames are returned as they are."""
     kinds = [f.dataType for f in df.schema.fields]
     if kinds and all(isinstance(k, T.ArrayType) for k in kinds):
-        arrays = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])
-        if arrays.agg(F.count(F.lit(1))).first()[0] == 1:
+        # a column that a document lacks is missing in its rows
+        arrays = df.select(*[F.coalesce(F.col(f"`{c}`"), F.array().cast(t)).alias(f"c{k}") for k, (c, t) in enumerate(zip(df.columns, kinds))])
+        if _one_object_a_file(spark, path, df, documents):
             zipped = arrays.select(F.explode(F.arrays_zip(*arrays.columns)).alias("r"))
             return zipped.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(df.columns)])
     if kinds and all(isinstance(k, T.StructType) for k in kinds) and all(f.name.isdigit() for k in kinds for f in k.fields):
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True)
         values = [next(iter(k.fields)).dataType if k.fields else T.StringType() for k in kinds]
         record = T.StructType([T.StructField(c, T.MapType(T.StringType(), v)) for c, v in zip(df.columns, values)])
         maps = whole.select(F.from_json("value", record).alias("r")).select(*[F.col(f"r.`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])

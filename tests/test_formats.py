@@ -133,3 +133,45 @@ def test_filters_and_columns_reach_the_scan(spark):
     df = readers.load_dataset(spark, "/root/testdata/sf0.001/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey")
     plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan and "o_totalprice" not in plan.split("ReadSchema")[1]
+
+
+def _folder(spark, name, texts):
+    d = scratch_path(spark, name) + ".json"
+    os.makedirs(d)
+    for k, text in enumerate(texts):
+        with open(f"{d}/f{k}.json", "w") as fh:
+            fh.write(text)
+    return d
+
+
+@pytest.mark.parametrize("indent", [1, None])
+def test_several_documents_by_column(spark, indent):
+    docs = [{"a": [1, 2], "b": ["x", "y"]}, {"a": [3, 4, 5], "b": ["z", None, "w"]}, {"a": [6]}, {"a": [], "b": []}]
+    got = readers.load_dataset(spark, _folder(spark, "columns", [json.dumps(x, indent=indent) for x in docs]))
+    assert sorted((r.a, r.b) for r in got.collect() if r.b) == [(1, "x"), (2, "y"), (3, "z"), (5, "w")]
+    assert sorted(r.a for r in got.collect() if r.b is None) == [4, 6]
+
+
+def test_several_pretty_printed_documents_by_column_and_key(spark):
+    docs = [{"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": "y"}}, {"a": {"0": 3}, "b": {"0": "z"}}]
+    got = readers.load_dataset(spark, _folder(spark, "keyed", [json.dumps(x, indent=1) for x in docs]))
+    assert sorted((r.a, r.b) for r in got.collect()) == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_records_that_have_arrays_stay_records(spark):
+    one, two = {"a": [1, 2], "b": [3]}, {"a": [4], "b": [5]}
+    for texts in ([json.dumps([one, two], indent=1)], [json.dumps([x], indent=1) for x in (one, two)], [json.dumps(one) + "\n" + json.dumps(two)]):
+        assert sorted(r.a for r in readers.load_dataset(spark, _folder(spark, "records", texts)).collect()) == [[1, 2], [4]]
+
+
+@pytest.mark.parametrize("key", ["load_json_columns"])
+def test_documents_grow_in_number_with_the_rows(spark, monkeypatch, key):
+    from tablelens.plans import queries_sources as Q
+    from tablelens.plans.catalog import QUERIES
+    monkeypatch.setattr(Q, "DOCUMENT_ROWS", 3)
+    read, paths = readers.load_dataset, []
+    monkeypatch.setattr(readers, "load_dataset", lambda s, p: paths.append(p) or read(s, p))
+    rows = QUERIES[key][0](spark, "/root/testdata/sf0.001")
+    src = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").select(*rows.columns)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, src.collect()))
+    assert len([n for n in os.listdir(paths[0].removeprefix("file://")) if n.startswith("part-")]) == -(-src.count() // 3)
