@@ -66,7 +66,7 @@ register("load_arff", "SELECT * FROM customer")(_arff)
 def _xlsx(s, d):
     src = table(s, d, "supplier")
     path = scratch_path(s, "supplier") + ".xlsx"
-    writers.write_xlsx_dir(src, path, workbooks=2)
+    writers.write_xlsx_dir(src, path)
     return _as(readers.load_dataset(s, path), src)
 
 
@@ -124,12 +124,11 @@ def _write_documents(src: DataFrame, path: str, document) -> None:
 
 
 def _json_object(s, d):
-    """Pretty-printed records, one document a row."""
+    """Arrays of pretty-printed records."""
     src = table(s, d, "supplier")
     path = scratch_path(s, "objects") + ".json"
-    (src.repartition(F.col(src.columns[0]) % 4).select(F.to_json(F.struct(*src.columns), {"pretty": "true"}).alias("value"))
-     .groupBy(F.spark_partition_id()).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
-     .select("value").write.text(path))
+    record = F.to_json(F.struct(*src.columns), {"pretty": "true"})
+    _write_documents(src, path, F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")))
     return _as(readers.load_dataset(s, path), src)
 
 

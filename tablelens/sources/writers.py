@@ -2,14 +2,13 @@
 
 Tables are written by Spark's own writers. ARFF is a header (one small text
 file) plus a body written as text by the executors; workbooks are produced one
-per partition inside the tasks, each named by its partition so a retried task
-overwrites its own file.
+per partition inside the tasks and written by Spark's text sink, so through its
+commit protocol and on any file system.
 """
 
 from __future__ import annotations
 
 import io
-import os
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -59,7 +58,12 @@ def write_arff(df: DataFrame, path: str, relation: str = "table", quoted: bool =
     return path
 
 
+#: Fixed: the rows that a workbook holds, about.
+WORKBOOK_ROWS = 10_000
+
+
 def _xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
+    """A workbook; its last byte, the archive's comment, is the line separator of the text sink."""
     def cell(ref: str, v) -> str:
         if v is None:
             return ""
@@ -102,29 +106,33 @@ def _xlsx_bytes(header: list[str], rows: list[list]) -> bytes:
                    '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/>'
                    '</Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.comment = b"\n"
     return buf.getvalue()
 
 
-def write_xlsx_dir(df: DataFrame, path: str, workbooks: int = 2) -> str:
-    """One workbook per partition (``part-<n>.xlsx``) in ``path``; returns the directory.
-
-    The directory must be reachable from every executor (a shared file system).
-    """
+def write_xlsx_dir(df: DataFrame, path: str, workbooks: int | None = None) -> str:
+    """One workbook per partition (``part-<n>...xlsx``) in ``path``; returns the directory. ``workbooks``:
+    by default as many as the rows need, at about ``WORKBOOK_ROWS`` each."""
     header = df.columns
-    os.makedirs(path, exist_ok=True)
+    if workbooks is None:
+        workbooks = max(1, -(-df.count() // WORKBOOK_ROWS))
 
     def write(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
         rows = []
         for pdf in it:
             rows.extend(pdf.astype(object).where(pd.notna(pdf), None).values.tolist())
-        data = _xlsx_bytes(header, rows)
-        with open(os.path.join(path, f"part-{pid:05d}.xlsx"), "wb") as fh:
-            fh.write(data)
-        yield pd.DataFrame({"part": [pid], "rows": [len(rows)]})
+        yield pd.DataFrame({"value": [_xlsx_bytes(header, rows)[:-1]]})  # the sink adds the last byte
 
-    df.repartition(workbooks).mapInPandas(write, "part int, rows long").collect()
+    (df.repartition(workbooks).mapInPandas(write, "value binary").select(F.col("value").cast("string").alias("value"))
+     .write.mode("overwrite").option("lineSep", "\n").option("compression", "none").text(path))
+    # the sink's files end in .txt; names are changed once all are committed
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "part-*.txt")):
+        name = found.getPath()
+        if not fs.rename(name, spark._jvm.org.apache.hadoop.fs.Path(folder, name.getName().removesuffix(".txt") + ".xlsx")):
+            raise OSError(f"{name} could not be named .xlsx")
     return path
 
 

@@ -164,7 +164,7 @@ def test_records_that_have_arrays_stay_records(spark):
         assert sorted(r.a for r in readers.load_dataset(spark, _folder(spark, "records", texts)).collect()) == [[1, 2], [4]]
 
 
-@pytest.mark.parametrize("key", ["load_json_columns"])
+@pytest.mark.parametrize("key", ["load_json_columns", "load_json_object"])
 def test_documents_grow_in_number_with_the_rows(spark, monkeypatch, key):
     from tablelens.plans import queries_sources as Q
     from tablelens.plans.catalog import QUERIES
@@ -175,3 +175,20 @@ def test_documents_grow_in_number_with_the_rows(spark, monkeypatch, key):
     src = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").select(*rows.columns)
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, src.collect()))
     assert len([n for n in os.listdir(paths[0].removeprefix("file://")) if n.startswith("part-")]) == -(-src.count() // 3)
+
+
+def test_workbooks_grow_in_number_with_the_rows(spark, monkeypatch):
+    from tablelens.plans.catalog import QUERIES
+    monkeypatch.setattr(writers, "WORKBOOK_ROWS", 3)
+    read, paths = readers.load_dataset, []
+    monkeypatch.setattr(readers, "load_dataset", lambda s, p: paths.append(p) or read(s, p))
+    rows = QUERIES["load_xlsx_dir"][0](spark, "/root/testdata/sf0.001")
+    src = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, src.collect()))
+    assert len([n for n in os.listdir(paths[0].removeprefix("file://")) if n.endswith(".xlsx")]) == -(-src.count() // 3)
+
+
+def test_workbooks_go_to_a_path_that_is_a_uri(spark, f1):
+    path = "file://" + scratch_path(spark, "uri") + ".xlsx"
+    writers.write_xlsx_dir(f1, path)
+    assert readers.load_dataset(spark, path).count() == 15
