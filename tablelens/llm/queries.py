@@ -111,3 +111,20 @@ def op1(spark, sf_dir):
     from tablelens.llm.ann_projections import nearest
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@register("op11_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+""")
+def op11(spark, sf_dir):
+    from tablelens.llm.exact_dedup import exact_duplicates
+    return exact_duplicates(table(spark, sf_dir, "documents"), stays="largest").withColumnRenamed("sha", "text_sha256")
+
+
+@register("op12_embedding_whitening")
+def op12(spark, sf_dir):
+    from tablelens.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"), components=4).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
