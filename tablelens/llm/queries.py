@@ -128,3 +128,35 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     from tablelens.llm.whitening import whiten
     return whiten(table(spark, sf_dir, "embeddings"), components=4).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+#: CRC-32 of a text's bytes in SQL: a fold over its characters, eight shifts each.
+_CRC = ("""xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)""")
+
+
+@register("op13_conversation_trie", f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, max(pos) AS n, c - c % 5 AS base, {_CRC.format('c::VARCHAR')} % 9 AS h FROM t GROUP BY c),
+r AS (SELECT k.c, t.pos AS d, t.role, t.text FROM k JOIN t ON t.c = k.base AND t.pos <= k.h
+      UNION ALL
+      SELECT k.c, coalesce(least(k.h, b.n), 0) + t.pos - k.h, t.role, t.text
+      FROM k JOIN t ON t.c = k.c AND t.pos > k.h LEFT JOIN k AS b ON b.c = k.base),
+s AS (SELECT c, d, text, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d)) AS p FROM r
+      UNION ALL SELECT c, 0, '', '' FROM k),
+m AS (SELECT s.*, d = max(d) OVER (PARTITION BY c) AS fin, lag(p) OVER (PARTITION BY c ORDER BY d) AS up FROM s),
+n AS (SELECT d, p, min(up) AS up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(octet_length(encode(text))) AS own,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (fin), '')) AS ends FROM m GROUP BY d, p),
+f AS (SELECT n.*, (SELECT count(*) FROM n AS x WHERE x.up = n.p AND x.d = n.d + 1) AS n_children FROM n),
+w AS (SELECT m.c, m.d, m.p, sum(coalesce(f.own, 0)) OVER tail AS saved, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) OVER tail AS leaves
+      FROM m LEFT JOIN f ON f.conv_id = m.c AND f.d = m.d
+      WINDOW tail AS (PARTITION BY m.c ORDER BY m.d DESC)),
+g AS (SELECT d, p, sum(saved)::BIGINT AS saved_tokens, sum(leaves)::BIGINT AS n_leaves FROM w GROUP BY d, p)
+SELECT f.conv_id, f.d::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, g.n_leaves, g.saved_tokens, f.ends AS ends_sha256
+FROM f JOIN g ON g.d = f.d AND g.p = f.p LEFT JOIN n AS u ON u.d = f.d - 1 AND u.p = f.up
+""")
+def op13(spark, sf_dir):
+    from tablelens.llm.conversation_trie import prefix_trie
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("turn_conv", "turn_pos")
