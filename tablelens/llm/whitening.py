@@ -119,12 +119,14 @@ def _identity_error(fit: DataFrame, mean: np.ndarray, turn: np.ndarray, n: int)
 
 
 def deviations(x: np.ndarray, n: int, sums: list[int]) -> pa.Array:
-    """Exact sums of (n x - S)^2 per row, as decimals; wide integers only where 64 bits might not do."""
+    """Exact sums of (n x - S)^2 per row, as decimals; wide integers only where 64 bits might not do; null beyond
+    38 digits."""
     most = n * int(np.abs(x).max(initial=0)) + max(abs(s) for s in sums)
     if most * most * x.shape[1] < 1 << 63:
         d = n * x - np.array(sums, np.int64)
         return pa.array((d * d).sum(axis=1)).cast(pa.decimal128(38, 0))
-    return pa.array([Decimal(sum((n * a - s) ** 2 for a, s in zip(row, sums))) for row in x.tolist()], pa.decimal128(38, 0))
+    wide = [sum((n * a - s) ** 2 for a, s in zip(row, sums)) for row in x.tolist()]
+    return pa.array([Decimal(w) if w < 10 ** 38 else None for w in wide], pa.decimal128(38, 0))
 
 
 def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", components: int = 4, scale: int = 256,
