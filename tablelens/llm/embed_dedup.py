@@ -2,26 +2,38 @@
 
 Every unit vector is turned by one random rotation and stored as its sign bits o' (scaled to length 1) with
 the correction factor a = <o, o'>. For a vector q, <q, o'> / a is an unbiased estimate of <q, o> over random
-rotations. The parts of q and o outside o' have lengths sqrt(1 - <q,o'>^2) and sqrt(1 - a^2), so
-
-    a <q,o'> - sqrt((1 - a^2)(1 - <q,o'>^2))  <=  <q, o>  <=  a <q,o'> + sqrt((1 - a^2)(1 - <q,o'>^2))
-
-holds with certainty: a pair whose upper bound is below the threshold can't link, and is not looked at
-again; every other pair is recomputed exactly, in double precision, from the vectors themselves. No link is
-lost and none is below the threshold.
-
-Vectors are dealt to cells around pivots (a bounded sample of the vectors), cells to blocks of bounded size.
-A vector meets another block only if the triangle inequality on the sphere leaves room for a partner: its
-angle to the other pivot is within that cell's radius and the threshold's angle, and it is near enough to the
-bisector of the two pivots. Where the data have no structure the inequality can't exclude blocks, and any
-exact method must estimate most pairs; the estimate then is one product of a code block and a vector block.
+rotations. The parts of q and o outside
+o' have lengths sqrt(1 - <q,o'>^2) and sqrt(1 - a^2), and a random rotation turns the second part in a random
+direction, so the estimate's error has the deviation
+
+    sqrt((1 - a^2) (1 - <q,o'>^2) / (d - 1)) / a
+
+and never exceeds that without the root of d - 1. Which pairs need exact recomputation is decided in two steps, in
+double precision:
+
+* the estimate and its confidence bound (``CONFIDENCE`` deviations) pick the likely pairs, which are recomputed
+  first, best estimates first;
+* the bound that holds with certainty, a <q,o'> +- sqrt((1 - a^2)(1 - <q,o'>^2)), is the guard. Pairs outside the
+  confidence bound whose certain upper bound reaches the threshold are recomputed too; a pair whose certain upper
+  bound stays below it can't link and is not looked at again. So no link is lost by a rare error of the estimate,
+  and a link is only ever told from the vectors themselves.
+
+Vectors are dealt to cells around pivots (a bounded sample of the vectors), cells to blocks. A vector meets another
+block only if the triangle inequality on the sphere leaves room for a partner: its angle to the other pivot is
+within that cell's radius and the threshold's angle, and it is near enough to the bisector of the two pivots. Where
+the data have no structure the inequality can't exclude blocks, and any exact method must estimate most pairs; the
+estimate then is one product of a code block and a vector block. A block holds some ``64 sqrt(n)`` vectors, within
+bounds set by a task's memory (``block_rows`` sets it), so vectors are dealt about sqrt(n) / 64 times until blocks
+are full (a million vectors), and from there on in proportion to n / 65,536.
 
 Equal vectors are one vector with a count, so copies make no pairs. Tasks return numbers of links and a
-spanning set of them, never pairs, so a dense group of near copies stays linear outside its block products.
+spanning set of them, never pairs, so a dense group of near copies stays linear outside its block products; that is
+why whole vectors are dealt rather than codes: recomputing pairs elsewhere would send every pair of such a group.
 
-Defined results: vectors null, zero, or holding null or non-finite components link with nothing and are
-their own component; vectors of different lengths don't link; ids repeated are rows of their own with a
-common component; an empty table gives no rows.
+Defined results: vectors null, zero, or holding null or non-finite components, and rows with a null id, link with
+nothing and are their own component (``component_id`` is their id, ``kept`` is true); vectors of different lengths
+don't link; rows with one id are rows of their own, each with the links and the component of its own vector, and
+``kept`` where that component's smallest id is theirs; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +43,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import written
+from tablelens.llm.common import salted_join, written
 from tablelens.llm.components import components
-from tablelens.llm.vectors import matrix, packed, unpacked, usable
+from tablelens.llm.vectors import matrix, packed, unpacked, unusable, usable
 
 SEED = 11
-_SLACK = 1e-9  # more than double rounding can move a bound
+_SLACK = 1e-9  # more than double rounding can move an angle
+#: More than double rounding can move the certain bound: where 1 - b^2 is rounded by some 1e-15, its root may be
+#: off by the root of that.
+_CERTAIN = 1e-6
+#: Deviations of the estimate within which a pair is likely.
+CONFIDENCE = 4.0
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -52,29 +69,43 @@ def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signs(codes: np.ndarray, dim: int) -> np.ndarray:
-    bits = np.unpackbits(codes, axis=1, count=dim).astype(np.float32)
-    return (2 * bits - 1) / np.float32(np.sqrt(dim))
+    bits = np.unpackbits(codes, axis=1, count=dim).astype(float)
+    return (2 * bits - 1) / np.sqrt(dim)
+
+
+def estimates(turned: np.ndarray, code: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimate, deviation, certain upper bound) of the cosines of rotated unit vectors and coded ones."""
+    dim = turned.shape[1]
+    b = turned @ code.T
+    # squares may exceed 1 by rounding; what they miss of the true loss is within the slack below
+    loss = np.sqrt(np.maximum(0, 1 - factor * factor)[None, :] * np.maximum(0, 1 - b * b))
+    return b / factor, loss / (factor * np.sqrt(max(1, dim - 1))), factor * b + loss
 
 
 def near_pairs(left: np.ndarray, right: np.ndarray, codes: np.ndarray, factor: np.ndarray, threshold: float):
     """Pairs (i, j) with cosine >= threshold. ``left``, ``right``: vectors; ``codes``, ``factor``: of right."""
     dim = left.shape[1]
     norm_l, norm_r = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
-    unit = left / norm_l[:, None]
-    turned = (unit @ rotation(dim)).astype(np.float32)
-    code = signs(codes, dim).T
-    loss = np.sqrt(np.maximum(0, 1 - factor * factor)).astype(np.float32)
-    factor = factor.astype(np.float32)
+    turned = (left / norm_l[:, None]) @ rotation(dim)
+    code = signs(codes, dim)
     out = []
-    for k in range(0, len(left), 512):
-        b = turned[k:k + 512] @ code
-        upper = factor * b + loss * np.sqrt(np.maximum(0, 1 - b * b))
-        i, j = np.nonzero(upper >= np.float32(threshold - 1e-5))  # float32 products err by less
+
+    def recompute(i, j):
         for s in range(0, len(i), 1 << 17):
-            x, y = i[s:s + (1 << 17)] + k, j[s:s + (1 << 17)]
+            x, y = i[s:s + (1 << 17)], j[s:s + (1 << 17)]
             cos = np.einsum("ij,ij->i", left[x], right[y]) / (norm_l[x] * norm_r[y])
             on = cos >= threshold
             out.append((x[on], y[on]))
+
+    for k in range(0, len(left), 256):
+        estimate, deviation, upper = estimates(turned[k:k + 256], code, factor)
+        possible = upper >= threshold - _CERTAIN
+        likely = possible & (estimate + CONFIDENCE * deviation >= threshold)
+        i, j = np.nonzero(likely)
+        best = np.argsort(-estimate[i, j], kind="stable")
+        recompute(i[best] + k, j[best])
+        i, j = np.nonzero(possible & ~likely)  # the guard's pairs
+        recompute(i + k, j)
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
@@ -97,36 +128,37 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding",
-                         block_rows: int = 4096, most_pivots: int = 256) -> DataFrame:
+                         block_rows: int | None = None, most_pivots: int = 256) -> DataFrame:
     """(id_col, n_links, component_id, kept), one row per input row."""
-    spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vec_col).withColumn("mark", F.xxhash64("vec")), "vectors")
-    distinct = written(rows.groupBy("dim", "mark", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "distinct")
+    same = ["dim", "mark", "vec"]
+    distinct = rows.groupBy(*same).agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    distinct = written(distinct.withColumn("rep", F.monotonically_increasing_id()), "distinct")  # numbered once, as written
     reps = None
     for dim, n in sorted((r["dim"], r["count"]) for r in distinct.groupBy("dim").count().collect()):  # few lengths
-        found = _links(distinct.where(F.col("dim") == dim), dim, n, threshold, block_rows, most_pivots)
+        block = block_rows or int(min(1 << 16, max(4096, 64 * n ** 0.5)))
+        found = _links(distinct.where(F.col("dim") == dim), dim, n, threshold, block, most_pivots)
         reps = found if reps is None else reps.union(found)
-    everything = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"))
     if reps is None:
-        return everything.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return vectors.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.lit(0).cast("long").alias("n_links"),
+                              F.col(f"`{id_col}`").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     reps = written(reps, "links")
     partners = reps.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(reps.where("kind = 1").select("a", "b"))
-    classes = written(distinct.select("dim", "mark", "vec", "rep", "copies").join(partners, "rep", "left")
+    classes = written(distinct.select(*same, "rep", "least", "copies").join(partners, "rep", "left")
                       .join(roots, F.col("rep") == F.col("node"), "left")
-                      .select("dim", "mark", "vec", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "classes")
-    least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(least, "root")
-    per_row = rows.join(classes, ["dim", "mark", "vec"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = everything.join(per_row, "id", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+                      .select(*same, "least", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "classes")
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = written(classes.join(smallest, "root").select(*same, "copies", "n_links", "component_id"), "classes")
+    linked = salted_join(rows.select("id", *same), classes, same, "copies").select(
+        F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    alone = unusable(vectors, id_col, vec_col).select(
+        F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.union(alone)
 
 
 def _links(distinct: DataFrame, dim: int, n: int, threshold: float, block_rows: int, most_pivots: int) -> DataFrame:
     """(kind, a, b, n) of vectors of one length: kind 0: n rows link to a; kind 1: a spanning link a - b."""
-    spark = distinct.sparkSession
     count = int(min(most_pivots, max(1, n // block_rows)))
     sample = distinct.select("mark", "rep", "vec").orderBy("mark", "rep").limit(count).toArrow()  # the bounded sample
     pivots = matrix(sample.column("vec"))

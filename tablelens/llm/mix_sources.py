@@ -13,8 +13,9 @@ seed, the source and the documents only: reruns agree.
 
 Defined results: sizes are counts of words between ASCII white space, null texts 0; documents without words
 take no mass (they get the whole copies, and the fraction by a draw of their own); the null source comes
-last; rows that agree in id, source and size are one unit and are decided together; an empty table gives
-no rows.
+last; rows that agree in id, source and size are one unit: its share of extra copies, a whole number but for one
+row, is dealt to its rows in the order of their texts' hashes, and only that one row enters the pairs; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import ASCII_SPACE, written
+from tablelens.functions.ranking import row_number
+from tablelens.llm.common import ASCII_SPACE, salted_join, written
 
 SEED = 20
 UNIT = ["id", "source", "size"]
@@ -97,20 +99,24 @@ def _seeded(seed: int, *what) -> np.random.Generator:
 
 
 def mix_copies(units: DataFrame, src: DataFrame, seed: int = SEED, bucket_rows: int = 8192, fan_in: int = 4096) -> DataFrame:
-    """(id, source, size, copies) of distinct units (with ``rows``, how many input rows each stands for)."""
+    """(id, source, size, rows, base, extra) of distinct units (with ``rows``, how many input rows each stands for):
+    every row has ``base`` copies, and ``extra`` of them one more."""
     same = F.col("s.source").eqNullSafe(F.col("u.source"))
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (units.alias("u").join(src.alias("s"), same)
             .select("u.id", "u.source", "u.size", "u.rows", wanted.alias("wanted"), F.col("s.units").alias("n"))
             .withColumn("base", F.floor("wanted").cast("int"))
-            .withColumn("part", F.col("wanted") - F.col("base"))
+            .withColumn("due", (F.col("wanted") - F.col("base")) * F.col("rows"))  # extra copies of the unit
+            .withColumn("sure", F.floor("due").cast("long"))
+            .withColumn("part", F.col("due") - F.col("sure"))
             .withColumn("draw", F.pmod(F.xxhash64("id", "source", "size", F.lit(seed)), F.lit(1 << 40)))
             .withColumn("bucket", F.pmod(F.col("draw"), F.ceil(F.col("n") / bucket_rows).cast("long"))))
-    rows = rows.withColumn("mass", F.col("part") * F.col("size") * F.col("rows")).withColumn("size_all", F.col("size") * F.col("rows"))
+    rows = rows.withColumn("mass", F.col("part") * F.col("size"))
     paired = (F.col("size") > 0) & (F.col("part") > 0)
-    alone = rows.where(~paired).select(*UNIT, "base", (F.col("draw") / float(1 << 40) < F.col("part")).cast("int").alias("extra"))
-    schema = "id long, source string, size long, base int, size_all long, mass double, bucket long, extra int"
-    state = rows.where(paired).select(*UNIT, "base", "size_all", "mass", "bucket")
+    own = [*UNIT, "rows", "base", "sure"]
+    alone = rows.where(~paired).select(*own, (F.col("draw") / float(1 << 40) < F.col("part")).cast("int").alias("extra"))
+    schema = "id long, source string, size long, rows long, base int, sure long, mass double, bucket long, extra int"
+    state = rows.where(paired).select(*own, "mass", "bucket")
 
     def node(level):
         def decide(f: pd.DataFrame) -> pd.DataFrame:
@@ -119,7 +125,7 @@ def mix_copies(units: DataFrame, src: DataFrame, seed: int = SEED, bucket_rows:
             draws = _seeded(seed, level, None if pd.isna(source) else source, bucket)
             order = draws.permutation(len(f))
             f = f.iloc[order].reset_index(drop=True)
-            won, left, mass = pivotal(f["size_all"].to_numpy(), f["mass"].to_numpy(), draws.random(len(f)))
+            won, left, mass = pivotal(f["size"].to_numpy(), f["mass"].to_numpy(), draws.random(len(f)))
             f["extra"] = won.astype("int32")
             if left >= 0:
                 f.loc[left, "extra"] = -1
@@ -130,7 +136,7 @@ def mix_copies(units: DataFrame, src: DataFrame, seed: int = SEED, bucket_rows:
     done, level = [alone], 0
     while True:
         out = written(state.groupBy("source", "bucket").applyInPandas(node(level), schema), f"mix-{level}")
-        done.append(out.where("extra >= 0").select(*UNIT, "base", "extra"))
+        done.append(out.where("extra >= 0").select(*own, "extra"))
         state = out.where("extra < 0").drop("extra")
         widest = state.agg(F.max("bucket")).first()[0]
         if not widest:  # one residual a source at most
@@ -138,35 +144,59 @@ def mix_copies(units: DataFrame, src: DataFrame, seed: int = SEED, bucket_rows:
         state = state.withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("long"))
         level += 1
     draw = F.pmod(F.xxhash64("id", "source", F.lit(seed + 1)), F.lit(1 << 40)) / float(1 << 40)
-    done.append(state.select(*UNIT, "base", (draw * F.col("size_all") < F.col("mass")).cast("int").alias("extra")))
+    done.append(state.select(*own, (draw * F.col("size") < F.col("mass")).cast("int").alias("extra")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(*UNIT, (F.col("base") + F.col("extra")).alias("copies"))
+    return out.select(*UNIT, "rows", "base", (F.col("sure") + F.col("extra")).alias("extra"))
+
+
+def _keyed(df: DataFrame, source, id_, size) -> DataFrame:
+    """``df`` with its unit as key columns without nulls."""
+    return df.withColumns({"__i": F.coalesce(id_, F.lit(0).cast("long")), "__in": id_.isNull(), "__s": F.coalesce(source, F.lit("")),
+                           "__sn": source.isNull(), "__z": size})
+
+
+_KEYS = ["__i", "__in", "__s", "__sn", "__z"]
+
+
+def _dealt(rows: DataFrame, copies: DataFrame, order: str) -> DataFrame:
+    """``rows`` (with the key columns) with ``copies``: the extra copies of a unit go to its first rows in ``order``."""
+    units = _keyed(copies, F.col("source"), F.col("id"), F.col("size")).select(*_KEYS, F.col("rows").alias("__rows"), "base", "extra")
+    both = salted_join(rows, units, _KEYS, "__rows")
+    single = both.where("__rows = 1").withColumn("copies", F.col("base") + F.col("extra"))
+    if units.where("__rows > 1").isEmpty():
+        return single.drop(*_KEYS, "__rows", "base", "extra")
+    numbered = row_number(both.where("__rows > 1"), _KEYS, [order], "__place")
+    many = numbered.withColumn("copies", F.col("base") + (F.col("__place") <= F.col("extra")).cast("int")).drop("__place")
+    return single.unionByName(many).drop(*_KEYS, "__rows", "base", "extra")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken), one row per input row."""
     sizes = written(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
-                                word_count(text_col).alias("size")), "sizes")
+                                word_count(text_col).alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("__text")), "sizes")
+    src, copies = _plan(sizes, weights, share, most, seed)
+    rows = _dealt(_keyed(sizes, F.col("source"), F.col("id"), F.col("size")), copies, "__text").drop("__text")
+    # no more sources than the join's other side has rows; a source of any share of the rows is split
+    src = src.withColumns({"__s": F.coalesce("source", F.lit("")), "__sn": F.col("source").isNull()}).drop("source")
+    rows = rows.withColumns({"__s": F.coalesce("source", F.lit("")), "__sn": F.col("source").isNull()})
+    return (salted_join(rows, src, ["__s", "__sn"], "units")
+            .select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
+
+
+def _plan(sizes: DataFrame, weights, share: float, most: float, seed: int) -> tuple[DataFrame, DataFrame]:
     src = written(targets(sizes, weights, share, most), "targets")
-    units = sizes.groupBy(*UNIT).agg(F.count("*").alias("rows"))
-    copies = mix_copies(units, src, seed)
-    rows = sizes.alias("a").join(copies.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & F.col("a.source").eqNullSafe(F.col("b.source"))
-                                 & (F.col("a.size") == F.col("b.size"))).select("a.*", "b.copies")
-    return (rows.alias("r").join(src.alias("s"), F.col("s.source").eqNullSafe(F.col("r.source")))
-            .select("r.id", "r.source", "r.size", "s.source_size", "s.target", "r.copies",
-                    (F.col("r.copies") * F.col("r.size")).alias("taken")))
+    return src, written(mix_copies(sizes.groupBy(*UNIT).agg(F.count("*").alias("rows")), src, seed), "copies")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
+               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mix itself: the input's rows and columns, each row as often as the mix takes it."""
-    id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    copies = written(mix(docs, **options).groupBy(*UNIT).agg(F.max("copies").alias("copies")).where("copies > 0")
-                     .select(*[F.col(c).alias(f"__{c}") for c in [*UNIT, "copies"]]), "copies")
-    left = docs.withColumn("__words", word_count(text_col))
-    return (left.join(copies, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id"))
-                      & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("id"),
+                       F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("__text"))
+    _, copies = _plan(written(rows.drop("__row", "__text"), "sizes"), weights, share, most, seed)
+    taken = _dealt(_keyed(rows, F.col("source"), F.col("id"), F.col("size")), copies, "__text")
+    return (taken.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+            .select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))

@@ -82,7 +82,8 @@ def op9(spark, sf_dir):
     from tablelens.llm.suffix_dedup import remove_repeats
     out = remove_repeats(table(spark, sf_dir, "documents"), window=400)
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed").cast("long"),
-                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 #: The chain's order: the tables label two kinds, and junk is told first.

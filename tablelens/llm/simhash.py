@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.llm.common import by_bytes, text_bytes, written
+from tablelens.llm.common import by_bytes, salted_join, text_bytes, written
 from tablelens.llm.components import components
 
 _PIECE = 1 << 16
@@ -115,28 +115,31 @@ def links(fps: DataFrame, bits: int = 2, segments: int = 2, full: int = 64) -> D
 
 def classes(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 2, id_col: str = "doc_id",
             text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (id_col, tag, fp) and, for each distinct fp, the root of its component and the component's least
-    (id, tag)."""
+    """Rows (id_col, tag, fp) and, for each distinct fp, the root of its component, the component's least
+    (id, tag) and the number of rows."""
     rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min(F.struct(F.col(f"`{id_col}`").alias("id"), "tag")).alias("least")), "distinct")
+    distinct = written(rows.groupBy("fp").agg(F.min(F.struct(F.col(f"`{id_col}`").alias("id"), "tag")).alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), bits, segments))
-    rooted = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    rooted = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "classes")
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    return rows, rooted.join(least, "root").select("fp", "root", "first")
+    return rows, rooted.join(least, "root").select("fp", "root", "first", "n")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id): component_id is the least id that links reach."""
     rows, rooted = classes(docs, words, bits, segments, id_col, text_col)
-    return rows.join(rooted, "fp").select(id_col, "fp", F.col("first.id").alias("component_id"))
+    return salted_join(rows, written(rooted, "rooted"), ["fp"], "n").select(id_col, "fp", F.col("first.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 2, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the least id (ties: least text hash)."""
+    """The rows of ``docs`` that stay: of each component the row with the least id (ties: least text hash, then the
+    least hash of all columns)."""
     _, rooted = classes(docs, words, bits, segments, id_col, text_col)
     first = written(rooted.groupBy("root").agg(F.first("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.tag").alias("__tag")), "first")
     tagged = docs.withColumn("__text_tag", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))))
     kept = tagged.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_tag") == F.col("__tag")), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_tag"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = kept.groupBy(F.col(f"`{id_col}`"), "__text_tag").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), own).alias("__row"))
+    return one.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -19,13 +19,17 @@ over as many buckets as they need.
 
 Runs are told apart by two independent 64-bit digests, boundary windows by one of 128 bits.
 
+With ``words`` the texts are strings of words: each word is one symbol of eight bytes, and the same search runs
+over symbols.
+
 Defined results: a null text is empty; texts shorter than ``window`` are kept; a row repeated with its id is
 a copy like any other; matches never cross rows; an empty table gives no rows; only ``id_col`` and ``keep``
-pass through.
+pass through, the latter in one struct, so that any name may occur.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.llm.common import by_bytes, text_bytes, written
+from tablelens.llm.common import by_bytes, salted_join, written
 
 _MUL = 0x9E3779B97F4A7C15  # odd, so that powers can be undone
 _SEGMENT = 2 << 20
@@ -245,8 +249,8 @@ def repeated_spans(docs: DataFrame, id_col: str, window: int = 400, kmer: int =
     __text) that has any. ``tag`` is a hash of the text, so that rows with equal ids stay apart."""
     all_runs = _run_rows(docs, id_col, window, kmer)
     shared = written(all_runs.groupBy("fp").agg(F.count("*").alias("n"), (F.min("sh") != F.max("sh")).alias("mixed"))
-                     .where("n > 1").select("fp", "mixed"), "shared")
-    rows = written(all_runs.join(shared, "fp").withColumn("off", F.col("at") - F.col("w1")).drop("at"), "runs")
+                     .where("n > 1"), "shared")
+    rows = written(salted_join(all_runs, shared, ["fp"], "n").withColumn("off", F.col("at") - F.col("w1")).drop("at", "n"), "runs")
     whole = rows.where("NOT mixed").select(id_col, "tag", F.col("w1").alias("a"), (F.col("w2") + window).alias("b"))
     mixed = rows.where("mixed")
     kinds = mixed.groupBy(*_KIND).agg(F.count("*").alias("n"), F.min(F.struct(id_col, "tag", "w1", "w2")).alias("r"))
@@ -259,8 +263,10 @@ def repeated_spans(docs: DataFrame, id_col: str, window: int = 400, kmer: int =
     texts = texts.select("k.fp", "k.sh", "k.off", "k.n", F.substring("__text", F.col("k.w1") + 1, F.col("k.w2") - F.col("k.w1") + window).alias("text"))
     texts = written(texts.groupBy(*_KIND).agg(F.first("n").alias("n"), F.first("text").alias("text")), "kinds")
     found = written(_sorted_runs(texts, window, kmer, bucket_rows), "found")
-    partly = (mixed.join(found, _KIND)
-              .select(id_col, "tag", (F.col("w1") + F.col("first")).alias("a"), (F.col("w1") + F.col("last") + window).alias("b")))
+    wanted = written(mixed.groupBy(*_KIND).agg(F.count("*").alias("n")).join(
+        found.groupBy(*_KIND).agg(F.collect_list(F.struct("first", "last")).alias("parts")), _KIND), "found-kinds")  # no more than a run has windows
+    partly = (salted_join(mixed, wanted, _KIND, "n").withColumn("part", F.explode("parts"))
+              .select("*", "part.first", "part.last").select(id_col, "tag", (F.col("w1") + F.col("first")).alias("a"), (F.col("w1") + F.col("last") + window).alias("b")))
     return whole.union(partly).groupBy(id_col, "tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -287,30 +293,72 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 400, kmer: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                   characters: bool = False, bucket_rows: int = 16384, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, keep ..., n_bytes, spans, kept): maximal removed spans and the remaining bytes, one row per input row.
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SYMBOL = 8  # bytes of a word's digest
+
+
+def word_ends(text: bytes) -> list[tuple[int, int]]:
+    return [m.span() for m in _WORD.finditer(text)]
+
+
+def word_symbols(text: bytes) -> bytes:
+    """The text's words, each as a digest of eight bytes: strings of words become strings of bytes."""
+    digest = xxhash.xxh3_64_digest
+    return b"".join([digest(w) for w in _WORD.findall(text)])
+
+
+def of_words(spans: list[tuple[int, int]], text: bytes) -> list[tuple[int, int]]:
+    """Byte spans of the words whose symbols are whole in the spans, from the first word's start to the last one's
+    end (symbols that differ may agree in a few bytes, by which a span is too long)."""
+    if not spans:
+        return []
+    at = word_ends(text)
+    return [(at[-(-a // _SYMBOL)][0], at[b // _SYMBOL - 1][1]) for a, b in spans]
+
+
+def _symbols(df: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in by_bytes(batches, "__text", 8 << 20):
+            k = batch.schema.get_field_index("__text")
+            yield batch.set_column(k, "__text", pa.array([word_symbols(t) for t in batch.column("__text").to_pylist()], pa.binary()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def remove_repeats(docs: DataFrame, window: int = 400, kmer: int = 0, id_col: str = "doc_id", text_col: str = "text",
+                   characters: bool = False, bucket_rows: int = 16384, keep: tuple[str, ...] = (), words: bool = False) -> DataFrame:
+    """(id_col, n_bytes, spans, kept, others): maximal removed spans and the remaining bytes, one row per input row;
+    ``others`` is a struct of the columns ``keep``, whatever their names.
+    ``window`` counts bytes, or with ``words`` words between ASCII white space, which are compared by digests of 64
+    bits; then a span goes from its first word to its last, with the white space between them.
     With ``characters`` spans are narrowed to whole characters, so that ``kept`` is valid text."""
-    passed = [id_col, *keep]
-    df = text_bytes(docs, *passed, text=text_col).withColumn("tag", F.xxhash64("__text"))
-    spans = written(repeated_spans(df.select(id_col, "tag", "__text"), id_col, window, kmer, bucket_rows), "spans")
-    both = df.alias("d").join(spans.alias("s"), F.col(f"d.`{id_col}`").eqNullSafe(F.col(f"s.`{id_col}`")) & (F.col("d.tag") == F.col("s.tag")), "left")
-    both = both.select(*[F.col(f"d.`{c}`").alias(c) for c in passed], "__text", F.col("s.spans").alias("__spans"))
+    size = window * (_SYMBOL if words else 1)
+    kmer = kmer or max(1, size // 4 // _SYMBOL * _SYMBOL if words else size // 4)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    others = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
+    df = docs.select(F.col(f"`{id_col}`").alias("__id"), others.alias("__others"), text.alias("__text")).withColumn("__tag", F.xxhash64("__text"))
+    searched = df.select("__id", F.col("__tag").alias("tag"), "__text")
+    spans = written(repeated_spans(_symbols(searched) if words else searched, "__id", size, kmer, bucket_rows), "spans")
+    spans = spans.select(F.col("__id").alias("__sid"), F.col("tag").alias("__stag"), F.col("spans").alias("__spans"))
+    both = df.join(spans, F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__tag") == F.col("__stag")), "left").select("__id", "__others", "__text", "__spans")
     span = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
-    schema = T.StructType([*[df.schema[c] for c in passed], T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", df.schema["__id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span),
+                           T.StructField("kept", T.BinaryType()), T.StructField("others", df.schema["__others"].dataType)])
 
     def cut(batches):
         for batch in by_bytes(batches, "__text", 8 << 20):
             texts, out, kept = batch.column("__text").to_pylist(), [], []
             for t, s in zip(texts, batch.column("__spans").to_pylist()):
                 own = merged([(x["a"], x["b"]) for x in s]) if s else []
-                if characters:
+                if words:
+                    own = of_words(own, t)
+                elif characters:
                     own = whole_characters(t, own)
                 out.append([{"a": a, "b": b} for a, b in own])
                 cuts = [0, *(x for ab in own for x in ab), len(t)]
                 kept.append(b"".join([t[a:b] for a, b in zip(cuts[::2], cuts[1::2])]) if own else t)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in passed], pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary())], names=schema.names)
+                [batch.column("__id"), pa.array([len(t) for t in texts], pa.int64()),
+                 pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary()), batch.column("__others")], names=schema.names)
 
-    return both.mapInArrow(cut, schema)
+    return both.mapInArrow(cut, schema).withColumnRenamed("id", id_col)

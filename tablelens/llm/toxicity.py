@@ -178,14 +178,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], max
     return flat.astype(np.uint32), sizes.astype(np.int64), y, folds.astype(int)
 
 
-def score(docs: DataFrame, models: list[Linear], categories: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
-    """(keep ..., p_<category> ...) of every row."""
+def score(docs: DataFrame, models: list[Linear], categories: list[str], keep: list[str], text_col: str = "text",
+          nested: bool = False) -> DataFrame:
+    """(keep ..., p_<category> ...) of every row; with ``nested``, (row, p_<category> ...) with the columns ``keep`` in
+    the struct ``row``, so that any name may occur."""
     features = np.unique(np.concatenate([m.features for m in models])) if models else np.zeros(0, np.uint32)
     weights = np.zeros((len(features), len(models)))
     for k, m in enumerate(models):
         weights[np.searchsorted(features, m.features), k] = m.weights
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((features, weights, [(m.earlier, m.intercept) for m in models]))
+    if nested:
+        docs, text_col = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text")), "text"
+        keep = ["row"]
     df = text_bytes(docs, *keep, text=text_col)
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(f"p_{c}", T.DoubleType()) for c in categories]])
 
@@ -213,7 +218,8 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], keep: li
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 8_000, max_features: int = 1_000,
-             id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Fit the chain on labelled documents and score all: (keep ..., p_<category> ...); ``keep``: id_col."""
+             id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, nested: bool = False) -> DataFrame:
+    """Fit the chain on labelled documents and score all: (keep ..., p_<category> ...); ``keep``: id_col. With
+    ``nested`` the columns ``keep`` come in the struct ``row``."""
     models, _ = fit_chain(*training_rows(docs, labels, categories, max_rows, id_col, text_col), max_features)
-    return score(docs, models, categories, keep or [id_col], text_col)
+    return score(docs, models, categories, keep or [id_col], text_col, nested)

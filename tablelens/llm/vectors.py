@@ -8,13 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec, dim) of the vectors that take part: no null, no component null or not finite, not zero."""
+def _with_mark(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vec, fine): whether a row takes part."""
     v = F.col("vec")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return (vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
-            .where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0.0))
-            .withColumn("dim", F.size(v)))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
+    fine = F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0.0)
+    return rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
+
+
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vec, dim) of the vectors that take part: id not null, vector not null, no component null or not finite,
+    not zero."""
+    return _with_mark(vectors, id_col, vec_col).where("fine").select("id", "vec", F.size("vec").alias("dim"))
+
+
+def unusable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id) of the other rows."""
+    return _with_mark(vectors, id_col, vec_col).where("NOT fine").select("id")
 
 
 def matrix(column) -> np.ndarray:

@@ -84,8 +84,40 @@ def test_embedding_links(spark, block):
     assert embedding_duplicates(df.where("vec_id BETWEEN 400 AND 405")).count() == 6
 
 
+@pytest.mark.parametrize("dim", [2, 3, 64])
+def test_no_link_near_the_threshold_is_lost(dim):
+    """Vectors almost on their neighbours' sign codes, with cosines a hair above the threshold."""
+    from tablelens.llm.embed_dedup import encode, near_pairs, rotation
+    g = np.random.default_rng(dim)
+    n = 1500
+    corner = (np.sign(g.standard_normal((n, dim))) / np.sqrt(dim)) @ rotation(dim).T
+    aside = g.standard_normal((n, dim))
+    aside -= (aside * corner).sum(axis=1, keepdims=True) * corner
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    turn = lambda t: np.cos(t)[:, None] * corner + np.sin(t)[:, None] * aside
+    first = 10.0 ** g.uniform(-9, -1, n) * g.choice([-1, 0, 1], n)
+    left, right = turn(first), turn(first + np.arccos(0.9) * g.choice([-1, 1], n) * (1 - 10.0 ** g.uniform(-12, -4, n)))
+    codes, factor = encode(right)
+    want = {i for i in range(n) if left[i] @ right[i] / np.linalg.norm(left[i]) / np.linalg.norm(right[i]) >= 0.9}
+    i, j = near_pairs(left, right, codes, factor, 0.9)
+    found = {int(a) for a, b in zip(i, j) if a == b}
+    exact = np.einsum("ij,ij->i", left, right) / (np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1))
+    assert len(want) > n / 2 and {k for k in want ^ found if abs(exact[k] - 0.9) > 1e-15} == set()
+
+
+def test_embedding_rows_with_one_id_and_without(spark):
+    from tablelens.llm.embed_dedup import embedding_duplicates
+    e = np.eye(3).tolist()
+    rows = [(1, e[0]), (1, e[1]), (2, e[0]), (3, e[1]), (3, e[1]), (None, e[0]), (None, None), (9, None), (9, e[2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(str, embedding_duplicates(df).collect()))
+    want = [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False),
+            (None, 0, None, True), (None, 0, None, True), (9, 0, 9, True), (9, 0, 9, True)]
+    assert got == sorted(f"Row(vec_id={a}, n_links={b}, component_id={c}, kept={d})" for a, b, c, d in want)
+
+
 def test_code_bounds_hold():
-    from tablelens.llm.embed_dedup import encode, rotation, signs
+    from tablelens.llm.embed_dedup import encode, estimates, rotation, signs
     g = np.random.default_rng(8)
     x, y = g.standard_normal((300, 24)), g.standard_normal((300, 24))
     y[:150] = x[:150] + 0.2 * y[:150]
@@ -95,6 +127,10 @@ def test_code_bounds_hold():
     reach, true = np.sqrt((1 - a * a) * (1 - b * b)), (x * y).sum(axis=1)
     assert (a * b - reach <= true + 1e-6).all() and (true <= a * b + reach + 1e-6).all()
     assert abs((b / a - true).mean()) < 0.03
+    estimate, deviation, upper = estimates(x @ rotation(24), signs(codes, 24), a)
+    all_true = x @ y.T
+    off = np.abs(estimate - all_true) / np.maximum(deviation, 1e-12)
+    assert (upper >= all_true - 1e-9).all() and (off <= 4).mean() > 0.999 and 0.5 < np.sqrt((off ** 2).mean()) < 1.5
 
 
 def plain_verdict(url, rules, default):
@@ -189,9 +225,13 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None, len(t)) for i, t, _, _ in data]
     rows += [(1000 + k, data[7][1], "en", "s1", 1) for k in range(5)]                     # copies
     rows += [(2000 + k, " ".join(r.choice(NEUTRAL) for _ in range(200)) + " " + passage, "en", "s2", 1) for k in range(4)]
+    short = " ".join(r.choice(["a", "of", "it", "so", "we"]) + "qxz"[k % 3] for k in range(51))  # 51 words, under 200 bytes
+    below = " ".join(r.choice(["ba", "pof", "lit"]) + "abcdef"[k % 6] for k in range(50))       # 50 words: stays
+    rows += [(2100 + k, " ".join(r.choice(NEUTRAL) for _ in range(120)) + f" {short} end{k} {below} last{k}", "fr", "s3", 1) for k in range(3)]
     rows += [(3000, None, None, "s0", None), (3001, "", "en", "s0", 0), (None, "no id at all here", "en", "s0", 1)]
     sf = str(tmp_path)
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("tag", "kept", "spans", "n_bytes", "p_toxic", "p_low_quality", "others", "row", "fp", "id", "size", "copies", "base", "extra", "a b")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"<{c}>") for c in clash})
     docs.write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(i, 1 - q, x) for i, _, x, q in data[:300]], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     frames = [spark.read.parquet(f"{sf}/documents.parquet")]
@@ -209,6 +249,8 @@ def test_pipeline(spark, tmp_path):
         assert {x.doc_id for x in single.collect()} & {7, *range(1000, 1005)} == {7}
     texts = {x.doc_id: x.text for x in cut.collect()}
     assert all(passage not in (texts[k] or "") for k in range(2000, 2004)) and cut.count() == single.count()
+    assert len(short) < 200 and all(short not in texts[k] and below in texts[k] and f"end{k - 2100} " in texts[k] for k in range(2100, 2103))
+    assert all(x[c] == f"<{c}>" for x in mixed.collect() for c in clash)
     assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in cut.collect())
     assert mixed.count() > 0 and {x.doc_id for x in mixed.collect()} <= set(texts)
     assert tokens.count() == mixed.count() and {x.doc_id: x.n_tokens for x in tokens.collect()}.keys() == {x.doc_id for x in mixed.collect()}
