@@ -23,10 +23,14 @@ from tablelens.llm.suffix_dedup import remove_repeats
 from tablelens.llm.toxicity import toxicity
 
 
+#: Repeated passages of so many words go: the stage's own window, in words, as passages differ in bytes.
+PASSAGE_WORDS = 51
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain gives a toxic probability below one half."""
-    scored = toxicity(docs, labelled(spark, sf_dir), TOXIC_CHAIN, keep=docs.columns)
-    return scored.where(F.col("p_toxic") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = toxicity(docs, labelled(spark, sf_dir), TOXIC_CHAIN, keep=docs.columns, nested=True)
+    return scored.where(F.col("p_toxic") < 0.5).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +39,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the characters that lie in strings of 400 bytes found twice or more; n_chars follows."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    cut = remove_repeats(docs, window=400, characters=True, keep=others)
-    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
+    """Texts without passages of over 50 words that are found twice or more; n_chars follows."""
+    cut = remove_repeats(docs, window=PASSAGE_WORDS, words=True, keep=tuple(docs.columns))
+    text = F.when(F.col("others.text").isNotNull(), F.col("kept").cast("string"))
     changed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"others.`{c}`").alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
