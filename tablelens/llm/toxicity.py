@@ -188,12 +188,26 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], keep: li
         weights[np.searchsorted(features, m.features), k] = m.weights
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((features, weights, [(m.earlier, m.intercept) for m in models]))
-    if nested:
-        docs, text_col = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text")), "text"
-        keep = ["row"]
-    df = text_bytes(docs, *keep, text=text_col)
+    if nested:  # the text goes to the tasks once, inside the struct
+        df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+        inside, keep = keep.index(text_col), ["row"]
+    else:
+        df = text_bytes(docs, *keep, text=text_col)
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(f"p_{c}", T.DoubleType()) for c in categories]])
 
+    def parts(batches):
+        if not nested:
+            yield from by_bytes(batches, "__text", 8 << 20)
+            return
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                yield batch.slice(k, 256)
+
+    def texts(batch):
+        if not nested:
+            return batch.column("__text").to_pylist()
+        return [b"" if t is None else t.encode() for t in batch.column("row").field(inside).to_pylist()]
+
     def run(batches):
         features, weights, links = sent.value
         place = {h: i for i, h in enumerate(features.tolist())}
@@ -202,9 +216,9 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], keep: li
             return [np.array([place[h] for h in word_features(w) if h in place], np.int32).tobytes() for w in words]
 
         known = Remembered(known_places)
-        for batch in by_bytes(batches, "__text", 8 << 20):
+        for batch in parts(batches):
             out = np.zeros((batch.num_rows, len(links)))
-            for i, t in enumerate(batch.column("__text").to_pylist()):
+            for i, t in enumerate(texts(batch)):
                 ws = set(t.split())
                 known.learn(ws)
                 on = np.unique(np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32))
