@@ -40,8 +40,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of over 50 words that are found twice or more; n_chars follows."""
-    cut = remove_repeats(docs, window=PASSAGE_WORDS, words=True, keep=tuple(docs.columns))
-    text = F.when(F.col("others.text").isNotNull(), F.col("kept").cast("string"))
+    others = [c for c in docs.columns if c != "text"]
+    cut = remove_repeats(docs.withColumn("__no_text", F.col("text").isNull()), window=PASSAGE_WORDS, words=True, keep=(*others, "__no_text"))
+    text = F.when(~F.col("others.__no_text"), F.col("kept").cast("string"))
     changed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"others.`{c}`").alias(c) for c in docs.columns])
 

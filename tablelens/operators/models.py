@@ -4,36 +4,31 @@ Every algorithm is a Spark ML ``Pipeline``: label indexing (alphabetical, like
 a label encoder), categorical indexing, mean imputation fitted on the training
 rows, vector assembly, scaling, estimator. Hyper-parameter search is a seeded
 random sample of the reference's search spaces, scored on hash-assigned folds;
-features are fitted once per fold. Third-party boosters are re-aimed as Spark
-GBTs with those libraries' defaults; k nearest neighbours run on the exact
-distributed join. Parameters are fitted as given: nothing is clipped.
+all trials and folds run at once. Trees, forests and boosters are those of
+``trees``: the boosters differ as their libraries do (first-order gradients on
+depth-wise trees; second-order ones with L1 and L2; the same, leaf-wise). k
+nearest neighbours run on the exact distributed join. Parameters are fitted as
+given: nothing is clipped.
 """
 
 from __future__ import annotations
 
 import random
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    OneVsRest,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import Imputer, IndexToString, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import kind_of, missing_flag
-from tablelens.operators import evaluate
+from tablelens.operators import evaluate, trees
 from tablelens.operators.splits import cv_fold_count, cv_folds, split_random, split_stratified
 from tablelens.session import scratch_path
 
@@ -52,9 +47,9 @@ SPACES = {
     "random_forest": {"n_estimators": (50, 300), "max_depth": (3, 10), "min_samples_split": (5, 20),
                       "min_samples_leaf": (2, 10)},
     "xgboost": {"n_estimators": (50, 300), "max_depth": (3, 8), "learning_rate": (0.01, 0.2),
-                "subsample": (0.6, 0.9), "colsample_bytree": (0.6, 0.9)},
+                "subsample": (0.6, 0.9), "colsample_bytree": (0.6, 0.9), "reg_alpha": (0.1, 10.0), "reg_lambda": (0.1, 10.0)},
     "lightgbm": {"n_estimators": (50, 300), "max_depth": (3, 8), "learning_rate": (0.01, 0.2),
-                 "feature_fraction": (0.6, 0.9), "bagging_fraction": (0.6, 0.9)},
+                 "feature_fraction": (0.6, 0.9), "bagging_fraction": (0.6, 0.9), "reg_alpha": (0.1, 10.0), "reg_lambda": (0.1, 10.0)},
 }
 _INT_PARAMS = {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf"}
 
@@ -78,26 +73,25 @@ def infer_task(df: DataFrame, target: str) -> str:
     return "classification" if n < 20 else "regression"
 
 
-#: What each tree model uses where a parameter is unset. Depth 0: unlimited in the
-#: original libraries; Spark's trees stop at 30.
+#: What each tree model uses where a parameter is unset. Depth 0: unlimited.
 TREE_DEFAULTS = {
     "random_forest": {"n_estimators": 100, "max_depth": 0, "min_samples_leaf": 1},
     "gradient_boosting": {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.1, "min_samples_leaf": 1},
-    "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3, "min_samples_leaf": 1},
-    "lightgbm": {"n_estimators": 100, "max_depth": 5, "learning_rate": 0.1, "min_samples_leaf": 20},
+    "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3, "min_samples_leaf": 1, "reg_lambda": 1.0, "min_child_weight": 1.0},
+    "lightgbm": {"n_estimators": 100, "max_depth": 0, "num_leaves": 31, "learning_rate": 0.1, "min_samples_leaf": 20, "min_child_weight": 1e-3},
     "decision_tree": {"max_depth": 0, "min_samples_leaf": 1},
 }
-DEEPEST = 30  # Spark's own bound on tree depth
 
 
 def tree_params(name: str, hp: dict | None) -> dict:
     """The parameters that are fitted: what was asked for, else the algorithm's defaults; nothing is clipped."""
     p = {**TREE_DEFAULTS[name], **(hp or {})}
-    depth = int(p["max_depth"])
-    if depth > DEEPEST:
-        raise ValueError(f"max_depth {depth} is beyond {DEEPEST}")
-    leaf = max(int(p["min_samples_leaf"]), -(-int(p.get("min_samples_split", 2)) // 2))
-    return {"trees": int(p.get("n_estimators", 1)), "depth": depth or DEEPEST, "lr": float(p.get("learning_rate", 0.1)), "min_leaf": leaf,
+    if int(p["max_depth"] or 0) < 0:
+        p["max_depth"] = 0  # how the boosters' library writes "unlimited"
+    return {"trees": int(p.get("n_estimators", 1)), "depth": int(p["max_depth"] or 0), "lr": float(p.get("learning_rate", 0.1)),
+            "min_leaf": int(p["min_samples_leaf"]), "min_split": int(p.get("min_samples_split", 2)),
+            "leaves": int(p.get("num_leaves", 0)), "l1": float(p.get("reg_alpha", 0.0)), "l2": float(p.get("reg_lambda", 0.0)),
+            "min_hessian": float(p.get("min_child_weight", 0.0)),
             "subsample": float(p.get("subsample", p.get("bagging_fraction", 1.0))),
             "colsample": float(p.get("colsample_bytree", p.get("feature_fraction", 1.0)))}
 
@@ -105,8 +99,22 @@ def tree_params(name: str, hp: dict | None) -> dict:
 BOOSTERS = ("gradient_boosting", "xgboost", "lightgbm")
 
 
+def tree_spec(name: str, task: str, n_classes: int, hp: dict | None, n_features: int = 0) -> trees.Spec:
+    """What ``trees`` fits. A forest's classifier looks at the root of the number of features per node, as in the
+    original library (``n_features`` 0: all); its regressor at all."""
+    p = tree_params(name, hp)
+    classes = max(2, n_classes) if task == "classification" else 0
+    common = {"n_classes": classes, "trees": p["trees"], "depth": p["depth"], "min_split": p["min_split"], "min_leaf": p["min_leaf"], "seed": SEED}
+    if name == "decision_tree":
+        return trees.Spec("forest", **common)
+    if name == "random_forest":
+        return trees.Spec("forest", per_node=max(1, int(n_features ** 0.5)) if classes and n_features else 0, bootstrap=True, **common)
+    return trees.Spec("boost", leaves=p["leaves"], rate=p["lr"], l1=p["l1"], l2=p["l2"], min_hessian=p["min_hessian"], subsample=p["subsample"],
+                      colsample=p["colsample"], second_order=name != "gradient_boosting", **common)
+
+
 def make_estimator(name: str, task: str, n_classes: int = 2, hp: dict | None = None, n_rows: int = 1,
-                   label_std: float = 1.0):
+                   label_std: float = 1.0, n_features: int = 0):
     """The unfitted estimator. ``n_rows`` scales penalties: the reference's losses are sums over rows,
     Spark's are means; and Spark divides a square penalty by the label's (population) deviation."""
     classify = task == "classification"
@@ -114,18 +122,7 @@ def make_estimator(name: str, task: str, n_classes: int = 2, hp: dict | None = N
     hp = hp or {}
     n = max(1, n_rows)
     if name in TREE_DEFAULTS:
-        p = tree_params(name, hp)
-        common = {"featuresCol": fcol, "labelCol": lcol, "maxDepth": p["depth"], "minInstancesPerNode": p["min_leaf"], "seed": SEED}
-        if name == "decision_tree":
-            return (DecisionTreeClassifier if classify else DecisionTreeRegressor)(**common)
-        if name == "random_forest":
-            return (RandomForestClassifier if classify else RandomForestRegressor)(numTrees=p["trees"], **common)
-        strategy = "all" if p["colsample"] >= 1.0 else str(round(p["colsample"], 3))
-        boosted = {"maxIter": p["trees"], "stepSize": p["lr"], "subsamplingRate": p["subsample"], "featureSubsetStrategy": strategy}
-        if not classify:
-            return GBTRegressor(**boosted, **common)
-        gbt = GBTClassifier(**boosted, **common)
-        return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, featuresCol=fcol, labelCol=lcol)
+        return trees.Trees(tree_spec(name, task, n_classes, hp, n_features), fcol, lcol)
     if classify:
         if name == "logistic_regression":  # C: the inverse of the penalty on the summed loss
             return LogisticRegression(featuresCol=fcol, labelCol=lcol, maxIter=100, regParam=1.0 / (float(hp.get("C", 1.0)) * n))
@@ -223,7 +220,7 @@ def train(train_df: DataFrame, target: str, algorithm: str, task: str, hp: dict
     # every stage fit and every optimiser iteration reads the training rows: materialise them once
     prepared = prepare(train_df, target, task, features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stages, _ = feature_stages(train_df, target, task, features)
+        stages, names = feature_stages(train_df, target, task, features)
         y = f"{target}__str" if task == "classification" else "label"
         if algorithm == "knn":
             fitted = Pipeline(stages=stages).fit(prepared)
@@ -234,7 +231,7 @@ def train(train_df: DataFrame, target: str, algorithm: str, task: str, hp: dict
             (n_rows, n_classes), spread = prepared.agg(F.count(F.lit(1)), F.count_distinct(y)).first(), 1.0
         else:
             (n_rows, spread), n_classes = prepared.agg(F.count(F.lit(1)), F.stddev_pop(y)).first(), 0
-        est = make_estimator(algorithm, task, n_classes, hp, n_rows, spread or 1.0)
+        est = make_estimator(algorithm, task, n_classes, hp, n_rows, spread or 1.0, len(names))
         model = Pipeline(stages=stages + [est]).fit(prepared)
     finally:
         prepared.unpersist()
@@ -298,19 +295,27 @@ def sample_trials(algorithm: str, n_trials: int, seed: int = SEED) -> list[dict]
     return out
 
 
-def _fold_score(model, held: DataFrame, task: str) -> float:
-    ev = (MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification"
-          else RegressionEvaluator(metricName="r2"))
-    return float(ev.evaluate(model.transform(held)))
+class Trial(tuple):
+    """(parameters, score), with the folds done and the error of a trial that failed (it scores 0, as in the reference)."""
+
+    def __new__(cls, hp: dict, score: float, folds_done: int = 0, error: str | None = None):
+        t = super().__new__(cls, (hp, score))
+        t.folds_done, t.error = folds_done, error
+        return t
 
 
 def tune(train_df: DataFrame, target: str, algorithm: str, task: str, n_trials: int = 20, folds: int | None = None,
-         features: list[str] | None = None, key_cols: list[str] | None = None):
+         features: list[str] | None = None, key_cols: list[str] | None = None, timeout: float | None = None):
     """Random search (at most 20 trials, as the reference) scored by k-fold CV accuracy / R^2 on
-    hash-assigned folds, by default as many as M3 gives; returns (best hp, [(hp, score)])."""
+    hash-assigned folds, by default as many as M3 gives; returns (best hp, [(hp, score)]), the trials as ``Trial``.
+
+    Features are encoded and binned once. Where the binned rows fit a task, every trial and fold is a task of one
+    job; else trials run as concurrent fits of the distributed growth. ``timeout`` (seconds; the reference stops after
+    300, here off by default): trials that have not begun by then are left out, and those that have are reported."""
     trials = sample_trials(algorithm, min(n_trials, 20))
     if trials == [{}]:
         return {}, []
+    deadline = time.time() + timeout if timeout else None
     data = train_df.where(~missing_flag(train_df, target))
     if folds is None:
         folds = cv_fold_count(data, target if task == "classification" else None, task == "classification").first()["cv_folds"]
@@ -318,28 +323,44 @@ def tune(train_df: DataFrame, target: str, algorithm: str, task: str, n_trials:
     keys = key_cols or list(train_df.columns)
     folded = cv_folds(data, keys, folds, target if task == "classification" else None)
     prepared = prepare(folded, target, task, features, extra=["fold"]).persist(StorageLevel.MEMORY_AND_DISK)
-    scores: list[list[float]] = [[] for _ in trials]
     try:
-        stages, _ = feature_stages(train_df, target, task, features)
-        n_classes = prepared.select(f"{target}__str").distinct().count() if task == "classification" else 0
-        for f in range(folds):  # features are fitted once per fold, for all trials
-            fitted = Pipeline(stages=stages).fit(prepared.where(F.col("fold") != f))
-            kept = fitted.transform(prepared.where(F.col("fold") != f)).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-            held = fitted.transform(prepared.where(F.col("fold") == f)).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-            n_rows = kept.count()
-            for got, hp in zip(scores, trials):
-                try:
-                    got.append(_fold_score(make_estimator(algorithm, task, n_classes, hp, n_rows).fit(kept), held, task))
-                except Exception:  # noqa: BLE001 -- a failed trial scores 0, as in the reference
-                    got.append(0.0)
-            kept.unpersist()
-            held.unpersist()
+        stages, names = feature_stages(train_df, target, task, features)
+        fitted = Pipeline(stages=stages).fit(prepared)
+        n_classes = len(fitted.stages[0].labels) if task == "classification" else 0
+        binned = trees.binned(fitted.transform(prepared).select("features", "label", "fold"), others=("fold",))
     finally:
         prepared.unpersist()
-    results = [(hp, sum(got) / len(got)) for hp, got in zip(trials, scores)]
+    specs = [tree_spec(algorithm, task, n_classes, hp, len(names)) for hp in trials]
+    if binned.fits(trees.TASK_BYTES):
+        found = trees.search_at_hand(binned, specs, folds, deadline)
+    else:
+        found = _search_by_fits(binned, specs, folds, deadline)
+    results = [Trial(hp, sum(got) / len(got), len(got), error) for hp, (got, error) in zip(trials, found) if got]
+    if not results:
+        return {}, []
     return max(results, key=lambda t: t[1])[0], results
 
 
+def _search_by_fits(binned, specs, folds: int, deadline: float | None, at_once: int = 4):
+    """Trials and folds as concurrent fits over the written rows."""
+    def one(task):
+        spec, f = task
+        if deadline is not None and time.time() >= deadline:
+            return None, None
+        try:
+            return trees.fit_and_score(binned, spec, f), None
+        except Exception as e:  # noqa: BLE001 -- a failed trial scores 0, as in the reference, and is reported
+            return 0.0, f"{type(e).__name__}: {str(e)[:200]}"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        got = list(pool.map(one, [(s, f) for s in specs for f in range(folds)]))
+    out = []
+    for k in range(len(specs)):
+        mine = got[k * folds:(k + 1) * folds]
+        out.append(([s for s, _ in mine if s is not None], next((e for _, e in mine if e), None)))
+    return out
+
+
 def leaderboard_df(spark, rows: list[tuple], task: str) -> DataFrame:
     """(algorithm, score, rank, metrics, error) ranked by the primary metric; the first wins ties, and
     algorithms that failed come last with their error. Metrics of the training rows start with train_."""
@@ -351,10 +372,11 @@ def leaderboard_df(spark, rows: list[tuple], task: str) -> DataFrame:
 
 
 def automl(df: DataFrame, target: str, key_cols: list[str], task_type: str = "auto", test_size: float = 0.2,
-           algorithms: list[str] | None = None, tune_trials: int = 20, defaults: dict | None = None) -> AutoMLResult:
+           algorithms: list[str] | None = None, tune_trials: int = 20, defaults: dict | None = None,
+           timeout: float | None = None) -> AutoMLResult:
     """Prepare, drop rare classes, split, tune and train each algorithm, evaluate on training and test
     rows, rank. ``tune_trials=0``: no search. ``defaults``: hyper-parameters by algorithm, over the usual
-    defaults, for algorithms without a search."""
+    defaults, for algorithms without a search. ``timeout``: seconds for the search of one algorithm (see ``tune``)."""
     from tablelens.operators.prep import drop_rare_classes, validate_target
     validate_target(df, target)
     task = infer_task(df, target) if task_type == "auto" else task_type
@@ -384,7 +406,7 @@ def automl(df: DataFrame, target: str, key_cols: list[str], task_type: str = "au
         try:
             hp = dict((defaults or {}).get(alg, {}))
             if tune_trials and alg in SPACES:
-                hp = tune(tr, target, alg, task, tune_trials, None, feats, key_cols)[0]
+                hp = tune(tr, target, alg, task, tune_trials, None, feats, key_cols, *([timeout] if timeout else []))[0]
             m = train(tr, target, alg, task, hp, feats)
             metrics = score(predict(m, te, target, task, feats), task, target)
             metrics |= {f"train_{k}": v for k, v in score(predict(m, tr, target, task, feats), task, target).items()}

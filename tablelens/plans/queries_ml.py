@@ -159,8 +159,8 @@ register("feature_importance")(_feature_importance)
 def _tune(s, d):
     df = _docs(s, d)
     best, trials = M.tune(df, "quality", "random_forest", "classification", 20, None, _CLS_FEATS, ["doc_id"])
-    return s.createDataFrame([(i, str(sorted(hp.items())), float(sc)) for i, (hp, sc) in enumerate(trials)],
-                             "trial int, params string, cv_score double")
+    return s.createDataFrame([(i, str(sorted(t[0].items())), float(t[1]), t.folds_done, t.error) for i, t in enumerate(trials)],
+                             "trial int, params string, cv_score double, folds_done int, error string")
 
 
 register("tune_random_search")(_tune)

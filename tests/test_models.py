@@ -26,8 +26,11 @@ def test_parameters_are_fitted_as_given(spark):
     assert est.getNumTrees() == 211 and est.getMaxDepth() == 9
     kinds = {tuple(sorted(M.tree_params(n, None).items())) for n in M.BOOSTERS}
     assert len(kinds) == 3
-    with pytest.raises(ValueError):
-        M.tree_params("decision_tree", {"max_depth": 31})
+    assert M.tree_spec("decision_tree", "regression", 0, {"max_depth": 31}).depth == 31 and M.tree_spec("random_forest", "regression", 0, None).depth == 0
+    spec = M.tree_spec("xgboost", "classification", 3, {"reg_alpha": 2.5, "reg_lambda": 0.5, "subsample": 0.7})
+    assert (spec.l1, spec.l2, spec.subsample, spec.n_classes, spec.second_order, spec.leaves) == (2.5, 0.5, 0.7, 3, True, 0)
+    assert M.tree_spec("lightgbm", "regression", 0, None).leaves == 31 and not M.tree_spec("gradient_boosting", "regression", 0, None).second_order
+    assert {"reg_alpha", "reg_lambda"} <= set(M.SPACES["xgboost"]) & set(M.SPACES["lightgbm"])
     draws = M.sample_trials("random_forest", 20)
     assert max(d["n_estimators"] for d in draws) > 200 and max(d["max_depth"] for d in draws) > 8
 
@@ -70,9 +73,15 @@ def test_ridge_equals_the_closed_form(spark):
     assert np.allclose(model.stages[-1].coefficients.toArray(), want, atol=1e-6)
 
 
-def test_tuning_reports_what_it_fits(labelled):
+def test_tuning_reports_what_it_fits(labelled, monkeypatch):
     best, trials = M.tune(labelled, "cls", "random_forest", "classification", 2, 2, ["x", "b"], ["k"])
     assert [hp for hp, _ in trials] == M.sample_trials("random_forest", 2) and best in [hp for hp, _ in trials]
+    assert all(t.folds_done == 2 and t.error is None for t in trials)
+    assert M.tune(labelled, "cls", "random_forest", "classification", 2, 2, ["x", "b"], ["k"], 1e-9) == ({}, [])  # nothing began in time
+    monkeypatch.setattr(M.trees, "TASK_BYTES", 1)  # concurrent distributed fits instead of tasks of one job
+    monkeypatch.setitem(M.SPACES, "random_forest", {"n_estimators": (2, 3), "max_depth": (2, 3)})
+    _, far = M.tune(labelled, "cls", "random_forest", "classification", 2, 2, ["x", "b"], ["k"])
+    assert [t.folds_done for t in far] == [2, 2] and all(s > 0.5 and t.error is None for t, (_, s) in zip(far, far))
     assert all(s > 0.5 for _, s in trials) and max(s for _, s in trials) == dict((str(h), s) for h, s in trials)[str(best)]
 
 
