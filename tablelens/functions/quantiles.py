@@ -1,14 +1,5 @@
-"""Exact (and opt-in approximate) quantiles without funnelling a column into one task.
-
-One plan at every size:
-
-1. the column shrinks to its value-frequency table ``(column, value, n)`` with a
-   map-side-combined ``groupBy`` (hot values collapse before the shuffle);
-2. the frequencies get running sums in the order of (column, value) by
-   ``ranking.running_sum`` (range-partitioned slices, so a column of any domain is
-   spread over tasks);
-3. each wanted rank ``r`` picks the one value with ``cum - n <= r < cum``.
-"""
+"""Exact (and opt-in approximate) quantiles by bracketed selection (``selection``): nothing is sorted, and only the
+values around the wanted ranks move."""
 
 from __future__ import annotations
 
@@ -16,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import numeric_long
-from tablelens.functions.ranking import running_sum
+from tablelens.functions.selection import select_ranks
 
 DEFAULT_PROBS = (0.25, 0.5, 0.75)
 
@@ -26,21 +17,15 @@ def frequency(long: DataFrame) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles_from_freq(freq: DataFrame, probs=DEFAULT_PROBS) -> DataFrame:
-    """(column, prob, value) with linear interpolation (pandas / quantile_cont semantics)."""
+def quantiles_long(long: DataFrame, probs=DEFAULT_PROBS) -> DataFrame:
+    """(column, prob, value) of the series of a long (column, value) table, with linear interpolation (pandas /
+    quantile_cont semantics)."""
     probs = [float(p) for p in probs]
-    cum = running_sum(freq.select("column", "value", "n"), ["column"], ["value"], ["n"])
-    sizes = cum.groupBy("column").agg(F.max("cum_n").alias("N"))
-    wanted = (sizes.select("column", "N", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("pi", "prob"))
-              .withColumn("h", (F.col("N") - 1) * F.col("prob")))
-    ranks = wanted.select(F.col("column").alias("of"), "pi", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.floor("h").cast("long").alias("r")),
-        F.struct(F.lit(1).alias("side"), F.ceil("h").cast("long").alias("r")))).alias("t")).select("of", "pi", "t.side", "t.r")
-    picked = cum.join(ranks, (F.col("column") == F.col("of")) & (F.col("r") >= F.col("cum_n") - F.col("n")) & (F.col("r") < F.col("cum_n")))
-    vals = picked.groupBy("column", "pi").agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("v_lo"),
-                                              F.max(F.when(F.col("side") == 1, F.col("value"))).alias("v_hi"))
-    return wanted.join(vals, ["column", "pi"]).select(
-        "column", "prob", (F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
+    place = lambda n, p: (n - 1) * F.lit(p)
+    got = select_ranks(long, probs, lambda n, p: (F.floor(place(n, p)), F.ceil(place(n, p))))
+    prob = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("pi") + 1)
+    h = (F.col("N") - 1) * prob
+    return got.select("column", prob.alias("prob"), (F.col("v_lo") + (h - F.floor(h)) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
 
 
 def quantiles(df: DataFrame, cols: list[str], probs=DEFAULT_PROBS, approx: bool = False, accuracy: int = 10000) -> DataFrame:
@@ -50,7 +35,7 @@ def quantiles(df: DataFrame, cols: list[str], probs=DEFAULT_PROBS, approx: bool
     """
     probs = [float(p) for p in probs]
     if not approx:
-        return quantiles_from_freq(frequency(numeric_long(df, cols)), probs)
+        return quantiles_long(numeric_long(df, cols), probs)
     prob_tab = F.array(*[F.lit(p) for p in probs])
     return (
         numeric_long(df, cols).groupBy("column")

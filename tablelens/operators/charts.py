@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.columns import clean_value, kind_of, missing_flag, numeric_columns, numeric_long
 from tablelens.functions.numfmt import sig
-from tablelens.functions.quantiles import frequency, quantiles_from_freq
+from tablelens.functions.quantiles import frequency, quantiles_long
 from tablelens.operators.profile import distinct_counts, null_counts, top_values, value_frequencies
 
 
@@ -37,7 +37,7 @@ def histogram_markers(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     """C1 overlay lines: (column, mean, median)."""
     cols = cols or numeric_columns(df)
     long = numeric_long(df, cols)
-    med = quantiles_from_freq(frequency(long), (0.5,)).select("column", F.col("value").alias("median"))
+    med = quantiles_long(long, (0.5,)).select("column", F.col("value").alias("median"))
     mean = long.groupBy("column").agg(F.avg("value").alias("mean"))
     return mean.join(med, "column").select("column", sig("mean").alias("mean"), sig("median").alias("median"))
 
@@ -75,7 +75,7 @@ def box_stats(df: DataFrame, col: str, group_by: str | None = None) -> DataFrame
     """Per group quartiles, fences, whiskers (extreme points inside the fences), outlier count."""
     long = _group_long(df, col, group_by)
     freq = frequency(long)
-    q = quantiles_from_freq(freq, (0.25, 0.5, 0.75))
+    q = quantiles_long(long, (0.25, 0.5, 0.75))
     qw = q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
                                    for p, n in [(0.25, "q1"), (0.5, "median"), (0.75, "q3")]])
     qw = qw.withColumn("lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
