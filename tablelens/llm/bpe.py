@@ -19,7 +19,6 @@ import hashlib
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tablelens.llm.chunks import Pieces
+from tablelens.llm.chunks import Pieces, held
 from tablelens.llm.common import by_bytes, text_bytes
 
 _NONE = 1 << 60
@@ -183,10 +182,9 @@ class Bpe:
         return self.decode_bytes(ids).tobytes().decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> Bpe:
     """One encoder per Python worker: what a task has learnt serves the tasks after it."""
-    return Bpe(path)
+    return held(f"bpe {path}", lambda: Bpe(path))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False,

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 _S = r"\x20\x09-\x0D"
 PIECES = re.compile(rf" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]")
@@ -22,6 +23,23 @@ WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What an operator keeps in its Python worker from task to task: only the last operator's, so that tables of
+    stages before don't fill the worker's memory."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release() -> None:
+    """For operators that keep nothing: drop what others kept."""
+    _HELD.clear()
+
+
 class Remembered(dict):
     """piece -> encoding; missing pieces are encoded in one batch; emptied at ``most`` entries."""
 
@@ -31,11 +49,12 @@ class Remembered(dict):
         self.once: list = []
 
     def learn(self, pieces) -> None:
-        missing = [p for p in set(pieces) if p not in self]
+        wanted = set(pieces)
+        missing = [p for p in wanted if p not in self]
         if missing:
             if len(self) + len(missing) > self.most:
                 self.clear()
-                missing = list(set(pieces))
+                missing = list(wanted)
             self.update(zip(missing, self.encode(missing)))
             self.once += [p for p in missing if len(p) > self.longest]
 
@@ -87,7 +106,15 @@ class Pieces:
         parts = self.split.split(text)  # every second one is a special string
         return b"".join([self._join([p] if k % 2 else self.cut(p), p) for k, p in enumerate(parts) if p])
 
-    def _join(self, pieces: list[str], text: str) -> bytes:
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The texts' encodings; what they miss in the table is encoded at once."""
+        cuts = [None if any(x in t for x in self.special) else self.cut(t) for t in texts]
+        self.known.learn(chain.from_iterable(c for c in cuts if c is not None))
+        out = [self(t) if c is None else self._join(c, t, keep=True) for t, c in zip(texts, cuts)]
+        self.known.forget_long()
+        return out
+
+    def _join(self, pieces: list[str], text: str, keep: bool = False) -> bytes:
         known = self.known
         try:
             out = b"".join(map(known.__getitem__, pieces))
@@ -97,7 +124,8 @@ class Pieces:
                 out = b"".join(map(known.__getitem__, pieces))
             except TypeError:
                 out = self.whole(text)
-            known.forget_long()
+            if not keep:
+                known.forget_long()
         except TypeError:
             out = self.whole(text)
         return out

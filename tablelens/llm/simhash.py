@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.llm.chunks import release
 from tablelens.llm.common import by_bytes, salted_join, text_bytes, written
 from tablelens.llm.components import components
 
@@ -59,6 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     df = text_bytes(docs, id_col, text=text_col).withColumn("tag", F.xxhash64("__text"))
 
     def run(batches):
+        release()
         for batch in by_bytes(batches, "__text", 8 << 20):
             fps = np.array([fingerprint(t, words) for t in batch.column("__text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("tag"), pa.array(fps.view(np.int64))], names=[id_col, "tag", "fp"])

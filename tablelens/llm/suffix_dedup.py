@@ -39,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.llm.chunks import release
 from tablelens.llm.common import by_bytes, salted_join, written
 
 _MUL = 0x9E3779B97F4A7C15  # odd, so that powers can be undone
-_SEGMENT = 2 << 20
+_SEGMENT = (1 << 20) - (1 << 13)  # with its window less than a power of two
 
 
 @lru_cache(maxsize=2)
@@ -104,6 +105,7 @@ def _run_rows(docs: DataFrame, id_col: str, window: int, kmer: int) -> DataFrame
                            T.StructField("fp", T.LongType()), T.StructField("sh", T.LongType())])
 
     def run(batches):
+        release()
         digest = xxhash.xxh3_64_intdigest
         for batch in by_bytes(batches, "__text", _SEGMENT):
             owner, w1, w2, at, flat, shift = runs(batch.column("__text").to_pylist(), window, kmer)

@@ -13,21 +13,19 @@ can't arise; bytes that aren't UTF-8 count as U+FFFD does.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.llm.chunks import Remembered
+from tablelens.llm.chunks import Remembered, held
 from tablelens.llm.common import by_bytes, text_bytes
 
 
-@lru_cache(maxsize=2)
 def known_lengths(model_path: str) -> Remembered:
     """One table of counted words per Python worker: what a task has learnt serves the tasks after it."""
-    return Remembered(_lengths(model_path))
+    return held(f"lengths {model_path}", lambda: Remembered(_lengths(model_path)))
 
 
 def _lengths(model_path: str):

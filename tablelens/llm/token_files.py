@@ -25,7 +25,6 @@ import json
 import os
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.llm.chunks import Pieces
+from tablelens.llm.chunks import Pieces, held
 from tablelens.llm.common import by_bytes, text_bytes
 from tablelens.llm.crc32c import crc32c, masked
 
@@ -41,22 +40,89 @@ HEAD = struct.Struct("<QI")
 KEY = struct.Struct("<Bq")
 
 
-@lru_cache(maxsize=2)
+_ENDING = ",.;:!?"
+_SPACE = " \t\n\x0b\x0c\r"
+
+
+class Joined:
+    """Pieces to ids (little-endian u32) by few library calls: pieces that the pre-tokenizer keeps apart are joined to
+    one text, its ids cut by the tokens' numbers of bytes. A piece with punctuation at its end is encoded without it
+    (a letter and punctuation never share a token), and the word's ids are looked up where they are known."""
+
+    def __init__(self, tok, token_bytes: np.ndarray):
+        self.tok, self.token_bytes, self.known = tok, token_bytes, {}
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        # a word without its space starts a line; the line break before it is a token of its own
+        ids = np.array(self.tok.encode_batch_fast(["".join([t if t[0] == " " else "\n" + t for t in texts])], add_special_tokens=False)[0].ids, dtype="<u4")
+        breaks = np.array([t[0] != " " for t in texts])
+        sizes = np.array([len(t.encode()) for t in texts]) + breaks
+        done = np.cumsum(self.token_bytes[ids])
+        ends = np.cumsum(sizes)
+        last = np.searchsorted(done, ends)
+        if len(done) == 0 or last[-1] >= len(done) or (done[last] != ends).any():
+            return self.alone(texts)
+        first = np.concatenate([[0], last[:-1] + 1]) + breaks
+        raw = ids.tobytes()
+        return [raw[4 * i:4 * j + 4] for i, j in zip(first.tolist(), last.tolist())]
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        words, alone, ended = [], [], []
+        for p in pieces:
+            last = p[-1]
+            if last in _ENDING:
+                w = p.rstrip(_ENDING)
+                # letters beyond this block may be unknown to one of the two tables of Unicode
+                if w and w[-1] < "\u0530" and w[-1].isalpha():
+                    ended.append((p, w))
+                else:
+                    words.append(p)
+            elif last in _SPACE:
+                alone.append(p)
+            else:
+                words.append(p)
+        words += {w for _, w in ended if w not in self.known}.difference(words)
+        ends = list({p[len(w):] for p, w in ended})
+        got = dict(zip(words, self.together(words)))
+        if alone:
+            got.update(zip(alone, self.alone(alone)))
+        if ends:
+            tail = dict(zip(ends, self.alone(ends)))
+            for p, w in ended:
+                got[p] = (got.get(w) or self.known[w]) + tail[p[len(w):]]
+        return [got[p] for p in pieces]
+
+
 def library_pieces(path: str) -> Pieces:
     """Texts to ids (little-endian u32) by the tokenizers library, repeated pieces remembered; one per
     Python worker, so that what a task has learnt serves the tasks after it."""
+    return held(f"library {path}", lambda: _library_pieces(path))
+
+
+def _library_pieces(path: str) -> Pieces:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
     with open(path, encoding="utf-8") as f:
-        added = json.load(f).get("added_tokens", [])
-
-    def encode(texts):
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    return Pieces(encode, lambda text: encode([text])[0], added)
+        spec = json.load(f)
+    added = spec.get("added_tokens", [])
+    byte_level = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec.get("normalizer") and not spec["pre_tokenizer"].get("add_prefix_space")
+    vocab = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in added}}
+    # byte-level vocabularies write one character for each byte, so a token has as many bytes as characters
+    token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+    for t, i in vocab.items():
+        token_bytes[i] = len(t)
+    encode = Joined(tok, token_bytes)
+    pieces = Pieces(encode if byte_level else encode.alone, lambda text: encode.alone([text])[0], added)
+    encode.known = pieces.known
+    return pieces
 
 
 def frames(keys: list, ids: list[np.ndarray], wide: bool) -> list[bytes]:
@@ -105,9 +171,9 @@ def write_records(docs: DataFrame, path: str, model_path: str, end_id: int, id_c
     def run(batches):
         pieces = library_pieces(model_path)
         end = struct.pack("<I", end_id)
-        for batch in by_bytes(batches, "__text", 4 << 20):
-            ids = [np.frombuffer(pieces(t.decode("utf-8", "replace")) + end, dtype="<u4")
-                   for t in batch.column("__text").to_pylist()]
+        for batch in by_bytes(batches, "__text", 1 << 20):
+            texts = [t.decode("utf-8", "replace") for t in batch.column("__text").to_pylist()]
+            ids = [np.frombuffer(e + end, dtype="<u4") for e in pieces.many(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(frames(batch.column(id_col).to_pylist(), ids, wide), pa.binary())],
                                              names=["frame"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.llm.chunks import Remembered
+from tablelens.llm.chunks import Remembered, release
 from tablelens.llm.common import by_bytes, text_bytes
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&/\\-_=+|~`«»„“”‚‘’…¿¡"
@@ -160,6 +160,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], max
     schema = ", ".join(["mark long", *[f"y{k} int" for k in range(len(categories))], "features array<long>"])
 
     def run(batches):
+        release()
         known_words = Remembered(lambda ws: [word_features(w) for w in ws])
         for batch in by_bytes(batches, "__text", 8 << 20):
             out = []
@@ -178,37 +179,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], max
     return flat.astype(np.uint32), sizes.astype(np.int64), y, folds.astype(int)
 
 
-def score(docs: DataFrame, models: list[Linear], categories: list[str], keep: list[str], text_col: str = "text",
-          nested: bool = False) -> DataFrame:
-    """(keep ..., p_<category> ...) of every row; with ``nested``, (row, p_<category> ...) with the columns ``keep`` in
-    the struct ``row``, so that any name may occur."""
+def score(docs: DataFrame, models: list[Linear], categories: list[str], keep: list[str], text_col: str = "text") -> DataFrame:
+    """(keep ..., p_<category> ...) of every row. The text goes to the tasks once, also where it is kept."""
     features = np.unique(np.concatenate([m.features for m in models])) if models else np.zeros(0, np.uint32)
     weights = np.zeros((len(features), len(models)))
     for k, m in enumerate(models):
         weights[np.searchsorted(features, m.features), k] = m.weights
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((features, weights, [(m.earlier, m.intercept) for m in models]))
-    if nested:  # the text goes to the tasks once, inside the struct
-        df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
-        inside, keep = keep.index(text_col), ["row"]
-    else:
-        df = text_bytes(docs, *keep, text=text_col)
+    kept = text_col in keep
+    df = docs.select(*[F.col(f"`{c}`") for c in keep]) if kept else text_bytes(docs, *keep, text=text_col)
+    source = text_col if kept else "__text"
     schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(f"p_{c}", T.DoubleType()) for c in categories]])
 
-    def parts(batches):
-        if not nested:
-            yield from by_bytes(batches, "__text", 8 << 20)
-            return
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                yield batch.slice(k, 256)
-
-    def texts(batch):
-        if not nested:
-            return batch.column("__text").to_pylist()
-        return [b"" if t is None else t.encode() for t in batch.column("row").field(inside).to_pylist()]
-
     def run(batches):
+        release()
         features, weights, links = sent.value
         place = {h: i for i, h in enumerate(features.tolist())}
 
@@ -216,9 +201,10 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], keep: li
             return [np.array([place[h] for h in word_features(w) if h in place], np.int32).tobytes() for w in words]
 
         known = Remembered(known_places)
-        for batch in parts(batches):
+        for batch in by_bytes(batches, source, 8 << 20):
             out = np.zeros((batch.num_rows, len(links)))
-            for i, t in enumerate(texts(batch)):
+            for i, t in enumerate(batch.column(source).cast(pa.binary()).to_pylist()):
+                t = t or b""
                 ws = set(t.split())
                 known.learn(ws)
                 on = np.unique(np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32))
@@ -232,8 +218,7 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], keep: li
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 8_000, max_features: int = 1_000,
-             id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, nested: bool = False) -> DataFrame:
-    """Fit the chain on labelled documents and score all: (keep ..., p_<category> ...); ``keep``: id_col. With
-    ``nested`` the columns ``keep`` come in the struct ``row``."""
+             id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Fit the chain on labelled documents and score all: (keep ..., p_<category> ...); ``keep``: id_col."""
     models, _ = fit_chain(*training_rows(docs, labels, categories, max_rows, id_col, text_col), max_features)
-    return score(docs, models, categories, keep or [id_col], text_col, nested)
+    return score(docs, models, categories, keep or [id_col], text_col)
