@@ -29,8 +29,12 @@ PASSAGE_WORDS = 51
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain gives a toxic probability below one half."""
-    scored = toxicity(docs, labelled(spark, sf_dir), TOXIC_CHAIN, keep=docs.columns, nested=True)
-    return scored.where(F.col("p_toxic") < 0.5).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    # numbered names, so that no column is called like a probability
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    numbered = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    scored = toxicity(numbered, labelled(spark, sf_dir).withColumnRenamed("doc_id", names["doc_id"]), TOXIC_CHAIN, id_col=names["doc_id"],
+                      text_col=names["text"], keep=list(names.values()))
+    return scored.where(F.col("p_toxic") < 0.5).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
