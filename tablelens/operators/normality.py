@@ -18,13 +18,17 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import clean_value, numeric_columns
 from tablelens.functions.distributions import norm_cdf, norm_sf
 from tablelens.functions.ranking import running_sum
 from tablelens.operators.stats import numeric_summary
+from tablelens.operators.tree_growth import key_of, mix
+from tablelens.session import scratch_path
 
 SAMPLE_CAP = 5000
 SEED = 42
@@ -100,18 +104,49 @@ def shapiro_wilk_np(x: np.ndarray) -> tuple[float, float]:
     return w, 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-def normality_sample(df: DataFrame, cols: list[str], cap: int = SAMPLE_CAP, seed: int = SEED,
-                     oversample: float = 3.0) -> DataFrame:
-    """(column, value): up to ``cap`` non-missing values per column, the rows with the smallest content hash."""
-    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
-    wide = df.select(h.alias("_h"), *[clean_value(df, c).cast("double").alias(c) for c in cols])
-    long = wide.unpivot(["_h"], cols, "column", "value").where(F.col("value").isNotNull())
-    long = long.withColumn("_u", (F.pmod(F.xxhash64(F.col("_h"), F.col("column")), F.lit(1 << 30)) / float(1 << 30)))
-    counts = numeric_summary(df, cols, ["count"]).select("column", F.col("count").cast("long").alias("_n"))
-    keep = counts.select("column", F.least(F.lit(1.0), F.lit(oversample * cap) / F.greatest(F.col("_n"), F.lit(1))).alias("_p"))
-    cand = long.join(F.broadcast(keep), "column").where(F.col("_u") < F.col("_p"))
-    w = Window.partitionBy("column").orderBy("_u", "_h", "value")
-    return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).select("column", "value")
+def normality_sample(df: DataFrame, cols: list[str], cap: int = SAMPLE_CAP, seed: int = SEED, fan: int = 32) -> DataFrame:
+    """(column, value): up to ``cap`` non-missing values per column, a bottom-k sample.
+
+    Every row has a draw of its own (a hash of its partition and place), so equal rows are sampled in proportion. A
+    task keeps the ``cap`` least draws per column; these meet in a tree, ``fan`` tasks at a time."""
+    kinds = "column string, part long, draw long, value double"
+
+    def least(draws, values):
+        if len(draws) > cap:
+            at = np.argpartition(draws, cap - 1)[:cap]
+            draws, values = draws[at], values[at]
+        return draws, values
+
+    def sample(batches):
+        part, row = TaskContext.get().partitionId(), 0
+        held = [(np.zeros(0, np.int64), np.zeros(0))] * len(cols)
+        for batch in batches:
+            place = np.arange(row, row + batch.num_rows, dtype=np.uint64)
+            row += batch.num_rows
+            draws = (mix(mix(place) ^ key_of(seed, part)) >> np.uint64(1)).astype(np.int64)
+            for k in range(len(cols)):
+                v = batch.column(k).to_numpy(zero_copy_only=False).astype(float)
+                on = ~np.isnan(v)
+                held[k] = least(np.concatenate([held[k][0], draws[on]]), np.concatenate([held[k][1], v[on]]))
+        for k, (d, v) in enumerate(held):
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array([cols[k]] * len(d)), pa.array(np.full(len(d), part)), pa.array(d), pa.array(v)], names=["column", "part", "draw", "value"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        d, v = least(t.column("draw").to_numpy(), t.column("value").to_numpy())
+        return pa.table({"column": pa.array([t.column("column")[0].as_py()] * len(d), pa.string()),
+                         "part": pa.array(np.full(len(d), t.column("part")[0].as_py() // fan)), "draw": pa.array(d), "value": pa.array(v)})
+
+    out = df.select(*[clean_value(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(sample, kinds)
+    parts = df.rdd.getNumPartitions()
+    while True:
+        path = scratch_path(df.sparkSession, "sample")
+        out.write.parquet(path)
+        out = df.sparkSession.read.parquet(path)
+        if parts <= 1:
+            return out.select("column", "value")
+        out = out.groupBy("column", F.expr(f"part div {fan}")).applyInArrow(meet, kinds)
+        parts = -(-parts // fan)
 
 
 def shapiro_wilk(df: DataFrame, cols: list[str] | None = None, cap: int = SAMPLE_CAP) -> DataFrame:

@@ -21,7 +21,6 @@ from tablelens.functions.quantiles import quantiles_wide
 from tablelens.functions.ranking import row_number
 from tablelens.operators.profile import distinct_counts, null_counts, value_frequencies
 
-LABEL_BROADCAST_MAX = 1_000_000
 ONE_HOT_MAX = 10
 
 
@@ -144,9 +143,7 @@ def label_codes(df: DataFrame, col: str) -> DataFrame:
 
 
 def encode_label(df: DataFrame, col: str, null_as_nan: bool = True) -> DataFrame:
-    codes = label_codes(df, col)
-    n = codes.count()
-    codes = F.broadcast(codes) if n <= LABEL_BROADCAST_MAX else codes
+    codes = label_codes(df, col)  # the planner sends it to all tasks only if it is small
     key = F.coalesce(_ident(col).cast("string"), F.lit("nan")) if null_as_nan else _ident(col).cast("string")
     joined = df.withColumn("_lv", key).join(codes.withColumnRenamed("value", "_lv"), "_lv", "left")
     return joined.select(*[F.col("code").alias(c) if c == col else _ident(c) for c in df.columns])
@@ -205,15 +202,18 @@ def preprocess(df: DataFrame, target: str | None = None, strategy: str = "auto")
     """P2 -> P3..P6 -> P9/P10 -> P8; returns (clean table, step report)."""
     if df.isEmpty():
         raise ValueError("Cannot preprocess empty dataset")
-    # every step fits statistics with its own pass over the input: read it once
+    # every step fits statistics with its own pass over the input: read it once, and only while fitting
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     rep = PrepReport()
-    out = drop_constant(df, rep)
-    out = handle_missing(out, rep)
-    out = encode_categoricals(out, target, rep)
-    if strategy == "auto" or "outlier" in strategy:
-        out = winsorize_iqr(out)
-        rep.add(4, "outlier_treatment", None, "iqr_winsorize")
+    try:
+        out = drop_constant(df, rep)
+        out = handle_missing(out, rep)
+        out = encode_categoricals(out, target, rep)
+        if strategy == "auto" or "outlier" in strategy:
+            out = winsorize_iqr(out)
+            rep.add(4, "outlier_treatment", None, "iqr_winsorize")
+    finally:
+        df.unpersist()
     return out, rep.to_df(df.sparkSession)
 
 
@@ -221,9 +221,7 @@ def preprocess(df: DataFrame, target: str | None = None, strategy: str = "auto")
 def drop_rare_classes(df: DataFrame, target: str, min_count: int = 2) -> DataFrame:
     """Keep rows whose target class has at least ``min_count`` rows (left-semi on the kept classes)."""
     keep = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count).select(target)
-    # broadcast the kept classes only when their number is known to be small
-    small = keep.limit(LABEL_BROADCAST_MAX + 1).count() <= LABEL_BROADCAST_MAX
-    return df.join(F.broadcast(keep) if small else keep, [target], "left_semi")
+    return df.join(keep, [target], "left_semi")  # the planner broadcasts the kept classes if they are few
 
 
 def drop_high_missing(df: DataFrame, threshold: float = 0.5, report: PrepReport | None = None) -> DataFrame:

@@ -1,90 +1,108 @@
 """Relationships: pairwise-complete Pearson matrix (A17-A20, C4) and one-way ANOVA.
 
-The whole matrix is one wide aggregate over the table (three moments per pair);
-ANOVA is one ``groupBy(target)`` with per-group count/mean/variance for every
-numeric column at once. Nothing larger than (#columns)^2 or #classes x #columns
-rows leaves the executors.
+The matrix comes from one scan, whatever the number of columns: every task multiplies its Arrow batches into blocks
+of sums (products, and counts, sums and squares over the rows where both columns are present), blocks meet in a tree,
+and each finished block gives its correlations. ANOVA is one ``groupBy(target)`` with per-group count/mean/variance
+for every numeric column at once. Nothing larger than a block of columns squared or #classes x #columns rows leaves a
+task at once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import clean_value, is_floating, numeric_columns
 from tablelens.functions.distributions import f_pvalue
 from tablelens.functions.numfmt import sig
-from tablelens.functions.wide import _lit, _name
+from tablelens.functions.wide import _name
+from tablelens.session import scratch_path
 
 
-SUMS_PER_SCAN = 2_000
-CELLS_PER_ARRAY = 20_000
+BLOCK = 128          # columns of a block
+COLUMNS_PER_AGG = 250
+FAN = 16             # blocks that meet in one task
+_CONSTANT = 1e-12    # share of the squares below which a column is constant on the rows of a pair
 
 
 def correlation_long(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(col1, col2, i, j, r) for every ordered pair incl. the diagonal.
 
-    Pairwise-complete: each pair uses the rows where both values are present.
-    Two passes: a cheap one for per-column centre, range and completeness,
-    then one aggregate of plain sums of centred values (sum of products per
-    pair; the per-pair counts and sums only for pairs touching a column with
-    missing values). Centring keeps the sum formula accurate; a column that is
-    constant on the rows used gives NULL, never a divide-by-zero error.
+    Pairwise-complete: each pair uses the rows where both values are present. A cheap pass gives every column's centre,
+    which keeps the sum formula accurate; one more multiplies the centred values. A column that is constant on the rows
+    used gives NULL, never a divide-by-zero error.
     """
     cols = cols or numeric_columns(df)
+    schema = "col1 string, col2 string, i int, j int, r double"
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], "col1 string, col2 string, i int, j int, r double")
-    v = {c: _val_sql(df, c) for c in cols}
-    first = df.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.expr(f"avg({v[c]})").alias(f"m{i}") for i, c in enumerate(cols)],
-                   *[F.expr(f"count({v[c]})").alias(f"k{i}") for i, c in enumerate(cols)],
-                   *[F.expr(f"min({v[c]}) = max({v[c]})").alias(f"z{i}") for i, c in enumerate(cols)]).first()
-    n = first["n"]
-    centre = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
-    complete = [first[f"k{i}"] == n for i in range(len(cols))]
-    const = [bool(first[f"z{i}"]) or first[f"k{i}"] < 2 for i in range(len(cols))]
-    u = [f"({v[c]} - CAST({centre[i]!r} AS DOUBLE))" for i, c in enumerate(cols)]
-    exprs = []
-    for i in range(len(cols)):
-        exprs += [f"count({u[i]}) AS n{i}", f"sum({u[i]}) AS s{i}", f"sum({u[i]} * {u[i]}) AS q{i}"]
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            if complete[i] and complete[j]:
-                exprs.append(f"sum({u[i]} * {u[j]}) AS p{i}_{j}")
-            else:
-                both = f"{u[i]} IS NOT NULL AND {u[j]} IS NOT NULL"
-                a, b = f"CASE WHEN {both} THEN {u[i]} END", f"CASE WHEN {both} THEN {u[j]} END"
-                exprs += [f"count({a}) AS n{i}_{j}", f"sum({a}) AS a{i}_{j}", f"sum({b}) AS b{i}_{j}",
-                          f"sum({a} * {a}) AS aa{i}_{j}", f"sum({b} * {b}) AS bb{i}_{j}", f"sum({a} * {b}) AS p{i}_{j}",
-                          f"min({a}) = max({a}) AS za{i}_{j}", f"min({b}) = max({b}) AS zb{i}_{j}"]
-    # one scan for each block of sums, so that generated code stays small; each result is one row
-    row = None
-    for k in range(0, len(exprs), SUMS_PER_SCAN):
-        part = df.agg(*[F.expr(e) for e in exprs[k:k + SUMS_PER_SCAN]])
-        row = part if row is None else row.crossJoin(part)
-
-    def r_sql(nn, sa, sb, saa, sbb, sab):
-        num = f"({nn} * {sab} - {sa} * {sb})"
-        den = f"(({nn} * {saa} - {sa} * {sa}) * ({nn} * {sbb} - {sb} * {sb}))"
-        return f"CASE WHEN {nn} >= 2 AND {den} > 0 THEN {num} / sqrt({den}) END"
-
-    structs = []
-    for i in range(len(cols)):
-        diag = "CAST(NULL AS DOUBLE)" if const[i] else "1.0D"
-        structs.append(f"named_struct('col1', {_lit(cols[i])}, 'col2', {_lit(cols[i])}, 'i', {i}, 'j', {i}, 'r', {diag})")
-        for j in range(i + 1, len(cols)):
-            if complete[i] and complete[j]:
-                r = "CAST(NULL AS DOUBLE)" if (const[i] or const[j]) else r_sql(
-                    f"CAST(n{i} AS DOUBLE)", f"s{i}", f"s{j}", f"q{i}", f"q{j}", f"p{i}_{j}")
-            else:
-                r = (f"CASE WHEN NOT za{i}_{j} AND NOT zb{i}_{j} THEN "
-                     f"{r_sql(f'CAST(n{i}_{j} AS DOUBLE)', f'a{i}_{j}', f'b{i}_{j}', f'aa{i}_{j}', f'bb{i}_{j}', f'p{i}_{j}')} END")
-            for (x, y) in ((i, j), (j, i)):
-                structs.append(f"named_struct('col1', {_lit(cols[x])}, 'col2', {_lit(cols[y])}, 'i', {x}, 'j', {y}, 'r', {r})")
-    out = row.selectExpr(f"inline(array({', '.join(structs[:CELLS_PER_ARRAY])}))")
-    for k in range(CELLS_PER_ARRAY, len(structs), CELLS_PER_ARRAY):
-        out = out.union(row.selectExpr(f"inline(array({', '.join(structs[k:k + CELLS_PER_ARRAY])}))"))
-    return out
+        return spark.createDataFrame([], schema)
+    v = [_val_sql(df, c) for c in cols]
+    centre, const, rows = [], [], 0
+    for k in range(0, len(cols), COLUMNS_PER_AGG):
+        part = range(k, min(k + COLUMNS_PER_AGG, len(cols)))
+        first = df.agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"{e}").alias(f"{a}{i}") for i in part for a, e in (
+            ("m", f"avg({v[i]})"), ("k", f"count({v[i]})"), ("z", f"min({v[i]}) = max({v[i]})"))]).first()
+        rows = first["n"]
+        centre += [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in part]
+        const += [bool(first[f"z{i}"]) or first[f"k{i}"] < 2 for i in part]
+    if not rows:
+        return spark.createDataFrame([(a, b, i, j, None) for i, a in enumerate(cols) for j, b in enumerate(cols)], schema)
+    mean, constant, blocks = np.array(centre), np.array(const), -(-len(cols) // BLOCK)
+    span = [slice(k * BLOCK, min((k + 1) * BLOCK, len(cols))) for k in range(blocks)]
+
+    def multiply(batches):
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 8192).columns]).astype(float) - mean
+                there = ~np.isnan(x)
+                u, m = np.where(there, x, 0.0), there.astype(float)
+                own = np.stack([m.T @ m, u.T @ m, m.T @ u, (u * u).T @ m, m.T @ (u * u), u.T @ u])
+                total = own if total is None else total + own
+        if total is not None:
+            part = TaskContext.get().partitionId()
+            for a in range(blocks):
+                for b in range(a, blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([a], pa.int32()), pa.array([b], pa.int32()),
+                                                      pa.array([np.ascontiguousarray(total[:, span[a], span[b]]).tobytes()], pa.binary())], names=["part", "a", "b", "sums"])
+
+    def block(t: pa.Table):
+        a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        shape = (6, span[a].stop - span[a].start, span[b].stop - span[b].start)
+        return a, b, sum(np.frombuffer(s, float).reshape(shape) for s in t.sort_by("part").column("sums").to_pylist())
+
+    def meet(t: pa.Table) -> pa.Table:
+        a, b, s = block(t)
+        return pa.table({"part": pa.array([t.column("part")[0].as_py() // FAN], pa.int64()), "a": pa.array([a], pa.int32()), "b": pa.array([b], pa.int32()),
+                         "sums": pa.array([s.tobytes()], pa.binary())})
+
+    def finish(t: pa.Table) -> pa.Table:
+        a, b, (n, si, sj, qi, qj, p) = block(t)
+        vi, vj = n * qi - si * si, n * qj - sj * sj
+        ok = (n >= 2) & (vi > _CONSTANT * n * qi) & (vj > _CONSTANT * n * qj) & ~constant[span[a]][:, None] & ~constant[span[b]][None, :]
+        r = np.divide(n * p - si * sj, np.sqrt(np.where(ok, vi * vj, 1.0)))
+        i, j = (g.ravel() for g in np.meshgrid(np.arange(span[a].start, span[a].stop), np.arange(span[b].start, span[b].stop), indexing="ij"))
+        r = [None if constant[x] else 1.0 if x == y else float(v) if o else None for x, y, v, o in zip(i.tolist(), j.tolist(), r.ravel().tolist(), ok.ravel().tolist())]
+        if a != b:
+            i, j, r = np.concatenate([i, j]), np.concatenate([j, i]), r + r
+        return pa.table({"col1": pa.array([cols[x] for x in i], pa.string()), "col2": pa.array([cols[y] for y in j], pa.string()),
+                         "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "r": pa.array(r, pa.float64())})
+
+    kinds, n_blocks = "part long, a int, b int, sums binary", blocks * (blocks + 1) // 2
+    held = _written(df.select(*[F.expr(e).alias(f"c{i}") for i, e in enumerate(v)]).mapInArrow(multiply, kinds))
+    while held.count() > n_blocks:
+        held = _written(held.groupBy("a", "b", F.expr(f"part div {FAN}")).applyInArrow(meet, kinds))
+    return held.groupBy("a", "b").applyInArrow(finish, schema)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "gram")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _val_sql(df: DataFrame, c: str) -> str:
