@@ -101,7 +101,21 @@ def op10(spark, sf_dir):
     return out.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
-@register("op5_embedding_dedup")
+@register("op5_embedding_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+n AS (SELECT row_number() OVER () AS k, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM n a JOIN n b ON a.k <> b.k AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+r(k, root) AS (SELECT k, k FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.k),
+c AS (SELECT r.k, min(o.vec_id) AS component_id FROM r JOIN n AS o ON o.k = r.root GROUP BY r.k),
+f AS (SELECT n.vec_id, (SELECT count(*) FROM l WHERE l.a = n.k) AS n_links, c.component_id FROM n JOIN c ON c.k = n.k)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM f
+UNION ALL SELECT vec_id, 0, vec_id, true FROM embeddings
+WHERE NOT coalesce(vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+                   AND list_bool_or(list_transform(embedding, lambda x: x <> 0)), false)
+""")
 def op5(spark, sf_dir):
     from tablelens.llm.embed_dedup import embedding_duplicates
     return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)

@@ -202,6 +202,61 @@ def test_toxicity_held_out(spark):
     assert toxicity(docs.limit(0), labels, ["toxic"]).count() == 0
 
 
+def newton(x, y, free, ridge=0.05):
+    """Ridge logistic regression by Newton steps; the last ``free`` columns carry no penalty."""
+    w = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[len(w) - free:] = 0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-12), x.T @ (p - y) + penalty * w)
+        w -= step
+        if abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def test_chain_equals_a_plain_chain():
+    """Dense Newton fits, chi-square choice and folds by hand, category after category."""
+    from tablelens.llm.toxicity import FOLDS, fit_chain, predict, numbered
+    g = np.random.default_rng(6)
+    n, m = 500, 40
+    on = g.random((n, m)) < g.uniform(0.05, 0.4, m)
+    first = (on[:, 0] | on[:, 1]) ^ (g.random(n) < 0.1)
+    second = (first & on[:, 2]) ^ (g.random(n) < 0.1)
+    y = np.stack([first, second], axis=1).astype(float)
+    sizes, hashes = on.sum(axis=1), np.nonzero(on)[1].astype(np.uint32) * 7 + 3
+    folds = g.integers(0, FOLDS, n)
+    models, out = fit_chain(hashes, sizes, y.astype(int), folds, 1000)
+
+    def chosen(rows, t):
+        x = on[rows].astype(float)
+        a, pos, k = x.sum(axis=0), t.sum(), len(t)
+        both = x[t == 1].sum(axis=0)
+        chi2 = k * (both * k - a * pos) ** 2 / np.maximum(a * (k - a) * pos * (k - pos), 1)
+        return np.flatnonzero(chi2 >= 10.83)
+
+    def fit(rows, t, earlier):
+        cols = chosen(rows, t)
+        w = newton(np.hstack([on[rows][:, cols].astype(float), earlier[rows], np.ones((len(t), 1))]), t, 1)
+        return lambda at: 1 / (1 + np.exp(-np.hstack([on[at][:, cols].astype(float), earlier[at], np.ones((len(at), 1))]) @ w))
+
+    plain, everyone = np.zeros((n, 2)), np.arange(n)
+    final = np.zeros((n, 2))
+    for k in range(2):
+        for f in range(FOLDS):
+            own, held = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
+            plain[held, k] = fit(own, y[own, k], plain[:, :k])(held)
+        final[:, k] = fit(everyone, y[:, k], plain[:, :k])(everyone)
+    assert abs(out - plain).max() < 0.02
+    rows, names = numbered(hashes, sizes)
+    for k in range(2):
+        from dataclasses import replace
+        own = replace(models[k], features=np.searchsorted(names, models[k].features))
+        assert abs(predict(own, rows, plain[:, :k]) - final[:, k]).max() < 0.02
+    assert ((final[:, 1] > 0.5) == second).mean() > 0.8
+
+
 def test_chain_uses_out_of_fold_probabilities():
     from tablelens.llm.toxicity import FOLDS, fit_chain
     g = np.random.default_rng(0)
@@ -259,9 +314,10 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, empty, sf).count() == 0
 
 
-def test_url_oracle(spark):
+@pytest.mark.parametrize("key", ["op2_url_filter", "op5_embedding_dedup", "op11_exact_dedup", "op13_conversation_trie"])
+def test_oracles(spark, key):
     import __spark_entry__ as entry
     from tests.oracle_compare import compare, duckdb_con
     sf = "/root/testdata/sf0.001"
-    ok, message = compare(spark, duckdb_con(sf), "op2_url_filter", entry.queries()["op2_url_filter"], entry.oracle_sql()["op2_url_filter"], sf)
+    ok, message = compare(spark, duckdb_con(sf), key, entry.queries()[key], entry.oracle_sql()[key], sf)
     assert ok, message
