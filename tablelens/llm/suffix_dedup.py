@@ -98,8 +98,9 @@ def runs(texts: list[bytes], window: int, kmer: int):
     return np.array(owner)[part], first - shift, last - shift, anchor - shift, flat, shift
 
 
-def _run_rows(docs: DataFrame, id_col: str, window: int, kmer: int) -> DataFrame:
-    """One row per run: its document, windows, anchor and the digests of anchor string and run text."""
+def _run_rows(docs: DataFrame, id_col: str, window: int, kmer: int, words: bool) -> DataFrame:
+    """One row per run: its document, windows, anchor and the digests of anchor string and run text. With ``words``
+    texts become symbols here, in the same task."""
     schema = T.StructType([docs.schema[id_col], T.StructField("tag", T.LongType()), T.StructField("w1", T.IntegerType()),
                            T.StructField("w2", T.IntegerType()), T.StructField("at", T.IntegerType()),
                            T.StructField("fp", T.LongType()), T.StructField("sh", T.LongType())])
@@ -108,7 +109,8 @@ def _run_rows(docs: DataFrame, id_col: str, window: int, kmer: int) -> DataFrame
         release()
         digest = xxhash.xxh3_64_intdigest
         for batch in by_bytes(batches, "__text", _SEGMENT):
-            owner, w1, w2, at, flat, shift = runs(batch.column("__text").to_pylist(), window, kmer)
+            texts = batch.column("__text").to_pylist()
+            owner, w1, w2, at, flat, shift = runs([word_symbols(t) for t in texts] if words else texts, window, kmer)
             if len(owner):
                 a, f, e = (at + shift).tolist(), (w1 + shift).tolist(), (w2 + shift + window).tolist()
                 fp = np.array([digest(flat[i:i + kmer], 1) for i in a], np.uint64).view(np.int64)
@@ -246,10 +248,10 @@ def _sorted_runs(kinds: DataFrame, window: int, kmer: int, bucket_rows: int) ->
     return inside.union(across)
 
 
-def repeated_spans(docs: DataFrame, id_col: str, window: int = 400, kmer: int = 100, bucket_rows: int = 16384) -> DataFrame:
-    """(id_col, tag, spans): the byte spans to remove, unmerged, of each row of ``docs`` (columns id_col, tag,
-    __text) that has any. ``tag`` is a hash of the text, so that rows with equal ids stay apart."""
-    all_runs = _run_rows(docs, id_col, window, kmer)
+def repeated_spans(docs: DataFrame, id_col: str, window: int = 400, kmer: int = 100, bucket_rows: int = 16384, words: bool = False) -> DataFrame:
+    """(id_col, tag, spans): the byte spans (of symbols, with ``words``) to remove, unmerged, of each row of ``docs``
+    (columns id_col, tag, __text) that has any. ``tag`` is a hash of the text, so that rows with equal ids stay apart."""
+    all_runs = _run_rows(docs, id_col, window, kmer, words)
     shared = written(all_runs.groupBy("fp").agg(F.count("*").alias("n"), (F.min("sh") != F.max("sh")).alias("mixed"))
                      .where("n > 1"), "shared")
     rows = written(salted_join(all_runs, shared, ["fp"], "n").withColumn("off", F.col("at") - F.col("w1")).drop("at", "n"), "runs")
@@ -260,6 +262,7 @@ def repeated_spans(docs: DataFrame, id_col: str, window: int = 400, kmer: int =
              .groupBy("rid", "rtag").agg(F.collect_list("k").alias("ks")))  # no more than a document has runs
 
     # rows repeated with their id are equal: any one of them serves
+    docs = _symbols(docs) if words else docs
     one = docs.join(asked, F.col(f"`{id_col}`").eqNullSafe(F.col("rid")) & (F.col("tag") == F.col("rtag"))).select("__text", "ks")
     texts = one.select("__text", F.explode("ks").alias("k"))
     texts = texts.select("k.fp", "k.sh", "k.off", "k.n", F.substring("__text", F.col("k.w1") + 1, F.col("k.w2") - F.col("k.w1") + window).alias("text"))
@@ -340,7 +343,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, kmer: int = 0, id_col: st
     others = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
     df = docs.select(F.col(f"`{id_col}`").alias("__id"), others.alias("__others"), text.alias("__text")).withColumn("__tag", F.xxhash64("__text"))
     searched = df.select("__id", F.col("__tag").alias("tag"), "__text")
-    spans = written(repeated_spans(_symbols(searched) if words else searched, "__id", size, kmer, bucket_rows), "spans")
+    spans = written(repeated_spans(searched, "__id", size, kmer, bucket_rows, words), "spans")
     spans = spans.select(F.col("__id").alias("__sid"), F.col("tag").alias("__stag"), F.col("spans").alias("__spans"))
     both = df.join(spans, F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__tag") == F.col("__stag")), "left").select("__id", "__others", "__text", "__spans")
     span = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
