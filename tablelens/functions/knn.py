@@ -9,12 +9,14 @@ by the triangle inequality no point with ``|d0(p) - d0(q)| > r`` can be closer,
 so a second round compares the query with exactly the remaining rings that
 intersect ``[d0(q) - r, d0(q) + r]``. The result is exact; only k rows per
 query and compared chunk leave a task, never the pair set.
+
+With ``group`` every query is compared with the points of its own group only,
+all groups in one plan: the group is part of the ring's key, and pivot, rings
+and widths are columns of a table with one row per group.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,9 +25,8 @@ from pyspark.sql import functions as F
 CHUNK = 1024
 
 
-def _dist_to(col: str, pivot: list[float]):
-    arr = F.array(*[F.lit(float(v)) for v in pivot])
-    sq = F.zip_with(F.col(col), arr, lambda a, b: (a - b) * (a - b))
+def _distance(a: str, b: str):
+    sq = F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y))
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
 
 
@@ -57,52 +58,51 @@ def _pair_topk(k: int, exclude_self: bool):
 
 
 def knn(points: DataFrame, k: int, id_col: str, vec_col: str, queries: DataFrame | None = None,
-        query_id: str | None = None, query_vec: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(qid, nid, dist, rank) for the k nearest points of every query (self excluded in a self-join).
+        query_id: str | None = None, query_vec: str | None = None, chunk: int = CHUNK, group: str | None = None) -> DataFrame:
+    """(qid, nid, dist, rank) for the k nearest points of every query (self excluded in a self-join), within its
+    ``group`` (a column of both sides) if there is one; rows without a group take no part then.
 
     Ids must be integral and unique on each side; vectors are arrays of numbers of equal length.
     """
     self_join = queries is None
-    P = points.select(F.col(id_col).cast("long").alias("pid"), F.col(vec_col).cast("array<double>").alias("pv"))
+    of = F.col(f"`{group}`").cast("string").alias("g") if group else F.lit("").alias("g")
+    P = points.select(of, F.col(id_col).cast("long").alias("pid"), F.col(vec_col).cast("array<double>").alias("pv")).where("g IS NOT NULL")
     if self_join:
-        Q = P.select(F.col("pid").alias("qid"), F.col("pv").alias("qv"))
+        Q = P.select("g", F.col("pid").alias("qid"), F.col("pv").alias("qv"))
     else:
-        Q = queries.select(F.col(query_id or id_col).cast("long").alias("qid"),
-                           F.col(query_vec or vec_col).cast("array<double>").alias("qv"))
-    first = P.orderBy(F.xxhash64("pid"), "pid").select("pv").first()
-    if first is None:
-        return points.sparkSession.createDataFrame([], "qid long, nid long, dist double, rank int")
-    pivot = list(first["pv"])
-    P = P.withColumn("d0", _dist_to("pv", pivot))
-    Q = Q.withColumn("d0", _dist_to("qv", pivot))
-    st = P.agg(F.count(F.lit(1)).alias("n"), F.min("d0").alias("lo"), F.max("d0").alias("hi")).first()
-    n, lo, hi = st["n"], st["lo"], st["hi"]
-    n_rings = max(1, math.ceil(n / chunk))
-    width = (hi - lo) / n_rings if hi > lo else 1.0
+        Q = queries.select(of, F.col(query_id or id_col).cast("long").alias("qid"),
+                           F.col(query_vec or vec_col).cast("array<double>").alias("qv")).where("g IS NOT NULL")
+    pivots = P.groupBy("g").agg(F.min_by("pv", F.struct(F.xxhash64("pid"), "pid")).alias("pivot"))
+    far = P.join(pivots, "g").withColumn("d0", _distance("pv", "pivot"))
+    shape = far.groupBy("g").agg(F.min("pivot").alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("d0").alias("lo"), F.max("d0").alias("hi"))
+    shape = shape.withColumn("rings", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
+    shape = _materialize(shape.select("g", "pivot", "lo", "rings", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("rings"))
+                                      .otherwise(1.0).alias("width")))  # a row per group
 
     def ring_of(d):
-        return F.greatest(F.lit(0), F.least(F.floor((d - F.lit(lo)) / F.lit(width)), F.lit(n_rings - 1))).cast("int")
+        return F.greatest(F.lit(0), F.least(F.floor((d - F.col("lo")) / F.col("width")), F.col("rings") - 1)).cast("int")
 
-    P = P.withColumn("ring", ring_of(F.col("d0")))
-    sizes = P.groupBy("ring").agg(F.count(F.lit(1)).alias("rn"))
-    sizes = sizes.select("ring", F.ceil(F.col("rn") / F.lit(chunk)).cast("int").alias("nch"))
-    P = P.join(sizes, "ring").withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("nch")).cast("int")).drop("nch")
-    Q = Q.withColumn("home", ring_of(F.col("d0")))
+    P = P.join(shape, "g").withColumn("ring", ring_of(_distance("pv", "pivot"))).select("g", "pid", "pv", "ring")
+    sizes = P.groupBy("g", "ring").agg(F.count(F.lit(1)).alias("rn"))
+    sizes = sizes.select("g", "ring", F.ceil(F.col("rn") / F.lit(chunk)).cast("int").alias("nch"))
+    P = P.join(sizes, ["g", "ring"]).withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("nch")).cast("int")).drop("nch")
+    Q = Q.join(shape, "g").withColumn("d0", _distance("qv", "pivot")).withColumn("home", ring_of(F.col("d0"))).drop("pivot")
 
     def compare(qs: DataFrame) -> DataFrame:
-        """qs: (qid, qv, tring) -- compare each query with every chunk of ring ``tring``."""
-        qn = qs.groupBy("tring").agg(F.count(F.lit(1)).alias("qn")).select(
-            "tring", F.ceil(F.col("qn") / F.lit(chunk)).cast("int").alias("nq"))
-        tn = sizes.select(F.col("ring").alias("tring"), "nch")
-        meta = qn.join(tn, "tring")
-        qx = (qs.join(meta, "tring")
+        """qs: (g, qid, qv, tring) -- compare each query with every chunk of its group's ring ``tring``."""
+        qn = qs.groupBy("g", "tring").agg(F.count(F.lit(1)).alias("qn")).select(
+            "g", "tring", F.ceil(F.col("qn") / F.lit(chunk)).cast("int").alias("nq"))
+        tn = sizes.select("g", F.col("ring").alias("tring"), "nch")
+        meta = qn.join(tn, ["g", "tring"])
+        key = ["g", "tring", "tchunk", "qchunk"]
+        qx = (qs.join(meta, ["g", "tring"])
               .withColumn("qchunk", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int"))
               .withColumn("tchunk", F.explode(F.sequence(F.lit(0), F.col("nch") - 1)))
-              .select("tring", "tchunk", "qchunk", "qid", "qv"))
-        tx = (P.join(meta.withColumnRenamed("tring", "ring"), "ring")
+              .select(*key, "qid", "qv"))
+        tx = (P.join(meta.withColumnRenamed("tring", "ring"), ["g", "ring"])
               .withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-              .select(F.col("ring").alias("tring"), F.col("chunk").alias("tchunk"), "qchunk", "pid", "pv"))
-        return qx.groupBy("tring", "tchunk", "qchunk").cogroup(tx.groupBy("tring", "tchunk", "qchunk")).applyInPandas(
+              .select(F.col("g").alias("tg"), F.col("ring").alias("tring"), F.col("chunk").alias("tchunk"), F.col("qchunk").alias("tq"), "pid", "pv"))
+        return qx.groupBy(*key).cogroup(tx.groupBy("tg", "tring", "tchunk", "tq")).applyInPandas(
             _pair_topk(k, self_join), "qid long, nid long, dist double")
 
     def best(cands: DataFrame) -> DataFrame:
@@ -110,17 +110,17 @@ def knn(points: DataFrame, k: int, id_col: str, vec_col: str, queries: DataFrame
         return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     # round 1: own ring and its two neighbours
-    r1_q = Q.select("qid", "qv", F.explode(F.sequence(F.greatest(F.col("home") - 1, F.lit(0)),
-                                                      F.least(F.col("home") + 1, F.lit(n_rings - 1)))).alias("tring"))
+    r1_q = Q.select("g", "qid", "qv", F.explode(F.sequence(F.greatest(F.col("home") - 1, F.lit(0)),
+                                                           F.least(F.col("home") + 1, F.col("rings") - 1))).alias("tring"))
     c1 = _materialize(best(compare(r1_q)))
     # radius per query (infinite when fewer than k neighbours were seen)
     rad = c1.groupBy("qid").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("r"))
     need = Q.join(rad, "qid", "left").select(
-        "qid", "qv", "home",
+        "g", "qid", "qv", "home",
         F.when(F.coalesce(F.col("m"), F.lit(0)) < k, F.lit(0)).otherwise(ring_of(F.col("d0") - F.col("r"))).alias("lo_r"),
-        F.when(F.coalesce(F.col("m"), F.lit(0)) < k, F.lit(n_rings - 1)).otherwise(ring_of(F.col("d0") + F.col("r"))).alias("hi_r"))
+        F.when(F.coalesce(F.col("m"), F.lit(0)) < k, F.col("rings") - 1).otherwise(ring_of(F.col("d0") + F.col("r"))).alias("hi_r"))
     need = need.where((F.col("lo_r") < F.col("home") - 1) | (F.col("hi_r") > F.col("home") + 1))
-    r2_q = need.select("qid", "qv", "home", F.explode(F.sequence("lo_r", "hi_r")).alias("tring")).where(
+    r2_q = need.select("g", "qid", "qv", "home", F.explode(F.sequence("lo_r", "hi_r")).alias("tring")).where(
         (F.col("tring") < F.col("home") - 1) | (F.col("tring") > F.col("home") + 1)).drop("home")
     c2 = compare(r2_q)
     return best(c1.drop("rank").unionByName(c2)).select("qid", "nid", "dist", F.col("rank").cast("int").alias("rank"))

@@ -32,75 +32,53 @@ def _interpolate(base: str, nb: str, lam: str) -> F.Column:
     return F.zip_with(F.col(base), F.col(nb), lambda a, b: a + F.col(lam) * (b - a))
 
 
-MAX_CLASSES = 10_000
+def _minorities(base: DataFrame, label: str) -> DataFrame:
+    """The rows of classes to grow, with ``need`` (rows that the class lacks) and ``n_c``; one row at least to pair with."""
+    counts = base.groupBy(F.col(label).alias("_c")).agg(F.count(F.lit(1)).alias("n_c"))
+    majority = counts.agg(F.max("n_c")).first()[0] or 0
+    small = counts.where((F.col("n_c") < majority) & (F.col("n_c") >= 2)).withColumn("need", F.lit(majority) - F.col("n_c"))
+    return base.join(small, F.col(label) == F.col("_c")).drop("_c")
 
 
-def _class_plan(df: DataFrame, label: str) -> tuple[list, int]:
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes for over-sampling")
-    counts = {r[label]: r["n"] for r in rows}
-    return list(counts.items()), max(counts.values()) if counts else 0
+def _grown(members: DataFrame, quota: DataFrame, label: str, k: int) -> DataFrame:
+    """Synthetic rows: each of ``quota`` (id, _g) makes _g points towards neighbours of its class. All classes in one plan."""
+    nb = knn(members, k, "id", "vec", group=label).select(F.col("qid").alias("id"), F.col("rank").alias("nrank"), "nid")
+    gen = members.join(quota.where(F.col("_g") > 0), "id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_g").cast("int") - 1)))
+    kk = F.least(F.lit(k), (F.col("n_c") - 1).cast("int"))
+    gen = gen.withColumn("nrank", (F.pmod(F.xxhash64(F.lit(SEED + 1), "id", "copy"), kk) + 1).cast("int")).join(nb, ["id", "nrank"])
+    nvec = members.select(F.col("id").alias("nid"), F.col("vec").alias("nvec"))
+    gen = gen.join(nvec, "nid").withColumn("lam", _u01(F.col("id"), F.col("copy")))
+    return gen.select(_synthetic_id().alias("id"), _interpolate("vec", "nvec", "lam").alias("vec"), label, F.lit(True).alias("synthetic"))
+
+
+def _base(df: DataFrame, id_col: str, vec_col: str, label: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), label)
 
 
 def smote(df: DataFrame, id_col: str, vec_col: str, label: str, k: int = 5) -> DataFrame:
-    """(id, vec, label, synthetic) -- every minority class grown to the majority count."""
-    classes, majority = _class_plan(df, label)
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), label)
-    out = base.withColumn("synthetic", F.lit(False))
-    for cls, n_c in classes:
-        need = majority - n_c
-        if need <= 0 or n_c < 2:
-            continue
-        kk = min(k, n_c - 1)
-        members = base.where(F.col(label) == F.lit(cls))
-        nb = knn(members, kk, "id", "vec").select(F.col("qid").alias("id"), F.col("rank").alias("nrank"), "nid")
-        per, extra = divmod(need, n_c)
-        ranked = row_number(members.withColumn("_h", F.xxhash64(F.lit(SEED), "id")), [], ["_h", "id"], "_r")
-        gen = ranked.withColumn("_g", F.lit(per) + F.when(F.col("_r") <= extra, 1).otherwise(0)).where(F.col("_g") > 0)
-        gen = gen.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-        gen = gen.withColumn("nrank", (F.pmod(F.xxhash64(F.lit(SEED + 1), "id", "copy"), F.lit(kk)) + 1).cast("int"))
-        gen = gen.join(nb, ["id", "nrank"])
-        nvec = members.select(F.col("id").alias("nid"), F.col("vec").alias("nvec"))
-        gen = gen.join(nvec, "nid").withColumn("lam", _u01(F.col("id"), F.col("copy")))
-        syn = gen.select(
-            _synthetic_id().alias("id"),
-            _interpolate("vec", "nvec", "lam").alias("vec"), label, F.lit(True).alias("synthetic"))
-        out = out.unionByName(syn)
-    return out
+    """(id, vec, label, synthetic) -- every minority class grown to the majority count. Rows without a label are
+    kept as they are."""
+    base = _base(df, id_col, vec_col, label)
+    members = _minorities(base, label)
+    ranked = row_number(members.select("id", label, "need", "n_c").withColumn("_h", F.xxhash64(F.lit(SEED), "id")), [label], ["_h", "id"], "_r")
+    quota = ranked.select("id", (F.expr("need div n_c") + F.when(F.col("_r") <= F.col("need") % F.col("n_c"), 1).otherwise(0)).alias("_g"))
+    return base.withColumn("synthetic", F.lit(False)).unionByName(_grown(members, quota, label, k))
 
 
 def adasyn(df: DataFrame, id_col: str, vec_col: str, label: str, k: int = 5) -> DataFrame:
     """Like SMOTE, but each minority point's share of the new points grows with the
     fraction of other-class points among its k nearest neighbours (He et al., 2008)."""
-    classes, majority = _class_plan(df, label)
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), label)
-    out = base.withColumn("synthetic", F.lit(False))
-    all_nb = knn(base, k, "id", "vec")
+    base = _base(df, id_col, vec_col, label)
+    members = _minorities(base, label)
+    near = knn(base, k, "id", "vec")
+    own = members.select(F.col("id").alias("qid"), F.col(label).alias("_ql"), "need")
     labels = base.select(F.col("id").alias("nid"), F.col(label).alias("_nl"))
-    for cls, n_c in classes:
-        need = majority - n_c
-        if need <= 0 or n_c < 2:
-            continue
-        kk = min(k, n_c - 1)
-        members = base.where(F.col(label) == F.lit(cls))
-        ratio = (all_nb.join(members.select(F.col("id").alias("qid")), "qid", "left_semi").join(labels, "nid")
-                 .groupBy("qid").agg((F.sum(F.when(F.col("_nl") != F.lit(cls), 1).otherwise(0)) / k).alias("r")))
-        tot = ratio.agg(F.sum("r")).first()[0] or 0.0
-        if tot == 0:
-            continue
-        quota = ratio.select(F.col("qid").alias("id"), F.round(F.col("r") / F.lit(tot) * need).cast("int").alias("_g"))
-        nb = knn(members, kk, "id", "vec").select(F.col("qid").alias("id"), F.col("rank").alias("nrank"), "nid")
-        gen = quota.where(F.col("_g") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-        gen = gen.join(members, "id").withColumn(
-            "nrank", (F.pmod(F.xxhash64(F.lit(SEED + 1), "id", "copy"), F.lit(kk)) + 1).cast("int"))
-        gen = gen.join(nb, ["id", "nrank"])
-        nvec = members.select(F.col("id").alias("nid"), F.col("vec").alias("nvec"))
-        gen = gen.join(nvec, "nid").withColumn("lam", _u01(F.col("id"), F.col("copy")))
-        syn = gen.select(_synthetic_id().alias("id"),
-                         _interpolate("vec", "nvec", "lam").alias("vec"), label, F.lit(True).alias("synthetic"))
-        out = out.unionByName(syn)
-    return out
+    ratio = (near.join(own, "qid").join(labels, "nid").groupBy("qid", "_ql", "need")
+             .agg((F.sum(F.when(F.col("_nl") != F.col("_ql"), 1).otherwise(0)) / k).alias("r")))
+    total = ratio.groupBy(F.col("_ql").alias("_tl")).agg(F.sum("r").alias("total")).where("total > 0")  # a row per class
+    quota = ratio.join(total, F.col("_ql") == F.col("_tl")).select(
+        F.col("qid").alias("id"), F.round(F.col("r") / F.col("total") * F.col("need")).cast("int").alias("_g"))
+    return base.withColumn("synthetic", F.lit(False)).unionByName(_grown(members, quota, label, k))
 
 
 def knn_predict(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, label: str, k: int = 5,

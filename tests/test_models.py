@@ -121,6 +121,26 @@ def test_neighbours_with_ties_and_far_coordinates(spark):
         assert got == want
 
 
+def test_neighbours_within_groups(spark):
+    from tablelens.functions.knn import knn
+    g = np.random.default_rng(7)
+    rows = [(i, g.normal(size=3).tolist(), None if i % 17 == 0 else f"g{int(g.exponential(2))}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y string")
+    got = {}
+    for r in knn(df, 4, "id", "v", chunk=16, group="y").orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.nid)
+    for i, v, y in rows:
+        near = sorted((float(np.linalg.norm(np.array(v) - w)), j) for j, w, z in rows if z == y and j != i and y is not None)
+        assert got.get(i, []) == [j for _, j in near[:4]], i
+
+
+def test_many_classes_grow_in_one_plan(spark):
+    rows = [(i, [float(i), 0.0], i // 3) for i in range(900)] + [(9000 + i, [float(i), 1.0], 5000) for i in range(6)] + [(1, [0.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int")
+    got = resample.smote(df, "id", "v", "y").groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in got} == {k: 6 for k in [*range(300), 5000]} | {None: 1}
+
+
 @pytest.mark.parametrize("grow", [resample.smote, resample.adasyn])
 def test_synthetic_points_lie_on_segments(spark, grow):
     g = np.random.default_rng(3)
