@@ -2,8 +2,9 @@
 
 Permutation importance: a feature's values are re-dealt to other rows -- the
 row at natural rank i (by key) receives the value of the row at hash rank i --
-with two distributed row numbers and one equi-join on the rank, then the model
-is re-scored; the importance is the drop of the primary metric.
+with two distributed row numbers and one equi-join on the rank, made once for
+all features and written; then the model is re-scored with one feature after
+the other; the importance is the drop of the primary metric.
 Linear contributions are exact: coefficient x (value - training mean).
 """
 
@@ -15,15 +16,20 @@ from pyspark.sql import functions as F
 from tablelens.functions.ranking import row_number
 from tablelens.operators import models as M
 from tablelens.operators.splits import hash_key
+from tablelens.session import scratch_path
+
+
+def permuted(df: DataFrame, key_cols: list[str], columns: list[str], seed: int = 42) -> DataFrame:
+    """The frame with a second value ``_p<i>`` for each of ``columns``, re-dealt by a seeded permutation of the rows."""
+    natural = row_number(df, [], key_cols, "_rn")
+    dealt = row_number(df.select(*key_cols, *columns).withColumn("_h", hash_key(key_cols, seed)), [], ["_h", *key_cols], "_rn").select(
+        "_rn", *[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(columns)])
+    return natural.join(dealt, "_rn").drop("_rn")
 
 
 def permute_column(df: DataFrame, key_cols: list[str], column: str, seed: int = 42) -> DataFrame:
     """The frame with ``column`` re-dealt by a seeded permutation of the rows."""
-    natural = row_number(df, [], key_cols, "_rn")
-    shuffled = row_number(df.select(*key_cols, column).withColumn("_h", hash_key(key_cols, seed)),
-                          [], ["_h", *key_cols], "_rn").select("_rn", F.col(column).alias("_pv"))
-    return natural.join(shuffled, "_rn").select(*[F.col("_pv").alias(c) if c == column else F.col(c)
-                                                 for c in df.columns])
+    return permuted(df, key_cols, [column], seed).select(*[F.col("_p0").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
 
 
 def permutation_importance(model, test: DataFrame, target: str, task: str, features: list[str],
@@ -32,8 +38,11 @@ def permutation_importance(model, test: DataFrame, target: str, task: str, featu
     metric = "accuracy" if task == "classification" else "r2_score"
     base = M.score(M.predict(model, test, target, task, features), task, target)[metric]
     rows = []
-    for f in features:
-        perm = permute_column(test, key_cols, f, seed)
+    path = scratch_path(test.sparkSession, "permuted")
+    permuted(test, key_cols, features, seed).write.parquet(path)
+    both = test.sparkSession.read.parquet(path)
+    for i, f in enumerate(features):
+        perm = both.select(*[F.col(f"_p{i}").alias(c) if c == f else F.col(f"`{c}`") for c in test.columns])
         s = M.score(M.predict(model, perm, target, task, features), task, target)[metric]
         rows.append((f, float(base), float(s), float(base - s)))
     return test.sparkSession.createDataFrame(rows, "feature string, baseline double, permuted double, importance double")

@@ -67,12 +67,13 @@ def mutual_information(df: DataFrame, target: str, cols: list[str] | None = None
     d = df.where(y.isNotNull()).select(y.alias("_y"), *binned)
     long = d.unpivot(["_y"], cols, "feature", "bin").where(F.col("bin").isNotNull())
     joint = long.groupBy("feature", "bin", "_y").agg(F.count(F.lit(1)).alias("n_xy"))
-    w_f = Window.partitionBy("feature")
-    joint = joint.withColumn("n", F.sum("n_xy").over(w_f)) \
-        .withColumn("n_x", F.sum("n_xy").over(Window.partitionBy("feature", "bin"))) \
-        .withColumn("n_y", F.sum("n_xy").over(Window.partitionBy("feature", "_y")))
-    term = (F.col("n_xy") / F.col("n")) * F.log((F.col("n_xy") * F.col("n")) / (F.col("n_x") * F.col("n_y")))
-    return joint.groupBy("feature").agg(F.round(F.sum(term), 6).alias("mutual_information"))
+    # sum n_xy/n ln(n_xy n / (n_x n_y)) = (sum n_xy ln n_xy - sum n_x ln n_x - sum n_y ln n_y) / n + ln n: sums of sums,
+    # so that no task holds all classes or bins of a feature
+    entropy = lambda c: F.sum(F.col(c) * F.log(c))
+    xy = joint.groupBy("feature").agg(F.sum("n_xy").alias("n"), entropy("n_xy").alias("s_xy"))
+    side = lambda by, out: (joint.groupBy("feature", by).agg(F.sum("n_xy").alias("_m")).groupBy("feature").agg(entropy("_m").alias(out)))
+    mi = (F.col("s_xy") - F.col("s_x") - F.col("s_y")) / F.col("n") + F.log("n")
+    return xy.join(side("bin", "s_x"), "feature").join(side("_y", "s_y"), "feature").select("feature", F.round(F.greatest(mi, F.lit(0.0)), 6).alias("mutual_information"))
 
 
 def pca(df: DataFrame, cols: list[str], k: int = 2, fill_null: bool = True):

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import clean_value, is_floating, numeric_columns
@@ -182,8 +182,8 @@ def anova_table(df: DataFrame, target: str, cols: list[str] | None = None) -> Da
     """(column, k, n, f_statistic) raw values of the one-way ANOVA of each feature by target class."""
     cols = cols or [c for c in numeric_columns(df) if c != target]
     gm = group_moments(df, target, cols).where(F.col("n") > 0)
-    w = Window.partitionBy("column")
-    gm = gm.withColumn("grand", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
+    grand = gm.groupBy("column").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))  # a row per column
+    gm = gm.join(F.broadcast(grand), "column")
     t = gm.groupBy("column").agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
         F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("ssb"),
