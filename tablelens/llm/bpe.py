@@ -118,7 +118,7 @@ class Bpe:
                 if not ok:
                     ok = fits.get(last << 32 | token)
                     if ok is None:
-                        if len(fits) >= 1_000_000:
+                        if len(fits) >= 400_000:
                             fits.clear()
                         ok = fits[last << 32 | token] = self.compatible(last, token)
                 if ok:
@@ -141,7 +141,7 @@ class Bpe:
         if got is None:
             got = self.ids[self.encode_symbols(word)].tobytes()
             if len(word) <= 64:
-                if len(self.known_words) >= 200_000:
+                if len(self.known_words) >= 100_000:
                     self.known_words.clear()
                 self.known_words[word] = got
         return got
