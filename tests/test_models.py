@@ -134,6 +134,41 @@ def test_neighbours_within_groups(spark):
         assert got.get(i, []) == [j for _, j in near[:4]], i
 
 
+def test_neighbours_among_many_equal_vectors_move_no_copies(spark, monkeypatch):
+    """Points that share a vector are compared once, and only the smallest ids of each."""
+    from tablelens.functions import knn as K
+    made, keep_rows = [], K._materialize
+    monkeypatch.setattr(K, "_materialize", lambda df: made.append(keep_rows(df)) or made[-1])
+    pts = [(i, [float(i % 4)]) for i in range(4000)]
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    got = {}
+    for r in K.knn(df, 3, "id", "v", queries=df.where("id < 900"), chunk=2).collect():
+        got.setdefault(r.qid, []).append((r.rank, r.nid))
+    assert all([n for _, n in sorted(got[i])] == [i % 4, i % 4 + 4, i % 4 + 8] for i in range(900))
+    assert made[0].count() == 4 and max(f.count() for f in made) <= 900
+
+
+def test_neighbours_in_cells_equal_brute_force(spark):
+    """Points on a grid, with ties, null and non-finite vectors; cells of 20, so that most answers come from several."""
+    from tablelens.functions.knn import knn
+    g = np.random.default_rng(11)
+    pts = [(i, [float(a) for a in v]) for i, v in enumerate(g.integers(0, 6, (700, 4)))]
+    odd = [(9000, None), (9001, [1.0, None, 2.0, 3.0]), (9002, [float("nan"), 1.0, 1.0, 1.0]), (9003, [float("inf"), 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(pts + odd, "id long, v array<double>")
+    asked = [(i, [float(a) for a in v]) for i, v in enumerate(g.normal(3, 3, (60, 4)))] + [(500, [2.0, 2.0, 2.0, 2.0]), (501, None)]
+    x = np.array([v for _, v in pts])
+    for queries in (None, spark.createDataFrame(asked, "id long, v array<double>")):
+        got = {}
+        for r in knn(df, 4, "id", "v", queries=queries, chunk=20).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((round(r.dist, 9), r.nid))
+        want = {}
+        for i, v in pts if queries is None else asked:
+            if v is not None:
+                d = np.sqrt(((x - np.array(v)) ** 2).sum(axis=1))
+                want[i] = sorted((round(float(e), 9), j) for j, e in enumerate(d) if queries is not None or j != i)[:4]
+        assert got == want
+
+
 def test_many_classes_grow_in_one_plan(spark):
     rows = [(i, [float(i), 0.0], i // 3) for i in range(900)] + [(9000 + i, [float(i), 1.0], 5000) for i in range(6)] + [(1, [0.0, 0.0], None)]
     df = spark.createDataFrame(rows, "id long, v array<double>, y int")
