@@ -53,6 +53,22 @@ def test_distributed_growth_equals_growth_at_hand(spark, name, monkeypatch):
     assert np.allclose(apart.featureImportances.toArray(), at_hand.featureImportances.toArray()) and abs(at_hand.featureImportances.toArray().sum() - 1) < 1e-9
 
 
+def test_leaf_wise_growth_takes_fewer_aggregates_than_leaves(spark, monkeypatch):
+    x, y = rows()
+    df, calls, split = frame(spark, x, y), [], T._split_level
+    monkeypatch.setattr(T, "_split_level", lambda *a, **k: calls.append(1) or split(*a, **k))
+    spec = G.Spec("boost", trees=1, leaves=12, min_leaf=5)
+    apart = T.Trees(spec, task_bytes=27).fit(df)
+    assert len(calls) < 10 and np.allclose(predicted(apart, df), predicted(T.Trees(spec).fit(df), df))
+
+
+def test_matrices_are_read_from_slices_and_chunks():
+    import pyarrow as pa
+    col = pa.array([bytes([i, i + 1]) for i in range(9)], pa.binary())
+    got = T._matrix(pa.chunked_array([col.slice(2, 3), col.slice(0, 0), col.slice(7)]), np.uint8)
+    assert got.tolist() == [[2, 3, 4, 7, 8], [3, 4, 5, 8, 9]]
+
+
 def plain_tree(x, y, depth, classes):
     """Greedy splits by brute force: value(s) of each row's leaf."""
     def worth(t):
