@@ -56,3 +56,24 @@ def test_split_with_equal_hashes_takes_exactly_the_share(spark):
     got = {r.y: r["count"] for r in split_stratified(df, ["k"], "y", 0.33).where("split = 'test'").groupBy("y").count().collect()}
     assert got == {"a": 66, "b": 66}
     assert split_random(df, ["k"], 0.33).count() == 400 and split_random(df.limit(0), ["k"]).count() == 0
+
+
+def test_ties_are_not_narrowed_and_columns_equal_series(spark, monkeypatch):
+    from tablelens.functions import selection
+    from tablelens.functions.quantiles import quantiles
+    monkeypatch.setattr(selection, "_narrowed", lambda *a: pytest.fail("few distinct values are gathered at once"))
+    rows = [(float(i % 3), None if i % 5 == 0 else float(i % 2), math.nan if i % 7 == 0 else float(i)) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    long = df.select("a", "b", F.nanvl("c", F.lit(None).cast("double")).alias("c")).unpivot([], ["a", "b", "c"], "column", "value").where("value IS NOT NULL")
+    probs = [0.1, 1 / 3, 0.5, 0.9]
+    rank = lambda n, p: (F.floor((n - 1) * F.lit(p)), F.ceil((n - 1) * F.lit(p)))
+    got = {}
+    few = long.where("column != 'c'")
+    for r in select_ranks(few, probs, rank, 500, 5).collect():
+        a = np.sort([v for x in rows if (v := x["ab".index(r.column)]) is not None])
+        h = (len(a) - 1) * probs[r.pi]
+        got[r.column, r.pi] = r.N
+        assert (r.N, r.v_lo, r.v_hi) == (len(a), a[math.floor(h)], a[math.ceil(h)])
+    assert len(got) == 8
+    by_columns = {(r.column, r.prob): r.value for r in quantiles(df, ["a", "b", "c"], probs).collect()}
+    assert by_columns == {(r.column, r.prob): r.value for r in quantiles_long(long, probs).collect()} and len(by_columns) == 12
