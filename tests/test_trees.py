@@ -161,3 +161,29 @@ def test_search_reports_trials_errors_and_the_deadline(spark):
     assert len(scores) == 3 and min(scores) > 0.5 and none is None and zero == [0.0] * 3 and "TypeError" in error
     assert T.search_at_hand(data, [good], 3, deadline=0.0) == [([], None)]
     assert T.fit_and_score(data, G.Spec("forest", 2, trees=3), 1, task_bytes=20 * 27) > 0.5
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_rows_alike_in_all_bins_are_grown_as_one(classes, monkeypatch):
+    from tablelens.operators import tree_growth as G
+    g = np.random.default_rng(3)
+    n = 6_000
+    x = np.stack([g.integers(0, 20, n), g.integers(0, 4, n), g.integers(0, 5, n)]).astype(np.uint8)
+    y = ((x[0] > 9) + (g.random(n) < 0.3)).clip(0, classes - 1).astype(float)
+    specs = [G.Spec("forest", n_classes=classes, trees=4, per_node=1, bootstrap=True, min_leaf=3), G.Spec("forest", n_classes=classes, trees=1),
+             G.Spec("boost", n_classes=classes, trees=5, depth=5, subsample=0.7, colsample=0.7, l1=0.3, l2=1.0, min_hessian=1.0),
+             G.Spec("boost", n_classes=classes, trees=5, leaves=9, min_leaf=20), G.Spec("boost", n_classes=classes, trees=5, depth=3, second_order=False)]
+    grown, grow = [], G.grow
+    monkeypatch.setattr(G, "grow", lambda x, *a: grown.append(x.shape[1]) or grow(x, *a))
+    for spec in specs:
+        trees, start = G.grow_all(spec, x, [20, 4, 5], y, np.arange(n) * 7)
+        assert max(grown) <= 400  # distinct rows, not all of them
+        with monkeypatch.context() as plain:
+            plain.setattr(G, "distinct", lambda x: None)
+            expected, _ = G.grow_all(spec, x, [20, 4, 5], y, np.arange(n) * 7)
+            predicted = G.predict_all(spec, expected, start, x)
+        for (_, a), (_, b) in zip(trees, expected, strict=True):
+            assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.left == b.left).all()
+            np.testing.assert_allclose(a.value, b.value, rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(G.predict_all(spec, trees, start, x), predicted, rtol=1e-9)
+        grown.clear()
