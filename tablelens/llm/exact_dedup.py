@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tablelens.llm.common import by_bytes, written
 
-_NODE_BYTES = 400  # what a node costs besides its edge
+_NODE_BYTES = 500  # what a node and its owner cost besides the edge
 
 
 class Node:
@@ -146,7 +146,7 @@ def _batch(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)
 
 
-def _in_parts(found: Iterator, id_type: pa.DataType, schema: pa.Schema, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _in_parts(found: Iterator, id_type: pa.DataType, schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     part, size = [], 0
     for text, owner in found:
         part.append((text, owner))
@@ -172,7 +172,7 @@ def _local_owners(docs: DataFrame, id_type: T.DataType, largest: bool, trie_byte
                 id_arrow = batch.schema.field("id").type
                 of = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
                 arrow = pa.schema([("id", id_arrow)] + [(n, id_arrow if n == "best" else of[t]) for n, t in fields])
-            for part in by_bytes([batch], "text", 8 << 20):
+            for part in by_bytes([batch], "text", 4 << 20):
                 tokens, first = [], base + count
                 for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
                     node, own = trie.insert(text), (i, base + count)
@@ -227,7 +227,7 @@ def _merge(owners: DataFrame, largest: bool, trie_bytes: int) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stays: str = "smallest",
-                     normalise: Callable[[Column], Column] | None = None, trie_bytes: int = 48 << 20, fan: int = 64) -> DataFrame:
+                     normalise: Callable[[Column], Column] | None = None, trie_bytes: int = 24 << 20, fan: int = 64) -> DataFrame:
     """(id_col, keep_id, group_size, kept, sha), one row per input row: of rows with equal texts (after
     ``normalise``) the one with the ``smallest`` or ``largest`` identifier stays. ``sha``: SHA-256 of the
     normalised text."""
