@@ -187,3 +187,33 @@ def test_rows_alike_in_all_bins_are_grown_as_one(classes, monkeypatch):
             np.testing.assert_allclose(a.value, b.value, rtol=1e-9, atol=1e-12)
         np.testing.assert_allclose(G.predict_all(spec, trees, start, x), predicted, rtol=1e-9)
         grown.clear()
+
+
+def test_sparse_cells_split_alike_sorted_or_counted():
+    g = np.random.default_rng(3)
+    n, n_nodes, n_bins = 3000, 200, 256
+    x, node = g.integers(0, n_bins, n).astype(np.uint8), g.integers(0, n_nodes, n)
+    c, y = g.integers(1, 4, n).astype(float), g.normal(size=n)
+    spec, sums = G.Spec("forest"), [c * y]
+    totals = (np.bincount(node, c), np.bincount(node, c), [np.bincount(node, sums[0])])
+    order = G._sorted_rows(x, np.arange(n), node, n_bins)
+    assert (order == np.lexsort((np.arange(n), x, node))).all()
+    counted = G._feature_best(x, node, n_nodes, n_bins, c, c, sums, totals, spec)
+    by_rows = G._feature_best_sorted(x, order, np.bincount(node, minlength=n_nodes), c, c, sums, totals, spec)
+    assert np.allclose(counted[0], by_rows[0]) and (counted[1] == by_rows[1]).all()
+    child = np.where(g.random(n) < 0.1, -1, 2 * node + (x > 100)).astype(np.int32)  # dealt on to the children, some rows done
+    on = child >= 0
+    got = G._dealt(order, child, np.bincount(child[on], minlength=2 * n_nodes))
+    rows = np.flatnonzero(on)
+    assert (got == rows[np.lexsort((rows, x[rows], child[rows]))]).all()
+
+
+def test_rows_of_a_node_travel_packed(spark, monkeypatch):
+    x, y = rows(2000)
+    df, seen, write = frame(spark, x, y), [], T._write
+    monkeypatch.setattr(T, "_write", lambda d, name: seen.append((name, out := write(d, name))) or out)
+    model = T.Trees(G.Spec("forest", trees=3, bootstrap=True), task_bytes=500 * 27).fit(df)
+    model.broadcast_bytes = 0
+    assert len(predicted(model, df)) == 2000
+    routed = dict(seen)["routed"]
+    assert routed.where("tree IS NOT NULL").count() < 200 and routed.where("tree IS NULL").agg(F.sum("n")).first()[0] == 2000
