@@ -23,88 +23,194 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.llm.chunks import Pieces, held
+from tablelens.llm.chunks import WIDE_SPACE, Pieces, held
 from tablelens.llm.common import by_bytes, text_bytes
 from tablelens.llm.crc32c import crc32c, masked
 
 HEAD = struct.Struct("<QI")
 KEY = struct.Struct("<Bq")
 
-
-_ENDING = ",.;:!?"
-_SPACE = " \t\n\x0b\x0c\r"
-
-
-class Joined:
-    """Pieces to ids (little-endian u32) by few library calls: pieces that the pre-tokenizer keeps apart are joined to
-    one text, its ids cut by the tokens' numbers of bytes. A piece with punctuation at its end is encoded without it
-    (a letter and punctuation never share a token), and the word's ids are looked up where they are known."""
-
-    def __init__(self, tok, token_bytes: np.ndarray):
-        self.tok, self.token_bytes, self.known = tok, token_bytes, {}
+_ENDING = np.isin(np.arange(256), list(b",.;:!?"))
+#: Letters of one or two UTF-8 bytes; letters beyond this block may be unknown to one of two tables of Unicode.
+_LETTER = np.array([c < 0x530 and chr(c).isalpha() for c in range(0x800)])
+
+
+def cuts(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Where the pieces of ``chunks`` start in the UTF-8 bytes of texts that lie one after the other; ``first`` and
+    ``last`` are the places of each text's first and last byte. Punctuation after a letter, which never shares a
+    token with it, starts a piece too, so that words are known with and without it."""
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    start = np.zeros(len(data), bool)
+    # a run of white space; what follows a run that doesn't end in a blank
+    start[1:] = np.where(space[1:], ~space[:-1], space[:-1] & (data[:-1] != 32))
+    before_word = np.zeros(len(data), bool)
+    before_word[1:-1] = space[1:-1] & space[:-2] & ~space[2:]
+    before_word[last] = False
+    start |= before_word
+    ending = np.flatnonzero(_ENDING[data])
+    ending = ending[ending > 0]
+    before = data[ending - 1]
+    start[ending[(before < 0x80) & _LETTER[before]]] = True
+    ending = ending[(before & 0xC0 == 0x80) & (ending > 1)]
+    lead = data[ending - 2].astype(np.int64)
+    start[ending[(lead & 0xE0 == 0xC0) & _LETTER[(lead & 0x1F) << 6 | data[ending - 1] & 0x3F]]] = True
+    start[first] = True
+    return np.flatnonzero(start)
+
+
+def valid_utf8(texts: pa.Array) -> pa.Array:
+    """The same binary texts, bytes that aren't UTF-8 as U+FFFD."""
+    try:
+        texts.cast(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace").encode() for t in texts.to_pylist()], pa.large_binary())
+    return texts.cast(pa.large_binary())
+
+
+class Whole(Pieces):
+    """Pieces by a library whose tokens are not bytes."""
+
+    def encoded(self, texts: pa.Array) -> list[bytes]:
+        return self.many([t.decode("utf-8", "replace") for t in texts.to_pylist()])
+
+
+class Batches:
+    """Texts of a byte-level vocabulary to ids (little-endian u32), a batch at a time: texts are cut in one pass over
+    their bytes, a batch's distinct pieces are looked up once, and the ids of all pieces are gathered by Arrow. Pieces
+    not known yet are joined to one text, since the pre-tokenizer keeps them apart, and its ids cut by the tokens'
+    numbers of bytes. The table has two halves: when the newer is full the older is dropped, so frequent pieces stay."""
+
+    _UNCUT = b"-"  # no number of ids: a piece that holds white space outside ASCII
+
+    def __init__(self, tok, token_bytes: np.ndarray, added: list[dict], most: int = 400_000, longest: int = 64,
+                 pieces: int = 1 << 20, call: int = 1 << 14):
+        self.tok, self.token_bytes = tok, token_bytes
+        self.half, self.longest, self.pieces, self.call = most // 2, longest, pieces, call
+        self.new, self.old = {}, {}
+        # of two that start at one place the library takes the longer
+        self.special = sorted((t["content"].encode() for t in added), key=len, reverse=True)
+        self.split = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")")
+        self.apart = not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
 
     def alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def together(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        # a word without its space starts a line; the line break before it is a token of its own
-        ids = np.array(self.tok.encode_batch_fast(["".join([t if t[0] == " " else "\n" + t for t in texts])], add_special_tokens=False)[0].ids, dtype="<u4")
-        breaks = np.array([t[0] != " " for t in texts])
-        sizes = np.array([len(t.encode()) for t in texts]) + breaks
+    def together(self, pieces: list[bytes]) -> list[bytes]:
+        # a piece without a blank starts a line; the line break before it is a token of its own
+        lines = [p if p[0] == 32 else b"\n" + p for p in pieces]
+        text = b"".join(lines).decode()
+        if not text.isascii() and WIDE_SPACE.search(text):
+            uncut = {p for p in pieces if not p.isascii() and WIDE_SPACE.search(p.decode())}
+            rest = [p for p in pieces if p not in uncut]
+            got = dict(zip(rest, self.together(rest))) if rest else {}
+            return [got.get(p, self._UNCUT) for p in pieces]
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         done = np.cumsum(self.token_bytes[ids])
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         ends = np.cumsum(sizes)
         last = np.searchsorted(done, ends)
         if len(done) == 0 or last[-1] >= len(done) or (done[last] != ends).any():
-            return self.alone(texts)
+            return self.alone([p.decode() for p in pieces])
+        breaks = sizes - np.fromiter(map(len, pieces), np.int64, len(pieces))
         first = np.concatenate([[0], last[:-1] + 1]) + breaks
         raw = ids.tobytes()
-        return [raw[4 * i:4 * j + 4] for i, j in zip(first.tolist(), last.tolist())]
-
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        words, alone, ended = [], [], []
-        for p in pieces:
-            last = p[-1]
-            if last in _ENDING:
-                w = p.rstrip(_ENDING)
-                # letters beyond this block may be unknown to one of the two tables of Unicode
-                if w and w[-1] < "\u0530" and w[-1].isalpha():
-                    ended.append((p, w))
-                else:
-                    words.append(p)
-            elif last in _SPACE:
-                alone.append(p)
-            else:
-                words.append(p)
-        words += {w for _, w in ended if w not in self.known}.difference(words)
-        ends = list({p[len(w):] for p, w in ended})
-        got = dict(zip(words, self.together(words)))
-        if alone:
-            got.update(zip(alone, self.alone(alone)))
-        if ends:
-            tail = dict(zip(ends, self.alone(ends)))
-            for p, w in ended:
-                got[p] = (got.get(w) or self.known[w]) + tail[p[len(w):]]
-        return [got[p] for p in pieces]
-
-
-def library_pieces(path: str) -> Pieces:
+        return [raw[i:j] for i, j in zip((4 * first).tolist(), (4 * last + 4).tolist())]
+
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        out = []
+        for k in range(0, len(pieces), self.call):
+            some = pieces[k:k + self.call]
+            words = [p for p in some if p[-1] > 32 or p[-1] not in b" \t\n\x0b\x0c\r"]
+            got = dict(zip(words, self.together(words))) if words else {}
+            if len(words) < len(some):
+                spaces = [p for p in some if p not in got]
+                got.update(zip(spaces, self.alone([p.decode() for p in spaces])))
+            out += [got[p] for p in some]
+        return out
+
+    def look_up(self, pieces: list[bytes]) -> list[bytes]:
+        got = list(map(self.new.get, pieces))
+        absent = [k for k, e in enumerate(got) if e is None]
+        if not absent:
+            return got
+        older = list(map(self.old.get, [pieces[k] for k in absent]))
+        unknown = [k for k, e in zip(absent, older) if e is None]
+        learnt = iter(self.learn([pieces[k] for k in unknown]))
+        for k, e in zip(absent, older):
+            got[k] = next(learnt) if e is None else e
+        if len(self.new) + len(absent) > self.half:
+            self.new, self.old = {}, self.new
+        self.new.update((pieces[k], got[k]) for k in absent[:self.half] if len(pieces[k]) <= self.longest)
+        return got
+
+    def __call__(self, text: str) -> bytes:
+        return self.encoded(pa.array([text.encode()], pa.binary()))[0]
+
+    def encoded(self, texts: pa.Array) -> list[bytes]:
+        """The encodings of UTF-8 texts, none null."""
+        texts = valid_utf8(texts)
+        rows = texts.to_pylist() if self.special else []
+        special = [k for k, t in enumerate(rows) if any(x in t for x in self.special)]
+        if not special:
+            return self._cut_and_encode(texts)
+        if not self.apart:
+            got = dict(zip(special, self.alone([rows[k].decode() for k in special])))
+            rest = iter(self._cut_and_encode(pa.array([t for k, t in enumerate(rows) if k not in got], pa.large_binary())))
+            return [got[k] if k in got else next(rest) for k in range(len(rows))]
+        # special strings end a text; every second part is one
+        known = dict(zip(self.special, self.alone([x.decode() for x in self.special])))
+        parts = [self.split.split(t) for t in rows]
+        plain = iter(self._cut_and_encode(pa.array([p for ps in parts for p in ps[::2]], pa.large_binary())))
+        return [b"".join([known[p] if k % 2 else next(plain) for k, p in enumerate(ps)]) for ps in parts]
+
+    def _cut_and_encode(self, texts: pa.Array) -> list[bytes]:
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if at[0] == at[-1]:
+            return [b""] * len(texts)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0]:at[-1]]
+        at = at - at[0]
+        filled = at[:-1] < at[1:]
+        starts = np.append(cuts(data, at[:-1][filled], at[1:][filled] - 1), len(data))
+        ids, ends, uncut = [], [np.zeros(1, np.int64)], []
+        for k in range(0, len(starts) - 1, self.pieces):
+            some = starts[k:k + self.pieces + 1]
+            pieces = pa.Array.from_buffers(pa.binary() if len(data) < 1 << 31 else pa.large_binary(), len(some) - 1, [
+                None, pa.py_buffer(some.astype(np.int32 if len(data) < 1 << 31 else np.int64)), pa.py_buffer(data)]).dictionary_encode()
+            known = pa.array(self.look_up(pieces.dictionary.to_pylist()), pa.large_binary())
+            odd = np.flatnonzero(pc.binary_length(known).to_numpy() == len(self._UNCUT))
+            if len(odd):
+                uncut.append(k + np.flatnonzero(np.isin(pieces.indices.to_numpy(), odd)))
+            got = known.take(pieces.indices)
+            sizes = np.frombuffer(got.buffers()[1], np.int64)[got.offset:got.offset + len(got) + 1]
+            ids.append(got.buffers()[2].to_pybytes()[sizes[0]:sizes[-1]])
+            ends.append(ends[-1][-1] + sizes[1:] - sizes[0])
+        raw, ends = b"".join(ids), np.concatenate(ends)
+        bounds = ends[np.searchsorted(starts, at)].tolist()
+        out = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        if uncut:
+            for row in np.unique(np.searchsorted(at, starts[np.concatenate(uncut)], "right") - 1).tolist():
+                out[row] = self.alone([texts[row].as_py().decode()])[0]
+        return out
+
+
+def library_pieces(path: str) -> Batches | Whole:
     """Texts to ids (little-endian u32) by the tokenizers library, repeated pieces remembered; one per
     Python worker, so that what a task has learnt serves the tasks after it."""
     return held(f"library {path}", lambda: _library_pieces(path))
 
 
-def _library_pieces(path: str) -> Pieces:
+def _library_pieces(path: str) -> Batches | Whole:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
@@ -119,10 +225,8 @@ def _library_pieces(path: str) -> Pieces:
     token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
     for t, i in vocab.items():
         token_bytes[i] = len(t)
-    encode = Joined(tok, token_bytes)
-    pieces = Pieces(encode if byte_level else encode.alone, lambda text: encode.alone([text])[0], added)
-    encode.known = pieces.known
-    return pieces
+    batches = Batches(tok, token_bytes, added)
+    return batches if byte_level else Whole(batches.alone, lambda text: batches.alone([text])[0], added)
 
 
 def frames(keys: list, ids: list[np.ndarray], wide: bool) -> list[bytes]:
@@ -171,9 +275,8 @@ def write_records(docs: DataFrame, path: str, model_path: str, end_id: int, id_c
     def run(batches):
         pieces = library_pieces(model_path)
         end = struct.pack("<I", end_id)
-        for batch in by_bytes(batches, "__text", 1 << 20):
-            texts = [t.decode("utf-8", "replace") for t in batch.column("__text").to_pylist()]
-            ids = [np.frombuffer(e + end, dtype="<u4") for e in pieces.many(texts)]
+        for batch in by_bytes(batches, "__text", 4 << 20):
+            ids = [np.frombuffer(e + end, dtype="<u4") for e in pieces.encoded(batch.column("__text"))]
             yield pa.RecordBatch.from_arrays([pa.array(frames(batch.column(id_col).to_pylist(), ids, wide), pa.binary())],
                                              names=["frame"])
 
