@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import written
+from tablelens.llm.common import dealt, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("v"))
         to = written(edges.groupBy("a").agg(F.min(rank("b")).alias("m"))
                      .select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["v"].alias("to")), f"pointers-{k}")
+        to = dealt(to, to.count())
         rounds.append(to)
         edges = written(edges.join(to, F.col("a") == F.col("node")).select(F.col("to").alias("a"), "b")
                         .join(to, F.col("b") == F.col("node")).select("a", F.col("to").alias("b"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.llm.chunks import release
-from tablelens.llm.common import by_bytes, salted_join, text_bytes, written
+from tablelens.llm.common import by_bytes, dealt, salted_join, text_bytes, written
 from tablelens.llm.components import components
 
 _PIECE = 1 << 16
@@ -98,9 +98,9 @@ def links(fps: DataFrame, bits: int = 2, segments: int = 2, full: int = 64) -> D
         low += w
     stored = written(fps.select(F.col("fp").alias("b"), F.explode(F.array(*parts)).alias("p")).select("b", "p.part", "p.value"), "parts")
     crowded = written(stored.groupBy("part", "value").count().where(F.col("count") > full).select("part", "value"), "full-parts")
-    asked = fps.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probes))).alias("p")).select("a", "p.part", "p.value")
+    asked = dealt(fps.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probes))).alias("p")).select("a", "p.part", "p.value"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    found = (asked.join(stored.join(crowded, ["part", "value"], "left_anti"), ["part", "value"])
+    found = (asked.join(dealt(stored.join(crowded, ["part", "value"], "left_anti")), ["part", "value"])
              .where((F.col("a") < F.col("b")) & near).select("a", "b"))
     if crowded.isEmpty():
         return found.distinct()
@@ -122,9 +122,9 @@ def classes(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 2, i
     rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min(F.struct(F.col(f"`{id_col}`").alias("id"), "tag")).alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), bits, segments))
-    rooted = written(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "classes")
+    rooted = written(dealt(distinct).join(dealt(roots), F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "classes")
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    return rows, rooted.join(least, "root").select("fp", "root", "first", "n")
+    return rows, dealt(rooted).join(dealt(least), "root").select("fp", "root", "first", "n")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 2, id_col: str = "doc_id",
@@ -141,7 +141,7 @@ def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2, segments: int =
     _, rooted = classes(docs, words, bits, segments, id_col, text_col)
     first = written(rooted.groupBy("root").agg(F.first("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.tag").alias("__tag")), "first")
     tagged = docs.withColumn("__text_tag", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))))
-    kept = tagged.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_tag") == F.col("__tag")), "left_semi")
+    kept = tagged.join(dealt(first), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_tag") == F.col("__tag")), "left_semi")
     own = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
     one = kept.groupBy(F.col(f"`{id_col}`"), "__text_tag").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), own).alias("__row"))
     return one.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -230,3 +230,14 @@ def test_wide_parents_are_found_both_ways(spark, monkeypatch):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.depth): r.parent_conv_id for r in M.prefix_trie(df).collect()}
     assert got == {k: v[0] for k, v in plain_trie(rows).items()}  # the root has over 64 children, the others few
+
+
+def test_probes_of_fingerprints_are_not_broadcast(spark):
+    """Each fingerprint asks with dozens of probes; Spark sizes them like the fingerprints themselves."""
+    from tablelens.llm.common import dealt
+    from tablelens.llm.simhash import classes, links
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = spark.range(300).selectExpr("xxhash64(id) fp")
+    assert "SortMergeJoin [part" in plan(links(df))
+    assert "SortMergeJoin [root" in plan(classes(spark.range(50).selectExpr("id doc_id", "concat('some words ', xxhash64(id)) text"))[1])
+    assert "SortMergeJoin" in plan(df.join(dealt(df, 100_001), "fp")) and "BroadcastHashJoin" in plan(df.join(dealt(df, 100_000), "fp"))
