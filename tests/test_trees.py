@@ -217,3 +217,33 @@ def test_rows_of_a_node_travel_packed(spark, monkeypatch):
     assert len(predicted(model, df)) == 2000
     routed = dict(seen)["routed"]
     assert routed.where("tree IS NOT NULL").count() < 200 and routed.where("tree IS NULL").agg(F.sum("n")).first()[0] == 2000
+
+
+@pytest.mark.parametrize("gather", [0, 1 << 24])
+def test_boosting_keeps_blocks_whose_sums_meet_by_key_or_on_the_driver(spark, monkeypatch, gather):
+    monkeypatch.setattr(T, "GATHER_BYTES", gather)
+    x, y = rows()
+    df = frame(spark, x, y)
+    spec = G.Spec("boost", trees=3, depth=3, rate=0.5)
+    kept = T._kept_blocks(T.binned(df).df, spec, np.array([1.5])).collect()
+    assert sum(len(b[1]) for b in kept) == 400 and all(b[2] is None and (b[3] == 1.5).all() for b in kept)  # no draws: no ids
+    aggregates, met = [], T._Kept.met
+    monkeypatch.setattr(T._Kept, "met", lambda *a: aggregates.append(1) or met(*a))
+    apart = T.Trees(spec, task_bytes=27).fit(df)
+    assert len(aggregates) <= 9  # three levels a round
+    assert np.allclose(predicted(apart, df), predicted(T.Trees(spec).fit(df), df))
+
+
+def test_rows_find_their_leaves_in_deep_and_in_small_trees():
+    g = np.random.default_rng(5)
+    x = g.integers(0, 200, (3, 3000)).astype(np.uint8)
+    y = g.normal(size=3000)
+    for depth, n in ((2, 3000), (0, 3000), (0, 40)):  # the last with fewer rows than nodes
+        (_, nodes), = G.grow_all(G.Spec("forest", trees=1, depth=depth), x, [200] * 3, y, np.arange(3000))[0]
+        want = []
+        for k in range(n):
+            a = 0
+            while nodes.feature[a] >= 0:
+                a = nodes.left[a] + int(x[nodes.feature[a], k] > nodes.cut[a])
+            want.append(a)
+        assert nodes.leaf(x[:, :n]).tolist() == want
